@@ -24,9 +24,9 @@ WINDOW = 5
 #: Ratio -> (side, slack). A document fails above q3 + reach * (q3 - q1) + slack, or below the mirror image.
 RULES = {
     "symbol_ratio": ("high", 0.05),
-    "dup_line_ratio": ("high", 0.30),
-    "repeat_ratio": ("high", 0.10),
-    "mean_word": ("both", 2.0),
+    "dup_line_ratio": ("high", 0.50),
+    "repeat_ratio": ("high", 0.20),
+    "mean_word": ("both", 3.0),
 }
 REACH = 3.0
 MIN_GROUP = 30
