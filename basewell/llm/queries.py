@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, quality
+from . import common, decontaminate, quality
 
 
 def op9_quality_rules(spark, sf_dir):
     return quality.assess(common.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {"op9_quality_rules": op9_quality_rules}
+    return {
+        "op6_decontamination": op6_decontamination,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql():
