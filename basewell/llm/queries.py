@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, quality
+from . import common, decontaminate, lines, quality
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -15,12 +15,19 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return lines.dedupe(common.read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op6_decontamination": op6_decontamination,
+        "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op8_line_dedup": lines.ORACLE_SQL,
+    }
