@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, lines, quality
+from . import common, decontaminate, licenses, lines, packing, quality
 
 
 def op9_quality_rules(spark, sf_dir):
     return quality.assess(common.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken")
 
 
+def op1_token_packing(spark, sf_dir):
+    return packing.pack(common.read(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(common.read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_line_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_token_packing": op1_token_packing,
         "op4_license_scan": op4_license_scan,
         "op6_decontamination": op6_decontamination,
         "op8_line_dedup": op8_line_dedup,
