@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, lines, packing, quality
+from . import common, decontaminate, licenses, lines, mixing, packing, quality
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -19,6 +19,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(common.read(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark, sf_dir):
+    return mixing.taken(common.read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,7 @@ def queries():
     return {
         "op1_token_packing": op1_token_packing,
         "op4_license_scan": op4_license_scan,
+        "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
