@@ -74,3 +74,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every output bit depends on every input bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one after the other, and the number of each text's words.
+
+    Equal words have equal hashes anywhere. Prefix sums of a polynomial over random byte values make
+    it a few array operations per byte, without a Python object per word."""
+    raws = [t.encode("utf-8", "surrogatepass").translate(table) if t else b"" for t in texts]
+    data = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    edge = np.diff((data != 32).astype(np.int8), prepend=0, append=0)
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power = np.full(len(data) + 1, _POWER)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:-1], out=prefix[1:])
+    undo = np.full(len(data) + 1, _INVERSE)
+    undo[0] = 1
+    np.cumprod(undo, out=undo)
+    found = (prefix[stops] - prefix[starts]) * undo[starts]
+    found = mix(found + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    upto = np.searchsorted(starts, ends, "left")
+    return found, np.diff(upto, prepend=0)

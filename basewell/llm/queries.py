@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, lines, mixing, packing, quality
+from . import common, decontaminate, licenses, lines, mixing, ngram_join, packing, quality
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -15,6 +15,10 @@ def op1_token_packing(spark, sf_dir):
     return packing.pack(common.read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join(common.read(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(common.read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op8_line_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_token_packing": op1_token_packing,
+        "op2_ngram_join": op2_ngram_join,
         "op4_license_scan": op4_license_scan,
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
