@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of queries that are over: its cleaner waits for garbage collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -88,6 +95,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n-1 of the polynomial's base and of its inverse; kept by the process."""
+    if not _powers or len(_powers[0]) < n:
+        tables = []
+        for base in (_POWER, _INVERSE):
+            t = np.full(n, base)
+            t[0] = 1
+            tables.append(np.cumprod(t, out=t))
+        _powers[:] = tables
+    return _powers[0][:n], _powers[1][:n]
+
+
 def word_hashes(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, one after the other, and the number of each text's words.
 
@@ -98,14 +120,10 @@ def word_hashes(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.n
     ends = np.cumsum([len(r) + 1 for r in raws])
     edge = np.diff((data != 32).astype(np.int8), prepend=0, append=0)
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power = np.full(len(data) + 1, _POWER)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    power, undo = _power_tables(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:-1], out=prefix[1:])
-    undo = np.full(len(data) + 1, _INVERSE)
-    undo[0] = 1
-    np.cumprod(undo, out=undo)
+    np.multiply(_BYTE[data], power[:-1], out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
     found = (prefix[stops] - prefix[starts]) * undo[starts]
     found = mix(found + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     upto = np.searchsorted(starts, ends, "left")

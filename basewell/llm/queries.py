@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, licenses, lines, mixing, ngram_join, packing, quality
+from . import common, decontaminate, katz, licenses, lines, mixing, ngram_join, packing, quality
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -35,6 +35,10 @@ def op8_line_dedup(spark, sf_dir):
     return lines.dedupe(common.read(spark, sf_dir, "documents"))
 
 
+def op10_katz_scores(spark, sf_dir):
+    return katz.fit_score(common.read(spark, sf_dir, "documents")).scores
+
+
 def queries():
     return {
         "op1_token_packing": op1_token_packing,
@@ -44,6 +48,7 @@ def queries():
         "op6_decontamination": op6_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_katz_scores": op10_katz_scores,
     }
 
 
