@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, katz, licenses, lines, mixing, ngram_join, packing, quality
+from . import common, decontaminate, html, katz, licenses, lines, mixing, ngram_join, packing, quality
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -19,6 +19,10 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_join.join(common.read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(common.read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries():
     return {
         "op1_token_packing": op1_token_packing,
         "op2_ngram_join": op2_ngram_join,
+        "op3_html_extraction": op3_html_extraction,
         "op4_license_scan": op4_license_scan,
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
