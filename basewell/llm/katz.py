@@ -36,7 +36,7 @@ from . import common
 K = 5
 PSEUDO = 0.1
 #: Text bytes per bucket, and tokens per packed batch.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 BATCH_TOKENS = 2_000_000
 END, START = np.uint64(1), np.uint64(2)  # no word is hashed to these but by a chance of 2**-63
 _U = np.uint64
@@ -169,19 +169,19 @@ def _count(frequent: dict[int, int], k: int):
             runs.append(_unpack(r["runs"], np.uint32))
             own = np.frombuffer(r["words"], _U)
             inner = _unpack(r["word"], np.uint16 if len(own) <= 65536 else np.uint32)
-            word.append(inner.astype(np.int64) + sum(map(len, words)))
+            word.append(inner.astype(np.int32) + sum(map(len, words)))
             words.append(own)
             d = _unpack(r["doc"], np.uint16 if r["n_docs"] <= 65536 else np.uint32)
             train.append(np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["n_docs"])[d] == 0)
-            doc.append(d.astype(np.int64) + base)
+            doc.append(d.astype(np.int32) + base)
             base += r["n_docs"]
         first, second = (np.concatenate(x) for x in (contexts, words))
         known_c, at_c = np.unique(first, return_inverse=True)
         known_w, at_w = np.unique(second, return_inverse=True)
-        c = np.repeat(at_c, np.concatenate(runs))
-        w = at_w[np.concatenate(word)]
+        c = np.repeat(at_c.astype(np.int32), np.concatenate(runs))
+        w = at_w.astype(np.int32)[np.concatenate(word)]
         doc, train = np.concatenate(doc), np.concatenate(train)
-        del contexts, runs, words, word
+        del contexts, runs, words, word, first, second, at_c, at_w
         # counts of words; the frequent ones' come from all buckets
         n_word = np.bincount(w[train], minlength=len(known_w))
         is_hot = np.zeros(len(known_w), bool)
@@ -189,9 +189,10 @@ def _count(frequent: dict[int, int], k: int):
             place = np.minimum(np.searchsorted(hot, known_w), len(hot) - 1)
             is_hot = hot[place] == known_w
             n_word = np.where(is_hot, hot_counts[place], n_word)
-        keys, at = np.unique(c * len(known_w) + w, return_inverse=True)
+        keys, at = np.unique(c.astype(np.int64) * len(known_w) + w, return_inverse=True)
+        at = at.astype(np.int32)
         n_pair = np.bincount(at[train], minlength=len(keys))
-        r, s = n_pair[at], n_word[w]
+        r, s = n_pair.astype(np.int32)[at], n_word[w]
         seen = r > 0
         log = lambda x: np.log10(np.maximum(x, 1))
         per = lambda where, weight=None: np.bincount(doc[where], None if weight is None else weight[where], minlength=base)
@@ -203,7 +204,8 @@ def _count(frequent: dict[int, int], k: int):
 
         def add(kind: str, rows_of: int, **columns) -> None:
             if rows_of:
-                parts.append(pa.table([pa.array([kind] * rows_of) if x == "kind" else pa.array(columns[x], t) if x in columns else pa.nulls(rows_of, t) for x, t in types.items()], names=list(types)))
+                whole = pa.table([pa.array([kind] * rows_of) if x == "kind" else pa.array(columns[x], t) if x in columns else pa.nulls(rows_of, t) for x, t in types.items()], names=list(types))
+                parts.extend(whole.slice(a, 1 << 15) for a in range(0, rows_of, 1 << 15))  # sent as batches of this size
 
         types = {"kind": pa.string(), "context": pa.int64(), "word": pa.int64(), "n": pa.int64(), "n_word": pa.int64(), "batch": pa.int64(), "doc": pa.int32(), "blob": pa.binary(), "base": pa.binary(), "ids": pa.binary()}
         kept = n_pair > 0
@@ -214,7 +216,7 @@ def _count(frequent: dict[int, int], k: int):
             few = np.bincount(np.minimum(x, k + 2), minlength=k + 3)[1:]
             add(kind, k + 3, n=np.append(few, x.sum()), word=np.arange(1, k + 4))
         at_doc = np.cumsum([0, *[x["n_docs"] for x in rows]])
-        pair, times = np.unique(c[~seen] * max(1, base) + doc[~seen], return_counts=True)
+        pair, times = np.unique(c[~seen].astype(np.int64) * max(1, base) + doc[~seen], return_counts=True)
         by, on = pair // max(1, base), pair % max(1, base)
         of = np.searchsorted(at_doc, on, "right") - 1
         numbers = np.array([x["batch"] for x in rows], np.int64)

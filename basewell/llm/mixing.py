@@ -198,6 +198,8 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST, see
     right = pieces.select(F.col("doc_id").alias("_d1"), F.col("_h").alias("_h1"), F.col("source").alias("_s1"), F.col("_copy").alias("_c1"), F.col("_pieces").alias(p))
     both = text.join(right, text["doc_id"].eqNullSafe(right["_d1"]) & (text[h] == right["_h1"]) & text["source"].cast("string").eqNullSafe(right["_s1"]) & (text[c] == right["_c1"])).select(*docs.columns, p)
 
+    names = docs.columns
+
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             rows, texts = [], []
@@ -216,7 +218,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST, see
                         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     rows.append(i)
                     texts.append(t if a == 0 and b == len(starts) else raw[starts[a] : stops[b - 1]].decode("utf-8", "surrogatepass"))
-            out = batch.select(docs.columns).take(pa.array(rows, pa.int64()))
+            out = batch.select(names).take(pa.array(rows, pa.int64()))
             columns = list(out.columns)
             at = {f.name.lower(): i for i, f in enumerate(out.schema)}
             columns[at["text"]] = pa.array(texts, out.schema.field(at["text"]).type)

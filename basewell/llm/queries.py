@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import corpus_pipeline
 
 from . import common, decontaminate, html, katz, licenses, lines, mixing, ngram_join, packing, quality
 
@@ -45,6 +45,7 @@ def op10_katz_scores(spark, sf_dir):
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_packing": op1_token_packing,
         "op2_ngram_join": op2_ngram_join,
         "op3_html_extraction": op3_html_extraction,

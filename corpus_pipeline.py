@@ -1,0 +1,55 @@
+"""A corpus from documents to packed token ids: five stages, each on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from basewell.llm import common, decontaminate, mixing, ngram_join, packing, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filtered(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least doc_id stays."""
+    return ngram_join.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; a document that is mostly made of them goes."""
+    return decontaminate.cleaned(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are taken up to their targets: whole documents for full epochs, stretches of them for the last."""
+    return mixing.mixed(docs)
+
+
+def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in rows of fixed length."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_rows", token_rows),
+]
+
+#: MinHash, the drawn mix and the tokenizer have no SQL form; tests/llm hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each result written and read again before the next."""
+    docs = common.read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
