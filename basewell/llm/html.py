@@ -220,9 +220,11 @@ def _prefix(a, b):
 
 def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
     """Per page: page_id, url, text, n_chars, n_lines, n_shared (with the paired page), n_deleted (of these)."""
-    parsed = common.cut(_parsed(pages))
-    paired = pairs(parsed.select("key", "url"))
-    hashes = parsed.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes")).dropDuplicates(["other"])
+    parsed = _parsed(pages)
+    # pages are parsed twice rather than written out: only URLs and line hashes are
+    slim = common.cut(parsed.select("key", "url", "hashes"))
+    paired = pairs(slim.select("key", "url"))
+    hashes = slim.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes")).dropDuplicates(["other"])
     both = parsed.join(paired.join(hashes, "other").select(F.col("key").alias("_k"), "other_hashes"), F.col("key") == F.col("_k"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
