@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
-from . import common, decontaminate, html, katz, licenses, lines, mixing, ngram_join, packing, quality
+from . import common, decontaminate, html, katz, licenses, lines, mixing, ngram_join, packing, quality, suffix_dedup
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -35,6 +37,11 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.dedupe(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return lines.dedupe(common.read(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ def queries():
         "op4_license_scan": op4_license_scan,
         "op5_source_mixing": op5_source_mixing,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_katz_scores": op10_katz_scores,
