@@ -1,9 +1,294 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries of the k-mer engine, with the same in SQL.
+
+Sequences come from whole texts: their letters dealt to A C G T. `documents` are indexed, `benchmark` asks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..functions.params import IndexParams
+from ..operators import display, match, windows
+from ..operators import index as ix
+from ..sources import fasta, store
+from . import build
+
+#: Every window; sampled by closed syncmers; a hash layout.
+FULL = IndexParams(c=11, f=16, max_range_size=64)
+SAMPLED = IndexParams(c=11, f=16, s=5, max_range_size=64)
+HASHED = IndexParams(c=11, f=16, s=5, layout="hash")
+LITERAL_CORE = "ACGTACCACAC"
+
+
+def _sequences(spark, sf_dir, table="documents", id_col="doc_id") -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return fasta.from_dataframe(df.withColumn("seq", store.derived_dna(F.col("text"))), id_col, "seq")
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return _sequences(spark, sf_dir, "benchmark", "item_id")
+
+
+def _occurrences(spark, sf_dir, p) -> DataFrame:
+    return windows.occurrences(_sequences(spark, sf_dir), p)
+
+
+def _index(spark, sf_dir, p) -> DataFrame:
+    return ix.long_index(store.written(_occurrences(spark, sf_dir, p)), p)
+
+
+def _keys(spark, sf_dir, p) -> DataFrame:
+    return ix.kept_keys(ix.counts(_occurrences(spark, sf_dir, p)), p)
+
+
+def _queries(spark, sf_dir, p) -> DataFrame:
+    return match.queries_of(_asked(spark, sf_dir), p)
+
+
+def kmer_encode(spark, sf_dir):
+    found = windows.kmers(_asked(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.encode("kmer").alias("key"))
+    return found.withColumn("decoded", dna.decode("key", 27))
+
+
+def kmer_revcomp(spark, sf_dir):
+    return windows.kmers(_asked(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.revcomp("kmer").alias("rc"))
+
+
+def kmer_spectrum(spark, sf_dir):
+    found = windows.kmers(_sequences(spark, sf_dir), 11).select("ref_id", dna.encode(dna.canonical("kmer")).alias("key"))
+    # two steps in place of a distinct count: per reference first
+    return found.groupBy("key", "ref_id").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("n_refs"))
+
+
+def core_flank_split(spark, sf_dir):
+    found = windows.kmers(_asked(spark, sf_dir), FULL.k)
+    return found.select("ref_id", "pos", dna.middle("kmer", FULL.k, FULL.c).alias("core"), dna.flanks("kmer", FULL.k, FULL.c).alias("flank"))
+
+
+def canonical_core(spark, sf_dir):
+    return windows.occurrences(_asked(spark, sf_dir), FULL)
+
+
+def canonical_kmer_core(spark, sf_dir):
+    return windows.occurrences(_asked(spark, sf_dir), IndexParams(c=11, f=16, orient="kmer"))
+
+
+def closed_syncmer_filter(spark, sf_dir):
+    return windows.occurrences(_asked(spark, sf_dir), SAMPLED).select("ref_id", "pos", "key")
+
+
+def sampling_rate(spark, sf_dir):
+    return windows.sampling(_sequences(spark, sf_dir), SAMPLED)
+
+
+def key_counts_capped(spark, sf_dir):
+    return _keys(spark, sf_dir, SAMPLED)
+
+
+def skipped_keys(spark, sf_dir):
+    return ix.skipped_keys(ix.counts(_occurrences(spark, sf_dir, SAMPLED)), SAMPLED)
+
+
+def structural_cap(spark, sf_dir):
+    p = IndexParams(c=7, f=16, s=3, cells_per_body=64, structural_cap=True)
+    return _keys(spark, sf_dir, p)
+
+
+def index_stats(spark, sf_dir):
+    return build.build_index(_sequences(spark, sf_dir), SAMPLED).stats
+
+
+def vrange_layout(spark, sf_dir):
+    return ix.ranges(_keys(spark, sf_dir, SAMPLED), SAMPLED)
+
+
+def index_long(spark, sf_dir):
+    return _index(spark, sf_dir, SAMPLED)
+
+
+def index_slots(spark, sf_dir):
+    return ix.slots(_index(spark, sf_dir, SAMPLED)).select("key", "slot", "ref_id", "pos")
+
+
+def index_nested(spark, sf_dir):
+    found = ix.nested(_index(spark, sf_dir, SAMPLED))
+    line = lambda v: F.concat_ws(":", v["ref_id"].cast("string"), v["pos"].cast("string"), F.coalesce(v["flank"].cast("string"), F.lit("")))
+    return found.select("key", "n", F.array_join(F.transform("values", line), ",").alias("listed"))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.lit("documents").alias("file"), F.col("doc_id").alias("ordinal"), F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source")).alias("head"), store.derived_dna(F.col("text")).alias("seq"))
+
+
+def reference_dictionary(spark, sf_dir):
+    numbered = fasta.numbered(_records(spark, sf_dir).select("file", "ordinal", fasta.parse_name("head").alias("name"), "seq"))
+    return fasta.checked_names(numbered)
+
+
+def pack_positions(spark, sf_dir):
+    return windows.occurrences(_asked(spark, sf_dir), SAMPLED).select("ref_id", "pos", dna.pack("ref_id", "pos").alias("packed"), dna.pack(F.col("ref_id") + (1 << 26), "pos", cell_mask=True).alias("cell"))
+
+
+def unpack_positions(spark, sf_dir):
+    return pack_positions(spark, sf_dir).select("packed", dna.unpack("packed").alias("v"), dna.unpack("cell").alias("c")).select("packed", "v.ref_id", "v.pos", F.col("c.ref_id").alias("cell_ref_id"))
+
+
+def flank_hamming(spark, sf_dir):
+    met = match._met(_queries(spark, sf_dir, SAMPLED), _index(spark, sf_dir, SAMPLED)).filter("flank is not null")
+    return met.select("query_id", "qpos", "ref_id", "rpos", dna.hamming("qflank", "flank").alias("dist"))
+
+
+def point_lookup(spark, sf_dir):
+    return match.lookup_word(_index(spark, sf_dir, FULL), LITERAL_CORE)
+
+
+def all_matches(spark, sf_dir):
+    return match.all_matches(_queries(spark, sf_dir, FULL), _index(spark, sf_dir, FULL))
+
+
+def lookup_join(spark, sf_dir):
+    keys = ix.ranges(_keys(spark, sf_dir, SAMPLED), SAMPLED)
+    return _queries(spark, sf_dir, SAMPLED).join(keys.select("key", "n", "v_start", "v_end"), "key").select("query_id", "qpos", "key", "n", "v_start", "v_end")
+
+
+def best_flex_match(spark, sf_dir):
+    return match.best_flex_match(_queries(spark, sf_dir, FULL), _index(spark, sf_dir, FULL))
+
+
+def lookup_misses(spark, sf_dir):
+    return match.misses(_queries(spark, sf_dir, SAMPLED), _keys(spark, sf_dir, SAMPLED)).select("query_id", "qpos", "key")
+
+
+def rarest_first(spark, sf_dir):
+    return match.rarest_first(_queries(spark, sf_dir, SAMPLED), _keys(spark, sf_dir, SAMPLED))
+
+
+def match_names(spark, sf_dir):
+    refs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return match.with_names(match.best_flex_match(_queries(spark, sf_dir, SAMPLED), _index(spark, sf_dir, SAMPLED)), refs).select("query_id", "qpos", "name", "rpos", "dist")
+
+
+def range_format(spark, sf_dir):
+    return display.shown(_index(spark, sf_dir, SAMPLED))
+
+
+def hash_layout_truncation(spark, sf_dir):
+    return _index(spark, sf_dir, HASHED).select("key", "n", "ref_id", "pos")
+
+
+def index_roundtrip(spark, sf_dir):
+    made, path = build.build_index(_sequences(spark, sf_dir), SAMPLED), store.shared_path(spark)
+    made.save(path)
+    return store.load(spark, path)[0]
+
+
+_ALL = [
+    kmer_encode, kmer_revcomp, kmer_spectrum, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, sampling_rate, key_counts_capped, skipped_keys, structural_cap, index_stats, vrange_layout, index_long, index_slots,
+    index_nested, reference_dictionary, pack_positions, unpack_positions, flank_hamming, point_lookup, all_matches, lookup_join, best_flex_match, lookup_misses, rarest_first, match_names, range_format, hash_layout_truncation, index_roundtrip,
+]
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+# --- the same in DuckDB SQL -------------------------------------------------------------------------------------------
+
+
+def _code(word: str, n: int) -> str:
+    return "(" + " + ".join(f"cast(instr('ACGT', substr({word}, {i + 1}, 1)) - 1 as bigint) * {4 ** (n - 1 - i)}" for i in range(n)) + ")"
+
+
+def _rc(word: str) -> str:
+    return f"reverse(translate({word}, 'ACGT', 'TGCA'))"
+
+
+def _text(code: str, n: int) -> str:
+    return " || ".join(f"substr('ACGT', cast(({code} // {4 ** (n - 1 - i)}) % 4 as integer) + 1, 1)" for i in range(n))
+
+
+def _windows(name: str, table: str, id_col: str, k: int) -> str:
+    seq = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+    return f"{name} as (select ref_id, cast(i as bigint) as pos, substr(seq, i + 1, {k}) as kmer from (select *, unnest(range(0, length(seq) - {k} + 1)) as i from (select {id_col} as ref_id, {seq} as seq from {table}) where length(seq) >= {k}))"
+
+
+def _occ(name: str, table: str, id_col: str, p: IndexParams) -> str:
+    half = p.f // 2
+    flank = f"substr(kmer, 1, {half}) || substr(kmer, {half + p.c + 1}, {half})"
+    parts = [_windows(f"{name}_w", table, id_col, p.k)]
+    if p.orient == "kmer":
+        parts.append(f"{name}_o as (select ref_id, pos, least(kmer, {_rc('kmer')}) as kmer from {name}_w)")
+        parts.append(f"{name}_c as (select ref_id, pos, substr(kmer, {half + 1}, {p.c}) as core, {flank} as fl from {name}_o)")
+    else:
+        parts.append(f"{name}_o as (select ref_id, pos, substr(kmer, {half + 1}, {p.c}) as core, {flank} as fl from {name}_w)")
+        parts.append(f"{name}_c as (select ref_id, pos, least(core, {_rc('core')}) as core, case when core < {_rc('core')} then fl else {_rc('fl')} end as fl from {name}_o)")
+    smers = [f"substr(core, {i + 1}, {p.s})" for i in range(p.c - p.s + 1)] if p.s else []
+    keep = f" where least({', '.join(smers)}) in ({smers[0]}, {smers[-1]})" if smers else ""
+    parts.append(f"{name} as (select ref_id, pos, {_code('core', p.c)} as key, {_code('fl', p.f)} as flank from {name}_c{keep})")
+    return ", ".join(parts)
+
+
+def _ix(p: IndexParams) -> str:
+    having = f" having count(*) <= {p.cap}" if p.cap is not None else ""
+    return (
+        f"{_occ('d', 'documents', 'doc_id', p)}, keys as (select key, count(*) as n from d group by key{having}), "
+        f"ix as (select key, n, ref_id, pos, case when n > {p.header_threshold} then flank end as flank from d join keys using (key))"
+    )
+
+
+def _q(p: IndexParams) -> str:
+    return _occ("b", "benchmark", "item_id", p) + ", q as (select ref_id as query_id, pos as qpos, key, flank as qflank from b)"
+
+
+_DIST = "cast(bit_count((xor(qflank, flank) | (xor(qflank, flank) >> 1)) & 1431655765) as integer)"
+_BEST = (
+    f"met as (select query_id, qpos, key, ref_id, pos as rpos, case when flank is not null then {_DIST} end as dist from q join ix using (key)), "
+    "best as (select * from (select *, min(dist) over (partition by query_id, qpos) as least from met) where dist is not distinct from least)"
+)
+_SIZE = "(n + case when n > 2 then (n + 1) // 2 else 0 end)"
 
 
 def oracle_sql():
-    return {}
+    full, some, hashed, whole = _ix(FULL), _ix(SAMPLED), _ix(HASHED), IndexParams(c=11, f=16, orient="kmer")
+    asked = _windows("w", "benchmark", "item_id", 27)
+    short = IndexParams(c=7, f=16, s=3, cells_per_body=64, structural_cap=True)
+    packed = "((ref_id << 34) | pos)"
+    cell = "(((ref_id + 67108864) << 34 | pos) & 1152921504606846975)"
+    key = min(LITERAL_CORE, LITERAL_CORE[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    number = int(key.translate(str.maketrans("ACGT", "0123")), 4)
+    layout = f"r as (select *, sum({_SIZE}) over (order by key) as z, {_SIZE} as size from keys)"
+    flank16 = _text("flank", 16)
+    return {
+        "kmer_encode": f"with {asked} select ref_id, pos, kmer, {_code('kmer', 27)} as key, kmer as decoded from w",
+        "kmer_revcomp": f"with {asked} select ref_id, pos, kmer, {_rc('kmer')} as rc from w",
+        "kmer_spectrum": f"with {_windows('w', 'documents', 'doc_id', 11)}, k as (select ref_id, {_code('least(kmer, ' + _rc('kmer') + ')', 11)} as key from w) select key, count(*) as n, count(distinct ref_id) as n_refs from k group by key",
+        "core_flank_split": f"with {asked} select ref_id, pos, substr(kmer, 9, 11) as core, substr(kmer, 1, 8) || substr(kmer, 20, 8) as flank from w",
+        "canonical_core": f"with {_occ('b', 'benchmark', 'item_id', FULL)} select ref_id, pos, key, flank from b",
+        "canonical_kmer_core": f"with {_occ('b', 'benchmark', 'item_id', whole)} select ref_id, pos, key, flank from b",
+        "closed_syncmer_filter": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select ref_id, pos, key from b",
+        "sampling_rate": f"with {_occ('d', 'documents', 'doc_id', SAMPLED)} select (select count(*) from d_c) as kmers, (select count(*) from d) as sampled, cast((select count(*) from d) as double) / nullif((select count(*) from d_c), 0) as rate",
+        "key_counts_capped": f"with {some} select key, n from keys",
+        "skipped_keys": f"with {_occ('d', 'documents', 'doc_id', SAMPLED)} select key, count(*) as n from d group by key having count(*) > {SAMPLED.cap}",
+        "structural_cap": f"with {_ix(short)} select key, n from keys",
+        "index_stats": f"with {_occ('d', 'documents', 'doc_id', SAMPLED)}, c as (select key, count(*) as n from d group by key) select (select count(*) from d_c) as kmers, (select count(*) from d) as sampled, cast((select count(*) from d) as double) / nullif((select count(*) from d_c), 0) as rate, count(*) as distinct_keys, count(*) filter (where n > {SAMPLED.cap}) as skipped_keys, cast(coalesce(sum({_SIZE}) filter (where n <= {SAMPLED.cap}), 0) as bigint) as value_cells, (select count(distinct doc_id) from documents) as refs from c",
+        "vrange_layout": f"with {some}, {layout} select key, n, cast(z - size as bigint) as v_start, cast(z as bigint) as v_end, n > 2 as has_flank, cast(case when size > 2 then (size + 2) // 3 else 0 end as bigint) as header_cells, (key >> 4) * 20 as block_cell, (key >> 4) * 20 + 4 + key % 16 as key_cell from r",
+        "index_long": f"with {some} select key, n, ref_id, pos, flank from ix",
+        "index_slots": f"with {some} select key, row_number() over (partition by key order by ref_id, pos) - 1 as slot, ref_id, pos from ix",
+        "index_nested": f"with {some} select key, n, string_agg(ref_id || ':' || pos || ':' || coalesce(cast(flank as varchar), ''), ',' order by ref_id, pos) as listed from ix group by key, n",
+        "reference_dictionary": "select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name from documents",
+        "pack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select ref_id, pos, {packed} as packed, {cell} as cell from b",
+        "unpack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select {packed} as packed, ref_id, pos, ({cell} >> 34) as cell_ref_id from b",
+        "flank_hamming": f"with {some}, {_q(SAMPLED)} select query_id, qpos, ref_id, pos as rpos, {_DIST} as dist from q join ix using (key) where flank is not null",
+        "point_lookup": f"with {full} select key, n, ref_id, pos, flank from ix where key = {number}",
+        "all_matches": f"with {full}, {_q(FULL)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "lookup_join": f"with {some}, {_q(SAMPLED)}, {layout} select query_id, qpos, key, n, cast(z - size as bigint) as v_start, cast(z as bigint) as v_end from q join r using (key)",
+        "best_flex_match": f"with {full}, {_q(FULL)}, {_BEST} select query_id, qpos, key, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
+        "lookup_misses": f"with {some}, {_q(SAMPLED)} select query_id, qpos, key from q where key not in (select key from keys)",
+        "rarest_first": f"with {some}, {_q(SAMPLED)} select query_id, qpos, key, n, row_number() over (partition by query_id order by n, key, qpos) as rank from q join keys using (key)",
+        "match_names": f"with {some}, {_q(SAMPLED)}, {_BEST} select query_id, qpos, 'doc' || ref_id as name, rpos, dist from best",
+        "range_format": f"with {some} select key, string_agg(case when flank is null then '.. ' else {flank16} || ': ' end || {packed}, chr(10) order by ref_id, pos) as text, string_agg(case when flank is null then '.............. ' else {flank16} end || ': ' || ref_id || ' ' || pos, chr(10) order by ref_id, pos) as detail from ix group by key",
+        "hash_layout_truncation": f"with {hashed} select key, n, ref_id, pos from (select *, row_number() over (partition by key order by ref_id, pos) - 1 as slot from ix) where slot < case when n > 2 then n - (n + 2) // 3 else n end",
+        "index_roundtrip": f"with {some} select key, n, ref_id, pos, flank from ix",
+    }
