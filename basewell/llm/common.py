@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,16 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/basewell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -40,6 +50,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean() -> None:
+    """In a worker: arrays of over 4 MB go back to the system when freed. The allocator would raise that limit as it goes and keep them."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except OSError:  # another C library: it keeps its own rules
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

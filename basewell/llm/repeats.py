@@ -17,7 +17,7 @@ _M = np.uint64(0xA24BAED4963EE407)
 _BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def pieces(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts gathered into buffers of at most `most` bytes: (bytes, text numbers, their starts in the buffer, their starts in the text).
 
     A longer text is cut into stretches that overlap by LENGTH - 1, so that each of its strings starts in just one."""
@@ -49,11 +49,12 @@ class Sampled:
 
     def __init__(self, data: bytes, starts: np.ndarray):
         raw = np.frombuffer(data, np.uint8)
-        h = _BYTES[raw]
-        size = 1
-        while size < GRAM:
-            h = mix(h[:-size] * _M + h[size:])
+        h, size, factor = _BYTES[raw], 1, _M
+        while size < GRAM:  # a polynomial over random byte values, by doubling
+            h = h[:-size] * factor + h[size:]
             size *= 2
+            factor = np.uint64(pow(int(factor), 2, 1 << 64))
+        h = mix(h)
         keyed = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         width, size = LENGTH - GRAM + 1, 1
         least = keyed

@@ -157,8 +157,8 @@ def _strings(docs: DataFrame, first: tuple, second: tuple) -> DataFrame:
     return docs.mapInArrow(run, "core long, extent long, strings array<long>")
 
 
-def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
-    """doc_id, _h, a, n, mask: stretches of n strings from byte a on, of which those in the mask (bit i: string a + i) start elsewhere too. docs(doc_id, text, _h)."""
+def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> tuple[DataFrame, tuple]:
+    """(rows, the tables that they are read from): doc_id, _h, a, n, mask: stretches of n strings from byte a on, of which those in the mask (bit i: string a + i) start elsewhere too. docs(doc_id, text, _h)."""
     names = common.cut(_names(docs).groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"))
     first = _filters(names, most_keys)
     found = None
@@ -166,47 +166,68 @@ def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
         own = _stretches(docs, *g)
         found = own if found is None else found.unionByName(own)
     found = common.cut(found)
+    common.discard(names)
     common.release(docs.sparkSession)
     extents = common.cut(found.groupBy("core", "extent").agg(F.count("*").alias("times")))
     cores = common.cut(extents.groupBy("core").agg(F.count("*").alias("extents")).filter("extents > 1").select(F.col("core").alias("name")))
     second = _filters(cores, most_keys)
+    common.release(docs.sparkSession)
     single = None
     for f in first:
         for g in second:
             own = _strings(docs, f, g)
             single = own if single is None else single.unionByName(own)
     single = common.cut(single.dropDuplicates(["core", "extent"]).select("core", "extent", F.posexplode("strings").alias("i", "string")))
+    common.release(docs.sparkSession)
     often = single.groupBy("core", "string").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
     masks = single.join(often, ["core", "string"]).groupBy("core", "extent").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     whole = extents.filter("times > 1").select("core", "extent", F.lit(-1).cast("long").alias("mask"))
     verdict = common.cut(whole.unionByName(masks).groupBy("core", "extent").agg(F.bit_or("mask").alias("mask")))
+    common.discard(extents, cores, single)
     common.release(docs.sparkSession)
-    return found.join(verdict, ["core", "extent"]).select("doc_id", "_h", "a", "n", "mask")
+    return found.join(verdict, ["core", "extent"]).select("doc_id", "_h", "a", "n", "mask"), (found, verdict)
+
+
+def _merged(marks: DataFrame) -> DataFrame:
+    """_d, _g, spans: the removed runs [from, to) of each document, flattened."""
+    kind = marks.schema["_d"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for marks in batch.column("marks").to_pylist():
+                at = np.array([m["a"] for m in marks])
+                bits = np.unpackbits(np.array([m["mask"] for m in marks], "<i8").view(np.uint8), bitorder="little").reshape(len(marks), 64)
+                bits &= np.arange(64) < np.array([m["n"] for m in marks])[:, None]
+                start = np.sort((at[:, None] + np.arange(64))[bits > 0])
+                apart = np.flatnonzero(np.diff(start) > LENGTH)
+                spans.append(np.stack([start[np.append(0, apart + 1)], start[np.append(apart, len(start) - 1)] + LENGTH], axis=1).reshape(-1) if len(start) else start)
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_g"), pa.array(spans, pa.list_(pa.int64()))], names=["_d", "_g", "spans"])
+
+    return marks.mapInArrow(run, f"_d {kind}, _g long, spans array<long>")
 
 
 def dedupe(docs: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, spans (removed runs [from, to), flattened) and kept (the remaining bytes)."""
     slim = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("_h", F.xxhash64("text"))
-    marks = repeated(slim, most_keys).groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.collect_list(F.struct("a", "n", "mask")).alias("marks"))
-    both = slim.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "marks")
+    marks, used = repeated(slim, most_keys)
+    listed = marks.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.collect_list(F.struct("a", "n", "mask")).alias("marks"))
+    spans = common.cut(_merged(listed))
+    common.discard(*used)
+    common.release(docs.sparkSession)
+    both = slim.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
-            for raw, marks in zip(_raws(batch), batch.column("marks").to_pylist(), strict=True):
-                edge = np.zeros(len(raw) + 1, np.int32)
-                for m in marks or ():
-                    i = np.flatnonzero(np.unpackbits(np.array([m["mask"]], "<i8").view(np.uint8), bitorder="little")[: m["n"]]) + m["a"]
-                    np.add.at(edge, i, 1)
-                    np.add.at(edge, i + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+            for raw, spans in zip(_raws(batch), batch.column("spans").to_pylist(), strict=True):
+                edges = [0, *(spans or ()), len(raw)]
                 out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(len(spans) // 2)
-                out["spans"].append(spans.tolist())
-                out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(spans) else raw)
+                out["n_removed"].append(sum(edges[2:-1:2]) - sum(edges[1:-1:2]))
+                out["n_spans"].append(len(edges) // 2 - 1)
+                out["spans"].append(edges[1:-1])
+                out["kept"].append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
             types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "spans": pa.list_(pa.int64()), "kept": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[k], t) for k, t in types.items())], names=["doc_id", *types])
 
