@@ -14,9 +14,14 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def number(digits) -> Column:
+    """The number of a word given as base-4 digits."""
+    return F.conv(_col(digits), 4, 10).cast("long")
+
+
 def encode(word) -> Column:
     """The number of a word of up to 31 bases."""
-    return F.conv(F.translate(_col(word), "ACGT", "0123"), 4, 10).cast("long")
+    return number(F.translate(_col(word), "ACGT", "0123"))
 
 
 def decode(number, n: int) -> Column:
@@ -56,6 +61,15 @@ def closed_syncmer(core, c: int, s: int) -> Column:
     return F.least(*smers).isin(smers[0], smers[-1]) if len(smers) > 1 else F.lit(True)
 
 
+def closed_syncmer_number(key, c: int, s: int) -> Column:
+    """The same of a numbered core: s-mers are bit fields."""
+    if s == 0 or s == c:
+        return F.lit(True)
+    smers = [F.shiftright(_col(key), 2 * (c - s - i)).bitwiseAND(F.lit(4**s - 1)) for i in range(c - s + 1)]
+    least = F.least(*smers)
+    return (least == smers[0]) | (least == smers[-1])
+
+
 def hamming(a, b) -> Column:
     """Differing bases of two encoded words of up to 16 bases."""
     x = _col(a).bitwiseXOR(_col(b))

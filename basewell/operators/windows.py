@@ -8,49 +8,73 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions.params import IndexParams
 
-#: Windows that one row carries before they are exploded: substring() walks from a string's start, and arrays are built in memory.
-CHUNK, COARSE = 512, 65536
+#: Windows that one row carries before they are exploded: substring() walks from a string's start.
+CHUNK, COARSE = 128, 16384
 
 
 def _cut(df: DataFrame, k: int, size: int) -> DataFrame:
     """Rows of at most `size` windows each: base (position of the first) and seq; neighbours overlap by k - 1 bases."""
     n = F.length("seq") - k + 1
     at = F.sequence(F.lit(0), n - 1, F.lit(size))
-    return df.filter(n > 0).withColumn("_at", F.explode(at)).select(*[c for c in df.columns if c not in ("base", "seq")], (F.col("base") + F.col("_at")).alias("base"), F.expr(f"substring(seq, _at + 1, {size + k - 1})").alias("seq"))
+    return df.filter(n > 0).withColumn("_at", F.explode(at)).select("ref_id", (F.col("base") + F.col("_at")).alias("base"), F.expr(f"substring(seq, _at + 1, {size + k - 1})").alias("seq"))
 
 
-def kmers(sequences: DataFrame, k: int) -> DataFrame:
-    """ref_id, pos, kmer: every window of k bases over A C G T, from position 0 on the forward strand."""
+def _strands(sequences: DataFrame, k: int) -> DataFrame:
+    """ref_id, pos, i, d, r, m: a row per window of k bases over A C G T. The window is the k digits of d from i on, its reverse complement
+    those of r from m on. Letters become digits and strands are turned once per chunk, not once per window."""
     rows = sequences.select("ref_id", F.lit(0).cast("long").alias("base"), "seq")
     fine = _cut(_cut(rows, k, COARSE), k, CHUNK)
-    every = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.substring(F.col("seq"), i + 1, F.lit(k)))
-    found = fine.select("ref_id", "base", F.posexplode(every).alias("i", "kmer"))
-    return found.select("ref_id", (F.col("base") + F.col("i")).alias("pos"), "kmer").filter(dna.is_acgt("kmer"))
+    digits = fine.select("ref_id", "base", F.translate("seq", "ACGT", "0123").alias("d"), F.reverse(F.translate("seq", "ACGT", "3210")).alias("r"), dna.is_acgt("seq").alias("pure"))
+    every = digits.select("*", F.explode(F.sequence(F.lit(0), F.length("d") - k)).alias("i"))
+    odd = F.regexp_like(F.substring(F.col("d"), F.col("i") + 1, F.lit(k)), F.lit("[^0-3]"))
+    return every.filter(F.col("pure") | ~odd).select("ref_id", (F.col("base") + F.col("i")).alias("pos"), "i", "d", "r", (F.length("d") - k - F.col("i")).alias("m"))
+
+
+def _from(strand: str, at: str, skip: int, n: int):
+    return F.substring(F.col(strand), F.col(at) + (skip + 1), F.lit(n))
+
+
+def _letters(digits):
+    return F.translate(digits, "0123", "ACGT")
+
+
+def kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """ref_id, pos, kmer: every window of k bases over A C G T, from position 0 on the forward strand."""
+    return _strands(sequences, k).select("ref_id", "pos", _letters(_from("d", "i", 0, k)).alias("kmer"))
+
+
+def spectrum(sequences: DataFrame, k: int) -> DataFrame:
+    """ref_id, key: every window's lesser strand, numbered."""
+    return _strands(sequences, k).select("ref_id", dna.number(F.least(_from("d", "i", 0, k), _from("r", "m", 0, k))).alias("key"))
 
 
-def cores(sequences: DataFrame, p: IndexParams) -> DataFrame:
-    """ref_id, pos, core, flank (text) of every window. Oriented by core: the strand with the lesser core, the reverse if equal; or by the whole window."""
-    windows = kmers(sequences, p.k)
-    if p.orient == "kmer":
-        whole = windows.select("ref_id", "pos", dna.canonical("kmer").alias("kmer"))
-        return whole.select("ref_id", "pos", dna.middle("kmer", p.k, p.c).alias("core"), dna.flanks("kmer", p.k, p.c).alias("flank"))
-    # the middle of the reverse complement is the reverse complement of the middle, and the flanks' likewise
-    split = windows.select("ref_id", "pos", dna.middle("kmer", p.k, p.c).alias("core"), dna.flanks("kmer", p.k, p.c).alias("flank"))
-    forward = F.col("core") < dna.revcomp("core")
-    return split.select("ref_id", "pos", dna.canonical("core").alias("core"), F.when(forward, F.col("flank")).otherwise(dna.revcomp("flank")).alias("flank"))
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """df with columns that are computed once a row: the optimizer would copy their expressions into every later use, filters above all."""
+    value = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(value)).alias("_v")).select(*df.columns, *[F.col(f"_v.{n}").alias(n) for n in columns])
 
 
-def sampled(found: DataFrame, p: IndexParams) -> DataFrame:
-    """The windows whose core is a closed syncmer."""
-    return found.filter(dna.closed_syncmer("core", p.c, p.s))
+def _keyed(sequences: DataFrame, p: IndexParams) -> DataFrame:
+    """_strands with key (the core's number) and ahead (whether the forward strand is taken). Oriented by core: the strand with
+    the lesser core, the reverse if equal; or by the whole window."""
+    half = p.f // 2
+    rows = _strands(sequences, p.k)
+    f, b = (_from("d", "i", half, p.c), _from("r", "m", half, p.c)) if p.orient == "core" else (_from("d", "i", 0, p.k), _from("r", "m", 0, p.k))
+    both = _once(rows, f=f, b=b)
+    core = F.least("f", "b") if p.orient == "core" else F.substring(F.least("f", "b"), half + 1, p.c)
+    return _once(both, key=dna.number(core), ahead=F.col("f") < F.col("b")).drop("f", "b")
 
 
 def occurrences(sequences: DataFrame, p: IndexParams) -> DataFrame:
-    """ref_id, pos, key, flank: the sampled windows, numbered."""
-    return sampled(cores(sequences, p), p).select("ref_id", "pos", dna.encode("core").alias("key"), dna.encode("flank").alias("flank") if p.f else F.lit(0).cast("long").alias("flank"))
+    """ref_id, pos, key, flank (numbers): every window whose core is a closed syncmer."""
+    half = p.f // 2
+    kept = _keyed(sequences, p).filter(dna.closed_syncmer_number("key", p.c, p.s))
+    digits = lambda strand, at: F.concat(_from(strand, at, 0, half), _from(strand, at, half + p.c, half))
+    flank = dna.number(F.when(F.col("ahead"), digits("d", "i")).otherwise(digits("r", "m"))) if p.f else F.lit(0).cast("long")
+    return kept.select("ref_id", "pos", "key", flank.alias("flank"))
 
 
 def sampling(sequences: DataFrame, p: IndexParams) -> DataFrame:
     """One row: kmers, sampled, rate (null without k-mers)."""
-    kept = F.count_if(dna.closed_syncmer("core", p.c, p.s))
-    return cores(sequences, p).agg(F.count("*").alias("kmers"), kept.alias("sampled")).select("kmers", "sampled", F.try_divide(F.col("sampled").cast("double"), F.col("kmers")).alias("rate"))
+    kept = F.count_if(dna.closed_syncmer_number("key", p.c, p.s))
+    return _keyed(sequences, p).agg(F.count("*").alias("kmers"), kept.alias("sampled")).select("kmers", "sampled", F.try_divide(F.col("sampled").cast("double"), F.col("kmers")).alias("rate"))

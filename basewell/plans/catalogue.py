@@ -23,7 +23,7 @@ LITERAL_CORE = "ACGTACCACAC"
 
 def _sequences(spark, sf_dir, table="documents", id_col="doc_id") -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return fasta.from_dataframe(df.withColumn("seq", store.derived_dna(F.col("text"))), id_col, "seq")
+    return fasta.from_dataframe(store.spread(df).withColumn("seq", store.derived_dna(F.col("text"))), id_col, "seq")
 
 
 def _asked(spark, sf_dir) -> DataFrame:
@@ -56,7 +56,7 @@ def kmer_revcomp(spark, sf_dir):
 
 
 def kmer_spectrum(spark, sf_dir):
-    found = windows.kmers(_sequences(spark, sf_dir), 11).select("ref_id", dna.encode(dna.canonical("kmer")).alias("key"))
+    found = windows.spectrum(_sequences(spark, sf_dir), 11)
     # two steps in place of a distinct count: per reference first
     return found.groupBy("key", "ref_id").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("n_refs"))
 

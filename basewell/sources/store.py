@@ -50,6 +50,12 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/refs"), IndexParams(**json.loads(row["params"]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt to all cores, if it has fewer splits than that: windows are many times larger than their sequences. Tables of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def derived_dna(text) -> F.Column:
     """DNA from any text, for tables without sequences: its letters a to z, dealt to A C G T in turn."""
     letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
