@@ -165,7 +165,7 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST, see
     """Per document: doc_id, size, source_size, target (its source's) and taken (words the mix takes, repeats counted)."""
     sized = _sized(docs)
     sources = common.cut(targets(sized, most))
-    picked = slots(sources, block_words, most=most, seed=seed).groupBy("k", "block", "words").agg(F.count("*").alias("times"))
+    picked = slots(sources, block_words, most=most, seed=seed).groupBy("k", "block", "words").agg(F.count("*").alias("times")).hint("merge")  # its size is unknown to the planner
     parts = _parts(laid(sized, sources), block_words)
     share = F.greatest(F.lit(0), F.least("_z", "words") - F.col("_a")) * F.col("times")
     row = ["doc_id", "k", "size", "source_size", "target", "_at"]
@@ -180,7 +180,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST, see
     the document's other columns. The text keeps the white space between its words; a whole document keeps its text as it is. A column n_chars follows the text."""
     sized = _sized(docs)
     sources = common.cut(targets(sized, most))
-    picked = slots(sources, block_words, most=most, seed=seed)
+    picked = slots(sources, block_words, most=most, seed=seed).hint("merge")
     copy = Window.partitionBy("doc_id", "_h", "source").orderBy("_at")
     at = laid(sized, sources).withColumn("_copy", F.row_number().over(copy))
     parts = _parts(at, block_words)
@@ -195,9 +195,9 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST, see
     h, c, p = (common.fresh(docs, x) for x in ("_h", "_copy", "_pieces"))
     text = docs.withColumn(h, F.xxhash64(common.text_or_empty()))
     text = text.withColumn(c, F.row_number().over(Window.partitionBy("doc_id", h, F.col("source").cast("string")).orderBy(F.lit(0))))
-    right = pieces.select(F.col("doc_id").alias("_d1"), F.col("_h").alias("_h1"), F.col("source").alias("_s1"), F.col("_copy").alias("_c1"), F.col("_pieces").alias(p))
-    both = text.join(right, text["doc_id"].eqNullSafe(right["_d1"]) & (text[h] == right["_h1"]) & text["source"].cast("string").eqNullSafe(right["_s1"]) & (text[c] == right["_c1"])).select(*docs.columns, p)
-
+    d1, h1, s1, c1 = (common.fresh(docs, x) for x in ("_d1", "_h1", "_s1", "_c1"))
+    right = pieces.select(F.col("doc_id").alias(d1), F.col("_h").alias(h1), F.col("source").alias(s1), F.col("_copy").alias(c1), F.col("_pieces").alias(p))
+    both = text.join(right, F.col("doc_id").eqNullSafe(F.col(d1)) & (F.col(h) == F.col(h1)) & F.col("source").cast("string").eqNullSafe(F.col(s1)) & (F.col(c) == F.col(c1))).select(*docs.columns, p)
     names = docs.columns
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
