@@ -31,7 +31,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/basewell-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    key, was = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    if partition_by:  # a few partitions: a writer for each, instead of sorting the rows by them
+        spark.conf.set(key, "16")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(key, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -51,10 +57,13 @@ def release(spark: SparkSession) -> None:
 
 
 def lean() -> None:
-    """In a worker: arrays of over 4 MB go back to the system when freed. The allocator would raise that limit as it goes and keep them."""
+    """In a worker: gives freed memory back to the system, now and, for arrays of over 1 MB, from now on as they go."""
+    pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-    except OSError:  # another C library: it keeps its own rules
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which the allocator would raise as it goes
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own rules
         pass
 
 

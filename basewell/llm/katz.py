@@ -3,7 +3,7 @@
 A bigram model over the words of the lower-cased text ([^ \\t-\\r]+) and one end token per text, learned from the rows
 that aren't held out. Seen bigrams have P(b|a) = d(c(ab)) c(ab) / (c(a) + PSEUDO), unseen ones alpha(a) P(b), with
 Good-Turing discounts d up to count `k` and alpha(a) set so that the probabilities after a sum to exactly 1;
-single words are discounted in the same way and what is left goes to one unknown word. The little that is added to a
+single words are discounted in the same way and what is left goes to one unknown word. The one that is added to a
 context's total leaves mass for unseen words where every follower is frequent. An unknown context
 leaves P(b).
 
@@ -34,15 +34,14 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 5
-PSEUDO = 0.1
-#: Text bytes per bucket, and tokens per packed batch.
-BUCKET_BYTES = 12 << 20
-BATCH_TOKENS = 2_000_000
+PSEUDO = 1
+#: Text bytes per bucket, how many parts a bucket is counted in, one after the other, and tokens per packed batch.
+BUCKET_BYTES = 16 << 20
+PARTS = 3
+BATCH_TOKENS = 1_500_000
 END, START = np.uint64(1), np.uint64(2)  # no word is hashed to these but by a chance of 2**-63
 _U = np.uint64
 
-#: Log10 sums per document: of seen counts, unseen words' counts, own totals as contexts.
-_REALS = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,15 +52,16 @@ def _pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
-def _unpack(x: bytes, kind) -> np.ndarray:
+def _unpack(x, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
     """(tokens with ends, tokens per document, doc_ids, held) of up to about `most` tokens."""
+    common.lean()
     parts: list[tuple] = []
     held_n = 0
-    for batch in common.slices(batches):
+    for batch in common.slices(batches, most=1 << 20):
         h, n = common.word_hashes(batch.column("text").to_pylist(), common.LOWER_SPACED)
         h[h <= START] += _U(3)
         parts.append((np.insert(h, np.cumsum(n), END), n + 1, batch.column("doc_id"), batch.column("held").to_numpy(zero_copy_only=False)))
@@ -147,83 +147,109 @@ def _pairs(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                     ],
                     names=[x.split()[0] for x in _BLOB.split(", ")],
                 )
+            del known, at, word, context, doc, bucket, order, mixed, split
+            common.lean()
             number += 1
 
     return docs.mapInArrow(run, _BLOB)
 
 
 _OUT = "kind string, context long, word long, n long, n_word long, batch long, doc int, blob binary, base binary, ids binary"
-
-
-def _count(frequent: dict[int, int], k: int):
-    """One bucket: rows of kind counts (context, word, n, n_word), words (count of counts), pairs (count of counts), unseen (context, batch, doc, n), docs (packed sums)."""
+_TYPES = {"kind": pa.string(), "context": pa.int64(), "word": pa.int64(), "n": pa.int64(), "n_word": pa.int64(), "batch": pa.int64(), "doc": pa.int32(), "blob": pa.binary(), "base": pa.binary(), "ids": pa.binary()}
+
+
+def _rows(kind: str, n: int, /, **columns) -> list[pa.Table]:
+    """n rows of a kind, in pieces that are sent as batches."""
+    if not n:
+        return []
+    whole = pa.table([pa.array([kind] * n) if x == "kind" else pa.array(columns[x], t) if x in columns else pa.nulls(n, t) for x, t in _TYPES.items()], names=list(_TYPES))
+    return [whole.slice(a, 1 << 15) for a in range(0, n, 1 << 15)]
+
+
+def _part(rows: list[dict], part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Of one bucket's triples those whose word belongs to the part: known contexts and words, and per triple the numbers of its context, word and document, and whether it is learned from."""
+    contexts, words, context, word, doc, train = [], [], [], [], [], []
+    base = n_contexts = n_words = 0
+    for r in rows:
+        own = np.frombuffer(r["words"], _U)
+        inner = _unpack(r["word"], np.uint16 if len(own) <= 65536 else np.uint32)
+        mine = np.flatnonzero(((common.mix(own + _U(7)) >> _U(33)) % _U(parts) == part)[inner]) if parts > 1 else np.arange(len(inner))
+        firsts = np.frombuffer(r["contexts"], _U)
+        contexts.append(firsts)
+        words.append(own)
+        context.append((np.repeat(np.arange(len(firsts), dtype=np.int32), _unpack(r["runs"], np.uint32)) + n_contexts)[mine])
+        word.append(inner[mine].astype(np.int32) + n_words)
+        d = _unpack(r["doc"], np.uint16 if r["n_docs"] <= 65536 else np.uint32)[mine]
+        train.append(np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["n_docs"])[d] == 0)
+        doc.append(d.astype(np.int64) + base)
+        base, n_contexts, n_words = base + r["n_docs"], n_contexts + len(firsts), n_words + len(own)
+    known_c, at_c = np.unique(np.concatenate(contexts), return_inverse=True)
+    known_w, at_w = np.unique(np.concatenate(words), return_inverse=True)
+    return known_c, known_w, at_c.astype(np.int32)[np.concatenate(context)], at_w.astype(np.int32)[np.concatenate(word)], np.concatenate(doc), np.concatenate(train)
+
+
+def _count(frequent: dict[int, int], k: int, parts: int):
+    """One bucket, part by part: rows of kind counts (context, word, n, n_word), words and pairs (counts of counts), unseen (context, batch, doc, n), docs (packed sums)."""
     hot = np.array(sorted(frequent), _U)
     hot_counts = np.array([frequent[int(x)] for x in hot], np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("batch").to_pylist()
-        contexts, runs, words, word, doc, train, base = [], [], [], [], [], [], 0
-        for r in rows:
-            own = np.frombuffer(r["contexts"], _U)
-            contexts.append(own)
-            runs.append(_unpack(r["runs"], np.uint32))
-            own = np.frombuffer(r["words"], _U)
-            inner = _unpack(r["word"], np.uint16 if len(own) <= 65536 else np.uint32)
-            word.append(inner.astype(np.int32) + sum(map(len, words)))
-            words.append(own)
-            d = _unpack(r["doc"], np.uint16 if r["n_docs"] <= 65536 else np.uint32)
-            train.append(np.unpackbits(np.frombuffer(r["held"], np.uint8), count=r["n_docs"])[d] == 0)
-            doc.append(d.astype(np.int32) + base)
-            base += r["n_docs"]
-        first, second = (np.concatenate(x) for x in (contexts, words))
-        known_c, at_c = np.unique(first, return_inverse=True)
-        known_w, at_w = np.unique(second, return_inverse=True)
-        c = np.repeat(at_c.astype(np.int32), np.concatenate(runs))
-        w = at_w.astype(np.int32)[np.concatenate(word)]
-        doc, train = np.concatenate(doc), np.concatenate(train)
-        del contexts, runs, words, word, first, second, at_c, at_w
-        # counts of words; the frequent ones' come from all buckets
-        n_word = np.bincount(w[train], minlength=len(known_w))
-        is_hot = np.zeros(len(known_w), bool)
-        if len(hot) and len(known_w):
-            place = np.minimum(np.searchsorted(hot, known_w), len(hot) - 1)
-            is_hot = hot[place] == known_w
-            n_word = np.where(is_hot, hot_counts[place], n_word)
-        keys, at = np.unique(c.astype(np.int64) * len(known_w) + w, return_inverse=True)
-        at = at.astype(np.int32)
-        n_pair = np.bincount(at[train], minlength=len(keys))
-        r, s = n_pair.astype(np.int32)[at], n_word[w]
-        seen = r > 0
-        log = lambda x: np.log10(np.maximum(x, 1))
-        per = lambda where, weight=None: np.bincount(doc[where], None if weight is None else weight[where], minlength=base)
-        ints = np.stack([per(s > 0), *(per(r == i) for i in range(1, k + 1)), *(per(~seen & (s == i)) for i in range(1, k + 1)), per(~seen & (s > 0)), per(~seen & (s == 0))])
-        as_context = -np.log10(s + PSEUDO)
-        reals = np.stack([per(seen, log(r)), per(~seen, log(s)), per((s > 0) & (known_w[w] != END), as_context)])
-        bases = per(slice(None), np.log10(s + 1.0))
-        parts = []
-
-        def add(kind: str, rows_of: int, **columns) -> None:
-            if rows_of:
-                whole = pa.table([pa.array([kind] * rows_of) if x == "kind" else pa.array(columns[x], t) if x in columns else pa.nulls(rows_of, t) for x, t in types.items()], names=list(types))
-                parts.extend(whole.slice(a, 1 << 15) for a in range(0, rows_of, 1 << 15))  # sent as batches of this size
-
-        types = {"kind": pa.string(), "context": pa.int64(), "word": pa.int64(), "n": pa.int64(), "n_word": pa.int64(), "batch": pa.int64(), "doc": pa.int32(), "blob": pa.binary(), "base": pa.binary(), "ids": pa.binary()}
-        kept = n_pair > 0
-        kc, kw = keys[kept] // max(1, len(known_w)), keys[kept] % max(1, len(known_w))
-        add("counts", len(kc), context=known_c[kc].astype(np.int64), word=known_w[kw].astype(np.int64), n=n_pair[kept], n_word=n_word[kw])
-        own = n_word[~is_hot & (n_word > 0)]
-        for kind, x in (("words", own), ("pairs", n_pair[kept])):
-            few = np.bincount(np.minimum(x, k + 2), minlength=k + 3)[1:]
-            add(kind, k + 3, n=np.append(few, x.sum()), word=np.arange(1, k + 4))
+        common.lean()
+        table = table.sort_by("batch")
+        blobs = [c for c, t in zip(table.column_names, table.schema.types, strict=True) if t == pa.binary()]
+        # the packed arrays stay where they are: only views are taken
+        rows = [r | {c: x.as_buffer() for c, x in zip(blobs, own, strict=True)} for r, own in zip(table.drop_columns(blobs).to_pylist(), zip(*(table.column(c) for c in blobs), strict=True), strict=True)]
         at_doc = np.cumsum([0, *[x["n_docs"] for x in rows]])
-        pair, times = np.unique(c[~seen].astype(np.int64) * max(1, base) + doc[~seen], return_counts=True)
-        by, on = pair // max(1, base), pair % max(1, base)
-        of = np.searchsorted(at_doc, on, "right") - 1
         numbers = np.array([x["batch"] for x in rows], np.int64)
-        add("unseen", len(of), context=known_c[by].astype(np.int64), batch=numbers[of], doc=(on - at_doc[of]).astype(np.int32), n=times)
-        cuts = list(zip(at_doc[:-1], at_doc[1:], strict=True))
-        add("docs", len(rows), batch=numbers, blob=[_pack(ints[:, a:z].astype(np.int32)) for a, z in cuts], base=[bases[a:z].tobytes() + reals[:, a:z].astype(np.float32).tobytes() for a, z in cuts], ids=[x["ids"] for x in rows])
-        return pa.concat_tables(parts) if parts else pa.table({x: pa.nulls(0, t) for x, t in types.items()})
+        out: list[pa.Table] = []
+        sums: list[tuple] = []
+        few = {"words": np.zeros(k + 3, np.int64), "pairs": np.zeros(k + 3, np.int64)}
+        for part in range(parts):
+            known_c, known_w, c, w, doc, train = _part(rows, part, parts)
+            if not len(c):
+                continue
+            # counts of words; the frequent ones' come from all buckets
+            n_word = np.bincount(w[train], minlength=len(known_w))
+            is_hot = np.zeros(len(known_w), bool)
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, known_w), len(hot) - 1)
+                is_hot = hot[place] == known_w
+                n_word = np.where(is_hot, hot_counts[place], n_word)
+            keys, at = np.unique(c.astype(np.int64) * len(known_w) + w, return_inverse=True)
+            at = at.astype(np.int32)
+            n_pair = np.bincount(at[train], minlength=len(keys))
+            r, s = n_pair.astype(np.int32)[at], n_word[w]
+            seen = r > 0
+            present, d = np.unique(doc, return_inverse=True)
+            per = lambda where, weight=None: np.bincount(d[where], None if weight is None else weight[where], minlength=len(present))  # noqa: B023, E731
+            log = lambda x: np.log10(np.maximum(x, 1))
+            ints = [per(s > 0), *(per(r == i) for i in range(1, k + 1)), *(per(~seen & (s == i)) for i in range(1, k + 1)), per(~seen & (s > 0)), per(~seen & (s == 0))]
+            sums.append((present, np.stack(ints).astype(np.int32), np.stack([per(slice(None), np.log10(s + 1.0)), per(seen, log(r)), per(~seen, log(s))])))
+            kept = n_pair > 0
+            kc, kw = keys[kept] // len(known_w), keys[kept] % len(known_w)
+            out += _rows("counts", len(kc), context=known_c[kc].astype(np.int64), word=known_w[kw].astype(np.int64), n=n_pair[kept], n_word=n_word[kw])
+            for kind, x in (("words", n_word[~is_hot & (n_word > 0)]), ("pairs", n_pair[kept])):
+                few[kind] += np.append(np.bincount(np.minimum(x, k + 2), minlength=k + 3)[1:], x.sum())
+            pair, times = np.unique(c[~seen] * len(present) + d[~seen], return_counts=True) if len(present) * len(known_c) < 1 << 31 else np.unique(c[~seen].astype(np.int64) * len(present) + d[~seen], return_counts=True)
+            on = present[pair % len(present)]
+            of = np.searchsorted(at_doc, on, "right") - 1
+            out += _rows("unseen", len(of), context=known_c[pair // len(present)].astype(np.int64), batch=numbers[of], doc=(on - at_doc[of]).astype(np.int32), n=times)
+        for kind, x in few.items():
+            out += _rows(kind, k + 3, n=x, word=np.arange(1, k + 4))
+        docs, ints, reals = np.zeros(0, np.int64), np.zeros((_ints(k), 0), np.int32), np.zeros((3, 0))
+        if sums:
+            every = np.concatenate([x[0] for x in sums])
+            docs, at = np.unique(every, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(docs)))
+            ints, reals = (np.add.reduceat(np.concatenate([x[i] for x in sums], axis=1)[:, order], first, axis=1) for i in (1, 2))
+        cuts = np.searchsorted(docs, at_doc)
+        blobs, bases = [], []
+        for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            blobs.append(_pack(np.concatenate([(docs[a:z] - at_doc[i]).astype(np.int32), ints[:, a:z].astype(np.int32).reshape(-1)])))
+            bases.append(reals[0, a:z].tobytes() + reals[1:, a:z].astype(np.float32).tobytes())
+        out += _rows("docs", len(rows), batch=numbers, doc=np.diff(cuts), blob=blobs, base=bases, ids=[x["ids"] and x["ids"].to_pybytes() for x in rows])
+        return pa.concat_tables(out)
 
     return run
 
@@ -258,15 +284,14 @@ class Model:
     unknown: float
 
 
-def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_bytes: int = BUCKET_BYTES) -> Model:
+def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_bytes: int = BUCKET_BYTES, parts: int = PARTS) -> Model:
     """Learns from the rows of docs where `held` is false (default: held_out(doc_id)) and scores all of them."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), (held_out(F.col("doc_id")) if held is None else held).alias("held"))
     size = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).collect()[0][0] or 0
     buckets = max(8, -(-size // bucket_bytes))
     frequent = _frequent(slim, buckets)
-    packed = _pairs(slim, buckets, np.array(sorted(frequent), _U))
-    done = common.cut(packed.groupBy("bucket").applyInArrow(_count(frequent, k), _OUT), "kind")
-    common.release(docs.sparkSession)
+    done = common.cut(_pairs(slim, buckets, np.array(sorted(frequent), _U)).groupBy("bucket").applyInArrow(_count(frequent, k, parts), _OUT), "kind")
+    common.release(docs.sparkSession)  # nothing refers to the packed pairs any more
     numbers = {(r["kind"], r["word"]): r["n"] for r in done.filter("kind in ('words', 'pairs')").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()}
     of = lambda kind: [numbers.get((kind, i)) or 0 for i in range(1, k + 4)]  # noqa: E731  counted 1..k+1 times, more often, sum
     words, pairs = of("words"), of("pairs")
@@ -292,27 +317,32 @@ def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_by
     # unseen pairs: in place of -log10(n_context + PSEUDO), which every known context has left, log10 alpha
     weight = F.col("n") * (F.col("log_alpha") + F.log10(F.col("n_context") + PSEUDO))
     unseen = done.filter("kind = 'unseen'").select("context", "batch", "doc", "n").join(backoff, "context").groupBy("batch", "doc").agg(F.sum(weight).alias("unseen"))
-    start = -math.log10(of_start) if (of_start := _starts(slim) + PSEUDO) > PSEUDO else 0.0
+    starts = slim.filter(~F.col("held")).count()
+    start = -math.log10(starts + PSEUDO)
     logs = [math.log10(x) for x in (*d_pair, *d_word)]
     log_n, log_unknown, log_base = math.log10(whole), math.log10(unknown), math.log10(total + vocabulary + 1)
     id_kind = slim.schema["doc_id"].dataType.simpleString()
 
+    # every token but the end is a context; its total and the base score's term are both log10(count + 1)
+    end = math.log10(starts + 1)
+
     def add_up(table: pa.Table) -> pa.Table:
         """All buckets' sums for one batch."""
-        ints, reals, base, ids, number = 0, 0, 0, None, table.column("batch")[0].as_py()
-        for r in table.sort_by("order").to_pylist():
-            x = _unpack(r["blob"], np.int32).reshape(_ints(k), -1)
-            ints, n = ints + x.astype(np.int64), x.shape[1]
-            base = base + np.frombuffer(r["base"][: 8 * n])
-            reals = reals + np.frombuffer(r["base"][8 * n :], np.float32).reshape(_REALS, -1).astype(np.float64)
-            ids = r["ids"] or ids
-        described = pa.ipc.open_stream(ids).read_all()
+        rows = table.sort_by("order").to_pylist()
+        described = pa.ipc.open_stream(next(r["ids"] for r in rows if r["ids"])).read_all()
+        m, number = described.num_rows, rows[0]["batch"]
+        ints, reals = np.zeros((_ints(k), m), np.int64), np.zeros((3, m))
+        for r in rows:
+            n = r["doc"]
+            x = _unpack(r["blob"], np.int32)
+            ints[:, x[:n]] += x[n:].reshape(_ints(k), n)
+            reals[0, x[:n]] += np.frombuffer(r["base"][: 8 * n])
+            reals[1:, x[:n]] += np.frombuffer(r["base"][8 * n :], np.float32).reshape(2, n)
         tokens = described.column("n_tokens").to_numpy()
-        score = start + reals.sum(axis=0) + sum(x * n for x, n in zip(logs, ints[1 : 1 + 2 * k], strict=True)) - log_n * ints[1 + 2 * k] + log_unknown * ints[2 + 2 * k]
-        m = len(tokens)
-        return pa.table({"batch": pa.array([number] * m, pa.int64()), "doc": pa.array(range(m), pa.int32()), "doc_id": described.column("doc_id"), "held_out": described.column("held"), "n_tokens": pa.array(tokens), "n_known": pa.array(ints[0]), "base_score": pa.array(base - tokens * log_base), "seen": pa.array(score)})
+        score = start - (reals[0] - end) + reals[1] + reals[2] + sum(x * n for x, n in zip(logs, ints[1 : 1 + 2 * k], strict=True)) - log_n * ints[1 + 2 * k] + log_unknown * ints[2 + 2 * k]
+        return pa.table({"batch": pa.array([number] * m, pa.int64()), "doc": pa.array(range(m), pa.int32()), "doc_id": described.column("doc_id"), "held_out": described.column("held"), "n_tokens": pa.array(tokens), "n_known": pa.array(ints[0]), "base_score": pa.array(reals[0] - tokens * log_base), "seen": pa.array(score)})
 
-    per_batch = done.filter("kind = 'docs'").select("batch", "blob", "base", "ids", F.xxhash64("blob", "base").alias("order"))
+    per_batch = done.filter("kind = 'docs'").select("batch", "doc", "blob", "base", "ids", F.xxhash64("blob", "base").alias("order"))
     each = per_batch.groupBy("batch").applyInArrow(add_up, f"batch long, doc int, doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, seen double")
     scores = each.join(unseen, ["batch", "doc"], "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("seen") + F.coalesce("unseen", F.lit(0.0))).alias("score"))
     return Model(counts, backoff, scores, d_word, d_pair, int(total), int(vocabulary), unknown)
@@ -320,7 +350,3 @@ def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_by
 
 def _ints(k: int) -> int:
     return 1 + 2 * k + 2
-
-
-def _starts(slim: DataFrame) -> int:
-    return slim.filter(~F.col("held")).count()
