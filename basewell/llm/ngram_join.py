@@ -206,8 +206,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that stay: of each class the row whose doc_id is the class's least, once. Rows without a doc_id stay."""
-    stay = join(docs, **params).groupBy("class_id").count().select(F.col("class_id").alias("_stay"))
-    row = common.fresh(docs, "_row")
+    name, row = common.fresh(docs, "_stay"), common.fresh(docs, "_row")
+    stay = join(docs, **params).groupBy("class_id").count().select(F.col("class_id").alias(name))
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left").filter("_stay is not null or doc_id is null").drop("_stay")
+    kept = docs.join(stay, F.col("doc_id") == F.col(name), "left").filter(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
     return kept.withColumn(row, once).filter((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)

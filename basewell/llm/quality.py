@@ -115,5 +115,6 @@ def filtered(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs whose document is kept, with all their columns.
 
     doc_id ties: a doc_id is dropped if any row that carries it fails."""
-    bad = assess(docs, **params).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = common.fresh(docs, "_bad")
+    bad = assess(docs, **params).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
