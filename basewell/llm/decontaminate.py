@@ -247,3 +247,25 @@ def _without(text: str, hit: np.ndarray) -> str:
         at = stops[b - 1]
     out.append(raw[at:])
     return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+ORACLE_SQL = r"""
+with low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select doc_id, regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+') as w from low),
+i as (
+  select item_id, w, least(10, len(w)) as n from (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark
+  ) where len(w) > 0
+),
+iw as (select distinct item_id, n, array_to_string(w[a : a + n - 1], ' ') as s from (select *, unnest(range(1, len(w) - n + 2)) as a from i)),
+dw as (
+  select doc_id, n, a, array_to_string(w[a : a + n - 1], ' ') as s
+  from (select d.doc_id, d.w, z.n, unnest(range(1, len(d.w) - z.n + 2)) as a from d, (select distinct n from i) as z)
+),
+hit as (select doc_id, dw.n, a, item_id from dw join iw on iw.n = dw.n and iw.s = dw.s),
+words as (select doc_id, count(*) as c from (select distinct doc_id, unnest(range(a, a + n)) as p from (select distinct doc_id, n, a from hit)) group by doc_id),
+items as (select doc_id, count(*) as c, string_agg(x, ',' order by x) as s from (select distinct doc_id, cast(item_id as varchar) as x from hit where item_id is not null) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(words.c, 0) as n_hit, coalesce(items.c, 0) as n_items,
+       sha256(coalesce(items.s, '')) as items_sha256, words.c is not null as contaminated
+from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""

@@ -211,3 +211,23 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
     kept = docs.join(stay, F.col("doc_id") == F.col(name), "left").filter(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
     return kept.withColumn(row, once).filter((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents
+),
+g as (
+  select distinct doc_id, array_to_string(w[a : a + 4], ' ') as s from (select *, unnest(range(1, len(w) - 3)) as a from d where len(w) >= 5)
+  union all
+  select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4
+),
+z as (select doc_id, count(*) as n from g group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from g as x join g as y on x.s = y.s and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+link as (select a, b, c = za.n and c = zb.n as same from common join z as za on za.doc_id = a join z as zb on zb.doc_id = b where c >= 0.8 * (za.n + zb.n - c)),
+reach as (select doc_id, doc_id as other from d union select reach.doc_id, link.b from reach join link on link.a = reach.other),
+class as (select doc_id, min(other) as class_id from reach group by doc_id)
+select d.doc_id, class_id, least(d.doc_id, coalesce((select min(b) from link where link.a = d.doc_id and same), d.doc_id)) as copy_id,
+       (select count(*) from link where link.a = d.doc_id) as n_links
+from d join class on class.doc_id = d.doc_id
+"""

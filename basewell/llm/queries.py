@@ -34,7 +34,7 @@ def op5_source_mixing(spark, sf_dir):
 
 
 def op6_decontamination(spark, sf_dir):
-    return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return decontaminate.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op7_suffix_dedup(spark, sf_dir):
@@ -68,5 +68,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op6_decontamination": decontaminate.ORACLE_SQL,
+        "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op8_line_dedup": lines.ORACLE_SQL,
     }

@@ -232,3 +232,24 @@ def dedupe(docs: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[k], t) for k, t in types.items())], names=["doc_id", *types])
 
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as bytes from d),
+s as (select doc_id, i, md5(substr(h, cast(2 * i + 1 as bigint), 400)) as m from (select doc_id, h, unnest(range(0, bytes - 199)) as i from n where bytes >= 200)),
+again as (select m from s group by m having count(*) > 1),
+hit as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from s where m in (select m from again)),
+numbered as (select doc_id, i, sum(case when before is null or i - before > 200 then 1 else 0 end) over (partition by doc_id order by i) as k from hit),
+span as (select doc_id, k, min(i) as a, max(i) + 200 as z from numbered group by doc_id, k),
+gap as (select span.doc_id, k, a, z, coalesce(lag(z) over (partition by span.doc_id order by k), 0) as left_off from span),
+piece as (
+  select gap.doc_id, k, substr(h, cast(2 * left_off + 1 as bigint), cast(2 * (a - left_off) as bigint)) as x from gap join n on n.doc_id = gap.doc_id
+  union all
+  select n.doc_id, 1000000000, substr(h, cast(2 * coalesce(e.z, 0) + 1 as bigint)) from n left join (select doc_id, max(z) as z from span group by doc_id) as e on e.doc_id = n.doc_id
+),
+kept as (select doc_id, string_agg(x, '' order by k) as x from piece group by doc_id),
+gone as (select doc_id, count(*) as c, sum(z - a) as b from span group by doc_id)
+select n.doc_id, n.bytes as n_bytes, cast(coalesce(gone.b, 0) as bigint) as n_removed, coalesce(gone.c, 0) as n_spans, sha256(unhex(kept.x)) as kept_sha256
+from n join kept on kept.doc_id = n.doc_id left join gone on gone.doc_id = n.doc_id
+"""
