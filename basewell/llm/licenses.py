@@ -174,3 +174,35 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD, phrases:
 
     of_id = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"doc_id {of_id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label: string, template: int, first_line: int, stop_line: int, containment: double>>")
+
+
+def oracle_sql() -> str:
+    """The contract's columns in SQL, every block held against every template."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = lambda x: f"regexp_extract_all({low.format(x)}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    templates = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (label, text) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES.items())
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, {words("coalesce(text, '')")} as w from documents),
+t as (select id, label, list_distinct({words("text")}) as w from (values {templates}) as v(id, label, text)),
+tw as (select id, unnest(w) as word from t),
+line as (select doc_id, n, {words("l[n]")} as w from (select doc_id, l, unnest(range(1, len(l) + 1)) as n from (select doc_id, string_split(text, chr(10)) as l from d))),
+own as (select doc_id, n, w, n - row_number() over (partition by doc_id order by n) as p from line where len(w) > 0),
+bw as (
+  select distinct doc_id, 'l' || n as b, unnest(w) as word from own
+  union all
+  select distinct doc_id, 'p' || p as b, unnest(w) as word from own
+),
+met as (select doc_id, b, id, count(*) as c from bw join tw on bw.word = tw.word group by doc_id, b, id),
+found as (select doc_id, label, c / len(w) as share from met join t on t.id = met.id where c >= ceil({THRESHOLD} * len(w) - 1e-9)),
+place as (
+  select doc_id, i - 1 as i, label from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d where list_contains(w, 'license')) as x,
+  (values {phrases}) as p(phrase, label, n) where array_to_string(w[i : i + n - 1], ' ') = phrase
+),
+base as (select doc_id, count(*) as c, min(i) as a, max(i) as z, string_agg(distinct label, ',' order by label) as s from place group by doc_id),
+every as (select doc_id, string_agg(distinct label, ',' order by label) as s from (select doc_id, label from place union select doc_id, label from found) group by doc_id),
+best as (select doc_id, max(share) as share from found group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(base.c, 0) as n_base, base.a as first_word, base.z as last_word, coalesce(base.s, '') as base_labels,
+       coalesce(every.s, '') as labels, case when base.c is not null then 1.0::double else coalesce(best.share, 0)::double end as score
+from d left join base on base.doc_id = d.doc_id left join every on every.doc_id = d.doc_id left join best on best.doc_id = d.doc_id
+"""

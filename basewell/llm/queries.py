@@ -26,7 +26,7 @@ def op3_html_extraction(spark, sf_dir):
 
 
 def op4_license_scan(spark, sf_dir):
-    return licenses.scan(common.read(spark, sf_dir, "documents"))
+    return licenses.scan(common.read(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op5_source_mixing(spark, sf_dir):
@@ -69,6 +69,7 @@ def queries():
 def oracle_sql():
     return {
         "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op4_license_scan": licenses.oracle_sql(),
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op8_line_dedup": lines.ORACLE_SQL,
