@@ -118,3 +118,38 @@ def filtered(docs: DataFrame, **params) -> DataFrame:
     name = common.fresh(docs, "_bad")
     bad = assess(docs, **params).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
+def oracle_sql() -> str:
+    """The query in SQL with exact quartiles, which the summaries give too in groups of up to ACCURACY / 2 documents."""
+    names = list(RULES)
+    quartile = lambda m, q, by: f"max(case when r_{m} = greatest(1, cast(ceil({q} * n) as bigint)) then {m} end)"
+    ranks = lambda by: ", ".join(f"row_number() over (partition by {by} order by {m}) as r_{m}" for m in names)
+    quartiles = ", ".join(f"{quartile(m, q, '')} as {m}_{k}" for m in names for k, q in (("q1", 0.25), ("q3", 0.75)))
+    pick = ", ".join(f"case when own.n >= {MIN_GROUP} then own.{m}_{k} else whole.{m}_{k} end as {m}_{k}" for m in names for k in ("q1", "q3"))
+    width = lambda m: f"({REACH} * ({m}_q3 - {m}_q1) + {RULES[m][1]})"
+    broken = ", ".join(f"case when {m} > {m}_q3 + {width(m)}" + (f" or {m} < {m}_q1 - {width(m)}" if RULES[m][0] == "both" else "") + f" then '{m}' end" for m in names)
+    group = lambda name, by: f"{name}_r as (select *, count(*) over (partition by {by}) as n, {ranks(by)} from m where n_words > 0), {name} as (select {by}, max(n) as n, {quartiles} from {name}_r group by {by})"
+    return f"""
+with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+win as (select doc_id, a, array_to_string(w[a : a + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as a from w where len(w) >= 5)),
+often as (select doc_id, s from win group by doc_id, s having count(*) > 1),
+rep as (select doc_id, count(*) as c from (select distinct win.doc_id, unnest(range(a, a + 5)) as p from win join often on often.doc_id = win.doc_id and often.s = win.s) group by doc_id),
+c as (
+  select w.doc_id, lang, source, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+         len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(rep.c, 0) as n_repeat_words
+  from w left join rep on rep.doc_id = w.doc_id
+),
+m as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, case when word_chars > 0 then n_symbols / word_chars else 0.0::double end as symbol_ratio,
+         case when n_lines > 0 then n_dup_lines / n_lines else 0.0::double end as dup_line_ratio, case when n_words > 0 then n_repeat_words / n_words else 0.0::double end as repeat_ratio,
+         case when n_words > 0 then word_chars / n_words else 0.0::double end as mean_word
+  from c
+),
+{group("own", "lang, source")},
+{group("whole", "lang")},
+f as (select m.*, {pick} from m left join own on own.lang is not distinct from m.lang and own.source is not distinct from m.source left join whole on whole.lang is not distinct from m.lang),
+b as (select *, list_filter([{broken}], lambda x: x is not null) as x from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and len(x) = 0 as kept, array_to_string(x, ',') as broken from b
+"""

@@ -73,4 +73,5 @@ def oracle_sql():
         "op6_decontamination": decontaminate.ORACLE_SQL,
         "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op8_line_dedup": lines.ORACLE_SQL,
+        "op9_quality_rules": quality.oracle_sql(),
     }
