@@ -53,8 +53,3 @@ def clashing(docs):
 
     names = ["_h", "_d", "_bad", "_stay", "_row", "_copy", "_pieces", "_d1", "node", "c", "n", "k", "size", "kept", "held", "bands", "_t", "_w", "spans", "key", "labels"]
     return docs.select("*", *[F.lit("?").alias(x) for x in names])
-
-
-def bag(df, *columns):
-    """A DataFrame's rows as a sorted list."""
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)

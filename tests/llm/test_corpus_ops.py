@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import bag
+from helpers import bag
 
 from basewell.llm import katz, mixing, ngram_join, packing, suffix_dedup
 

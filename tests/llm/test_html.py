@@ -1,5 +1,5 @@
 import pytest
-from conftest import bag
+from helpers import bag
 
 from basewell.llm import html
 
