@@ -140,9 +140,43 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, one after the other, and the number of each text's words.
 
-    Equal words have equal hashes anywhere. Prefix sums of a polynomial over random byte values make
-    it a few array operations per byte, without a Python object per word."""
-    raws = [t.encode("utf-8", "surrogatepass").translate(table) if t else b"" for t in texts]
+    Equal words have equal hashes anywhere. Texts are hashed in buffers of about CHUNK_BYTES: longer ones are cut
+    between words, so memory doesn't follow the longest text."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    parts: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if parts:
+            h, n = _buffer_hashes(parts)
+            hashes.append(h)
+            np.add.at(counts, owners, n)
+            parts.clear()
+            owners.clear()
+            held = 0
+
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass").translate(table) if t else b""
+        a = 0
+        while a < len(raw):
+            z = len(raw)
+            if z - a > CHUNK_BYTES:
+                z = raw.rfind(b" ", a, a + CHUNK_BYTES) + 1 or raw.find(b" ", a + CHUNK_BYTES) + 1 or len(raw)
+            if held and held + z - a > CHUNK_BYTES:
+                flush()
+            parts.append(raw[a:z])
+            owners.append(i)
+            held += z - a
+            a = z
+    flush()
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
+def _buffer_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of translated texts in one buffer. Prefix sums of a polynomial over random byte values make it a few array
+    operations per byte, without a Python object per word."""
     data = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raws])
     edge = np.diff((data != 32).astype(np.int8), prepend=0, append=0)

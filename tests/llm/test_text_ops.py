@@ -18,7 +18,7 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_words(rows):
+def test_words(rows, monkeypatch):
     for _, t, *_ in rows:
         assert [w.decode() for w in common.words(t, common.LOWER_ALNUM)] == ALNUM.findall(lower(t))
         assert [w.decode() for w in common.words(t, common.SPACED)] == SPACED.findall(t or "")
@@ -28,6 +28,10 @@ def test_words(rows):
     assert len(words) == len(h) == n.sum() and len(set(h.tolist())) == len(set(words))
     assert len({*zip(words, h.tolist(), strict=True)}) == len(set(words))
     assert np.array_equal(h, np.concatenate([common.word_hashes([t], common.LOWER_SPACED)[0] for t in texts]))
+    for small in (1, 7, 300):
+        monkeypatch.setattr(common, "CHUNK_BYTES", small)
+        again = common.word_hashes(texts, common.LOWER_SPACED)
+        assert np.array_equal(h, again[0]) and np.array_equal(n, again[1])
 
 
 def quality_counts(t):
