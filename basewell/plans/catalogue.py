@@ -4,6 +4,8 @@ Sequences come from whole texts: their letters dealt to A C G T. `documents` are
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from . import build
 FULL = IndexParams(c=11, f=16, max_range_size=64)
 SAMPLED = IndexParams(c=11, f=16, s=5, max_range_size=64)
 HASHED = IndexParams(c=11, f=16, s=5, layout="hash")
+#: The same without a cap: every occurrence of every key is kept.
+WHOLE = IndexParams(c=11, f=16)
+WHOLE_SAMPLED = IndexParams(c=11, f=16, s=5)
 LITERAL_CORE = "ACGTACCACAC"
 
 
@@ -99,20 +104,20 @@ def index_stats(spark, sf_dir):
     return build.build_index(_sequences(spark, sf_dir), SAMPLED).stats
 
 
-def vrange_layout(spark, sf_dir):
-    return ix.ranges(_keys(spark, sf_dir, SAMPLED), SAMPLED)
+def vrange_layout(spark, sf_dir, p=SAMPLED):
+    return ix.ranges(_keys(spark, sf_dir, p), p)
 
 
-def index_long(spark, sf_dir):
-    return _index(spark, sf_dir, SAMPLED)
+def index_long(spark, sf_dir, p=SAMPLED):
+    return _index(spark, sf_dir, p)
 
 
-def index_slots(spark, sf_dir):
-    return ix.slots(_index(spark, sf_dir, SAMPLED)).select("key", "slot", "ref_id", "pos")
+def index_slots(spark, sf_dir, p=SAMPLED):
+    return ix.slots(_index(spark, sf_dir, p)).select("key", "slot", "ref_id", "pos")
 
 
-def index_nested(spark, sf_dir):
-    found = ix.nested(_index(spark, sf_dir, SAMPLED))
+def index_nested(spark, sf_dir, p=SAMPLED):
+    found = ix.nested(_index(spark, sf_dir, p))
     line = lambda v: F.concat_ws(":", v["ref_id"].cast("string"), v["pos"].cast("string"), F.coalesce(v["flank"].cast("string"), F.lit("")))
     return found.select("key", "n", F.array_join(F.transform("values", line), ",").alias("listed"))
 
@@ -135,51 +140,51 @@ def unpack_positions(spark, sf_dir):
     return pack_positions(spark, sf_dir).select("packed", dna.unpack("packed").alias("v"), dna.unpack("cell").alias("c")).select("packed", "v.ref_id", "v.pos", F.col("c.ref_id").alias("cell_ref_id"))
 
 
-def flank_hamming(spark, sf_dir):
-    met = match._met(_queries(spark, sf_dir, SAMPLED), _index(spark, sf_dir, SAMPLED)).filter("flank is not null")
+def flank_hamming(spark, sf_dir, p=SAMPLED):
+    met = match._met(_queries(spark, sf_dir, p), _index(spark, sf_dir, p)).filter("flank is not null")
     return met.select("query_id", "qpos", "ref_id", "rpos", dna.hamming("qflank", "flank").alias("dist"))
 
 
-def point_lookup(spark, sf_dir):
-    return match.lookup_word(_index(spark, sf_dir, FULL), LITERAL_CORE)
+def point_lookup(spark, sf_dir, p=FULL):
+    return match.lookup_word(_index(spark, sf_dir, p), LITERAL_CORE)
 
 
-def all_matches(spark, sf_dir):
-    return match.all_matches(_queries(spark, sf_dir, FULL), _index(spark, sf_dir, FULL))
+def all_matches(spark, sf_dir, p=FULL):
+    return match.all_matches(_queries(spark, sf_dir, p), _index(spark, sf_dir, p))
 
 
-def lookup_join(spark, sf_dir):
-    keys = ix.ranges(_keys(spark, sf_dir, SAMPLED), SAMPLED)
-    return _queries(spark, sf_dir, SAMPLED).join(keys.select("key", "n", "v_start", "v_end"), "key").select("query_id", "qpos", "key", "n", "v_start", "v_end")
+def lookup_join(spark, sf_dir, p=SAMPLED):
+    keys = ix.ranges(_keys(spark, sf_dir, p), p)
+    return _queries(spark, sf_dir, p).join(keys.select("key", "n", "v_start", "v_end"), "key").select("query_id", "qpos", "key", "n", "v_start", "v_end")
 
 
-def best_flex_match(spark, sf_dir):
-    return match.best_flex_match(_queries(spark, sf_dir, FULL), _index(spark, sf_dir, FULL))
+def best_flex_match(spark, sf_dir, p=FULL):
+    return match.best_flex_match(_queries(spark, sf_dir, p), _index(spark, sf_dir, p))
 
 
-def lookup_misses(spark, sf_dir):
-    return match.misses(_queries(spark, sf_dir, SAMPLED), _keys(spark, sf_dir, SAMPLED)).select("query_id", "qpos", "key")
+def lookup_misses(spark, sf_dir, p=SAMPLED):
+    return match.misses(_queries(spark, sf_dir, p), _keys(spark, sf_dir, p)).select("query_id", "qpos", "key")
 
 
-def rarest_first(spark, sf_dir):
-    return match.rarest_first(_queries(spark, sf_dir, SAMPLED), _keys(spark, sf_dir, SAMPLED))
+def rarest_first(spark, sf_dir, p=SAMPLED):
+    return match.rarest_first(_queries(spark, sf_dir, p), _keys(spark, sf_dir, p))
 
 
-def match_names(spark, sf_dir):
+def match_names(spark, sf_dir, p=SAMPLED):
     refs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
-    return match.with_names(match.best_flex_match(_queries(spark, sf_dir, SAMPLED), _index(spark, sf_dir, SAMPLED)), refs).select("query_id", "qpos", "name", "rpos", "dist")
+    return match.with_names(match.best_flex_match(_queries(spark, sf_dir, p), _index(spark, sf_dir, p)), refs).select("query_id", "qpos", "name", "rpos", "dist")
 
 
-def range_format(spark, sf_dir):
-    return display.shown(_index(spark, sf_dir, SAMPLED))
+def range_format(spark, sf_dir, p=SAMPLED):
+    return display.shown(_index(spark, sf_dir, p))
 
 
 def hash_layout_truncation(spark, sf_dir):
     return _index(spark, sf_dir, HASHED).select("key", "n", "ref_id", "pos")
 
 
-def index_roundtrip(spark, sf_dir):
-    made, path = build.build_index(_sequences(spark, sf_dir), SAMPLED), store.shared_path(spark)
+def index_roundtrip(spark, sf_dir, p=SAMPLED):
+    made, path = build.build_index(_sequences(spark, sf_dir), p), store.shared_path(spark)
     made.save(path)
     return store.load(spark, path)[0]
 
@@ -190,8 +195,15 @@ _ALL = [
 ]
 
 
+#: Queries that stand on the index: each is also registered over one without a cap, as whole_<name>.
+_INDEXED = {
+    vrange_layout: WHOLE_SAMPLED, index_long: WHOLE_SAMPLED, index_slots: WHOLE_SAMPLED, index_nested: WHOLE_SAMPLED, flank_hamming: WHOLE_SAMPLED, point_lookup: WHOLE, all_matches: WHOLE, lookup_join: WHOLE_SAMPLED, best_flex_match: WHOLE,
+    lookup_misses: WHOLE_SAMPLED, rarest_first: WHOLE_SAMPLED, match_names: WHOLE_SAMPLED, range_format: WHOLE_SAMPLED, index_roundtrip: WHOLE_SAMPLED,
+}
+
+
 def queries():
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | {f"whole_{f.__name__}": partial(f, p=p) for f, p in _INDEXED.items()}
 
 
 # --- the same in DuckDB SQL -------------------------------------------------------------------------------------------
@@ -251,7 +263,13 @@ _SIZE = "(n + case when n > 2 then (n + 1) // 2 else 0 end)"
 
 
 def oracle_sql():
-    full, some, hashed, whole = _ix(FULL), _ix(SAMPLED), _ix(HASHED), IndexParams(c=11, f=16, orient="kmer")
+    whole = _sql(WHOLE, WHOLE_SAMPLED)
+    return _sql(FULL, SAMPLED) | {f"whole_{f.__name__}": whole[f.__name__] for f in _INDEXED}
+
+
+def _sql(every: IndexParams, sampled: IndexParams) -> dict[str, str]:
+    """The SQL of all queries; those on the index over one made with `every` or `sampled`."""
+    full, some, hashed, whole = _ix(every), _ix(sampled), _ix(HASHED), IndexParams(c=11, f=16, orient="kmer")
     asked = _windows("w", "benchmark", "item_id", 27)
     short = IndexParams(c=7, f=16, s=3, cells_per_body=64, structural_cap=True)
     packed = "((ref_id << 34) | pos)"
@@ -280,14 +298,14 @@ def oracle_sql():
         "reference_dictionary": "select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name from documents",
         "pack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select ref_id, pos, {packed} as packed, {cell} as cell from b",
         "unpack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select {packed} as packed, ref_id, pos, ({cell} >> 34) as cell_ref_id from b",
-        "flank_hamming": f"with {some}, {_q(SAMPLED)} select query_id, qpos, ref_id, pos as rpos, {_DIST} as dist from q join ix using (key) where flank is not null",
+        "flank_hamming": f"with {some}, {_q(sampled)} select query_id, qpos, ref_id, pos as rpos, {_DIST} as dist from q join ix using (key) where flank is not null",
         "point_lookup": f"with {full} select key, n, ref_id, pos, flank from ix where key = {number}",
-        "all_matches": f"with {full}, {_q(FULL)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
-        "lookup_join": f"with {some}, {_q(SAMPLED)}, {layout} select query_id, qpos, key, n, cast(z - size as bigint) as v_start, cast(z as bigint) as v_end from q join r using (key)",
-        "best_flex_match": f"with {full}, {_q(FULL)}, {_BEST} select query_id, qpos, key, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
-        "lookup_misses": f"with {some}, {_q(SAMPLED)} select query_id, qpos, key from q where key not in (select key from keys)",
-        "rarest_first": f"with {some}, {_q(SAMPLED)} select query_id, qpos, key, n, row_number() over (partition by query_id order by n, key, qpos) as rank from q join keys using (key)",
-        "match_names": f"with {some}, {_q(SAMPLED)}, {_BEST} select query_id, qpos, 'doc' || ref_id as name, rpos, dist from best",
+        "all_matches": f"with {full}, {_q(every)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "lookup_join": f"with {some}, {_q(sampled)}, {layout} select query_id, qpos, key, n, cast(z - size as bigint) as v_start, cast(z as bigint) as v_end from q join r using (key)",
+        "best_flex_match": f"with {full}, {_q(every)}, {_BEST} select query_id, qpos, key, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
+        "lookup_misses": f"with {some}, {_q(sampled)} select query_id, qpos, key from q where key not in (select key from keys)",
+        "rarest_first": f"with {some}, {_q(sampled)} select query_id, qpos, key, n, row_number() over (partition by query_id order by n, key, qpos) as rank from q join keys using (key)",
+        "match_names": f"with {some}, {_q(sampled)}, {_BEST} select query_id, qpos, 'doc' || ref_id as name, rpos, dist from best",
         "range_format": f"with {some} select key, string_agg(case when flank is null then '.. ' else {flank16} || ': ' end || {packed}, chr(10) order by ref_id, pos) as text, string_agg(case when flank is null then '.............. ' else {flank16} end || ': ' || ref_id || ' ' || pos, chr(10) order by ref_id, pos) as detail from ix group by key",
         "hash_layout_truncation": f"with {hashed} select key, n, ref_id, pos from (select *, row_number() over (partition by key order by ref_id, pos) - 1 as slot from ix) where slot < case when n > 2 then n - (n + 2) // 3 else n end",
         "index_roundtrip": f"with {some} select key, n, ref_id, pos, flank from ix",
