@@ -5,12 +5,15 @@ neighbour whose path shares the longer prefix (the one before it if equal). The
 subsequence, and lines that both share are deleted: that is what a site repeats on its pages. Lines inside an
 article or main element are known to be the page's own and stay, shared or not; where a page has such an
 element, lines outside it go; and menus, headers, footers, asides, adverts, notices, forms, comments and code are never lines, by their elements, roles
-and class words. A neighbour with nearly the same lines is a copy and deletes nothing.
+and class words.
+
+Copies (pages of a host with the same lines) are one page in this, at the least of their URLs, and all get its result. Of a page that shares
+over `copy_share` of its lines with its neighbour, only lines that the next neighbour shares too go, as the neighbour may be a near
+copy; if the host has no third page, all shared lines go, unless none would be left.
 
 Pairing sorts only URLs and line hashes, by range, so a host of any size is spread; the lines travel once, compressed.
 
-Defined results: null or empty html gives an empty text. A null or odd url belongs to the host "". Equal rows pair with each other as any
-others do. Broken markup is read as far as it goes; an unclosed comment or script runs to the end. Extra columns are ignored. An empty table
+Defined results: null or empty html gives an empty text. A null or odd url belongs to the host "". Equal rows get equal results. Broken markup is read as far as it goes; an unclosed comment or script runs to the end. Extra columns are ignored. An empty table
 gives an empty table. Blocks are joined by \\n; white space inside a block, and <br>, become one space.
 """
 
@@ -169,7 +172,7 @@ def shared(own: list[int], other: list[int]) -> list[int]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, key (of the row), lines (compressed), kinds and hashes of the lines."""
+    """page_id, url, lines (compressed), kinds and hashes of the lines, key (of the host and the lines, so copies have one key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -180,35 +183,40 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 blobs.append(pack.compress("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")))
                 kinds.append([k for _, k in found])
                 hashes.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("key"), pa.array(blobs, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "key", "lines", "kinds", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(blobs, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "lines", "kinds", "hashes"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     slim = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # the row's own key; equal rows have equal keys and, parsed alike, equal texts
-    keyed = slim.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    return keyed.mapInArrow(run, f"page_id {kind}, url string, key long, lines binary, kinds array<int>, hashes array<long>")
+    return slim.mapInArrow(run, f"page_id {kind}, url string, lines binary, kinds array<int>, hashes array<long>").withColumn("key", F.xxhash64(_host(), "hashes"))
+
+
+def _host():
+    return F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
 
 
 def pairs(urls: DataFrame) -> DataFrame:
-    """urls(key, url) -> key, other: each row's neighbour by URL path within its host, if the host has another row."""
-    url = F.lower(F.coalesce("url", F.lit("")))
-    host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    """urls(key, url) -> key, other, second: each row's neighbour by URL path within its host, if the host has another row, and the one on
+    the other side, or else the next but one on the same side, if the host has a third."""
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = urls.select("key", host.alias("host"), path.alias("path")).distinct().repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    spread = urls.select("key", _host().alias("host"), path.alias("path")).distinct().repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
     # written, as another evaluation might draw other bounds
     placed = common.cut(spread.select("*", F.spark_partition_id().alias("part")))
-    inside = Window.partitionBy("part").orderBy("host", "path", "key")
     row = F.struct("host", "path", "key")
-    ends = placed.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    parts = Window.orderBy("part")  # one row per partition
-    ends = ends.select("part", F.lag("last").over(parts).alias("before"), F.lead("first").over(parts).alias("after"))
-    around = placed.withColumns({"_b": F.lag(row).over(inside), "_a": F.lead(row).over(inside)}).join(ends, "part")
-    around = around.withColumns({"_b": F.coalesce("_b", "before"), "_a": F.coalesce("_a", "after")})
-    common_length = lambda x: F.when(F.col(x)["host"] == F.col("host"), _prefix(F.col(x)["path"], F.col("path"))).otherwise(-1)
-    around = around.withColumns({"_nb": F.coalesce(common_length("_b"), F.lit(-1)), "_na": F.coalesce(common_length("_a"), F.lit(-1))})
-    other = F.when(F.greatest("_nb", "_na") < 0, F.lit(None)).when(F.col("_nb") >= F.col("_na"), F.col("_b")["key"]).otherwise(F.col("_a")["key"])
-    return around.select("key", other.alias("other")).filter("other is not null")
+    near = lambda w: {"_b": F.lag(row).over(w), "_b2": F.lag(row, 2).over(w), "_a": F.lead(row).over(w), "_a2": F.lead(row, 2).over(w)}
+    around = placed.withColumns(near(Window.partitionBy("part").orderBy("host", "path", "key")))
+    # the first two and last two rows of each partition find theirs among each other
+    ends = around.filter("_b2 is null or _a2 is null").select("host", "path", "key").withColumns(near(Window.orderBy("host", "path", "key")))
+    ends = ends.select(F.struct("host", "path", "key").alias("_row"), *[F.col(x).alias(f"_e{x}") for x in ("_b", "_b2", "_a", "_a2")])
+    around = around.join(F.broadcast(ends), row == F.col("_row"), "left")
+    around = around.withColumns({x: F.coalesce(x, f"_e{x}") for x in ("_b", "_b2", "_a", "_a2")})
+    around = around.withColumns({x: F.when(F.col(x)["host"] == F.col("host"), F.col(x)) for x in ("_b", "_b2", "_a", "_a2")})
+    common_length = lambda x: F.coalesce(_prefix(F.col(x)["path"], F.col("path")), F.lit(-1))
+    around = around.withColumns({"_nb": F.when(F.col("_b").isNull(), -1).otherwise(common_length("_b")), "_na": F.when(F.col("_a").isNull(), -1).otherwise(common_length("_a"))})
+    before = F.col("_nb") >= F.col("_na")
+    other = F.when(before, F.col("_b")).otherwise(F.col("_a"))["key"]
+    second = F.when(before, F.coalesce("_a", "_b2")).otherwise(F.coalesce("_b", "_a2"))["key"]
+    return around.select("key", other.alias("other"), second.alias("second")).filter("other is not null")
 
 
 def _prefix(a, b):
@@ -218,25 +226,36 @@ def _prefix(a, b):
     return F.coalesce(F.get(differ, F.lit(0)) - 1, both)
 
 
+def repeated(own: list[int], other: list[int], second: list[int] | None, copy_share: float) -> tuple[list[int], set[int]]:
+    """Positions in `own` that its neighbour shares, and those of them that are the site's."""
+    same = shared(own, other)
+    if len(same) <= copy_share * max(len(own), len(other)):
+        return same, set(same)
+    if second is not None:
+        return same, set(same) & set(shared(own, second))
+    return same, set(same) if len(same) < len(own) else set()
+
+
 def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
     """Per page: page_id, url, text, n_chars, n_lines, n_shared (with the paired page), n_deleted (of these)."""
     parsed = _parsed(pages)
     # pages are parsed twice rather than written out: only URLs and line hashes are
     slim = common.cut(parsed.select("key", "url", "hashes"))
-    paired = pairs(slim.select("key", "url"))
-    hashes = slim.select(F.col("key").alias("other"), F.col("hashes").alias("other_hashes")).dropDuplicates(["other"])
-    both = parsed.join(paired.join(hashes, "other").select(F.col("key").alias("_k"), "other_hashes"), F.col("key") == F.col("_k"), "left")
+    one = slim.groupBy("key").agg(F.min("url").alias("url"), F.first("hashes").alias("hashes"))
+    paired = pairs(slim.groupBy("key").agg(F.min("url").alias("url")))
+    of = lambda c: one.select(F.col("key").alias(c), F.col("hashes").alias(f"{c}_hashes"))
+    found = paired.join(of("other"), "other").join(of("second"), "second", "left").select(F.col("key").alias("_k"), "other_hashes", "second_hashes")
+    both = parsed.join(found, F.col("key") == F.col("_k"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in common.slices(batches, "lines", 1 << 20):
             texts, n_lines, n_shared, n_deleted = [], [], [], []
-            for blob, kinds, own, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "hashes", "other_hashes")), strict=True):
+            for blob, kinds, own, other, second in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "hashes", "other_hashes", "second_hashes")), strict=True):
                 found = unpack.decompress(blob).decode("utf-8", "surrogatepass").split("\n") if kinds else []
-                same = shared(own, other) if other else []
-                repeated = set(same) if len(same) <= copy_share * max(len(own), len(other or ())) else set()
+                same, site = repeated(own, other, second, copy_share) if other else ([], set())
                 holder = 1 if 1 in kinds else 2 if 2 in kinds else 0
-                gone = {i for i in repeated if not kinds[i]}
+                gone = {i for i in site if not kinds[i]}
                 texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if i not in gone and k >= 1 * (holder > 0) and (holder != 1 or k == 1)))
                 n_lines.append(len(found))
                 n_shared.append(len(same))
@@ -244,4 +263,4 @@ def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64()), pa.array(n_deleted, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_deleted"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return both.select("page_id", "url", "lines", "kinds", "hashes", "other_hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long, n_deleted long")
+    return both.select("page_id", "url", "lines", "kinds", "hashes", "other_hashes", "second_hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long, n_deleted long")

@@ -79,3 +79,35 @@ def test_pairs_are_nearest(spark):
     prefix = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     for k, o in paired.items():
         assert prefix(urls[k], urls[o]) == max(prefix(urls[k], urls[j]) for j in range(len(urls) - 1) if j != k)
+
+
+def test_copies_and_mostly_shared_pages(spark):
+    site = "<div>Site name</div><div>Menu of this site</div>"
+    page = lambda own: f"{site}<p>{own}</p><p>more of {own}</p><p>end of {own}</p>"
+    rows = [(i, f"http://h.example/n/{i}", page(f"story {i}")) for i in range(6)]
+    # copies under other queries, schemes and paths, more than any neighbour reaches
+    rows += [(10 + i, f"http{'s' * (i % 2)}://h.example/n/2?from={i}", rows[2][2]) for i in range(5)] + [(20, "http://h.example/n/2b", rows[2][2])]
+    many = [f"<p>line {j}</p>" for j in range(19)]
+    rows += [(30 + i, f"http://m.example/{i}", "".join([*many[:9], f"<p>own {i}</p>", *many[9:]])) for i in range(5)]
+    rows += [(40 + i, f"http://two.example/{i}", "".join([*many, f"<p>own {i}</p>"])) for i in range(2)]
+    # a near copy (one line in 22 differs) isn't taken for the site's text
+    body = "".join(f"<p>passage {j}</p>" for j in range(19))
+    rows += [(50, "http://c.example/a", page("first")), (51, "http://c.example/b", f"{site}{body}<p>read at noon</p>"), (52, "http://c.example/b2", f"{site}{body}<p>read at night</p>"), (53, "http://c.example/c", page("last"))]
+    rows += [(60, "http://e.example/b", f"{site}{body}<p>read at noon</p>"), (61, "http://e.example/b2", f"{site}{body}<p>read at night</p>"), (62, "http://e.example/c", page("last"))]
+    for parts in (1, 6):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+        story = lambda own: f"{own}\nmore of {own}\nend of {own}"
+        assert len(got) == len(rows)
+        assert all(got[i] == story(f"story {i}") for i in range(6))
+        assert all(got[i] == got[2] for i in (10, 11, 12, 13, 14, 20))
+        assert all(got[30 + i] == f"own {i}" for i in range(5)) and all(got[40 + i] == f"own {i}" for i in range(2))
+        passages = "\n".join(f"passage {j}" for j in range(19))
+        assert [got[i] for i in (51, 52)] == [got[i] for i in (60, 61)] == [f"{passages}\nread at noon", f"{passages}\nread at night"]
+
+
+def test_second_neighbours(spark):
+    urls = [f"http://h.example/{i:03}" for i in range(40)] + ["http://g.example/1", "http://g.example/2", "http://f.example/1"]
+    near = {r["key"]: (r["other"], r["second"]) for r in html.pairs(spark.createDataFrame(list(enumerate(urls)), "key long, url string")).collect()}
+    assert near[40] == (41, None) and near[41] == (40, None) and 42 not in near and len(near) == 42
+    assert near[0] == (1, 2) and near[39] == (38, 37) and all(set(near[i]) == {i - 1, i + 1} for i in range(1, 39))
