@@ -2,10 +2,10 @@
 
 Each page is cut into text lines (its blocks). Within a host, pages are ordered by URL path, and a page is paired with the
 neighbour whose path shares the longer prefix (the one before it if equal). The two pages' lines are aligned by longest common
-subsequence, and lines that both share are deleted: that is what a site repeats on its pages. Lines inside an
-article or main element are known to be the page's own and stay, shared or not; where a page has such an
-element, lines outside it go; and menus, headers, footers, asides, adverts, notices, forms, comments and code are never lines, by their elements, roles
-and class words.
+subsequence, and lines that both share are deleted: that is what a site repeats on its pages. Where the articles of a page, or else its
+main element with them, have at least half of the characters that aren't deleted, they are known to be its text: their lines stay, shared
+or not, and lines outside go. Elsewhere (teasers as articles beside a text in a div) the alignment decides on every line. Menus, headers, footers, asides,
+adverts, notices, forms, comments and code are never lines, by their elements, roles and class words.
 
 Copies (pages of a host with the same lines) are one page in this, at the least of their URLs, and all get its result. Of a page that shares
 over `copy_share` of its lines with its neighbour, only lines that the next neighbour shares too go, as the neighbour may be a near
@@ -236,6 +236,17 @@ def repeated(own: list[int], other: list[int], second: list[int] | None, copy_sh
     return same, set(same) if len(same) < len(own) else set()
 
 
+def holder(found: list[str], kinds: list[int], site: set[int]) -> set[int]:
+    """Kinds of the lines that hold a page's text: of its articles, or of main and articles, if most of the text that isn't the site's is there; else none."""
+    own = [0, 0, 0]
+    for i, (text, kind) in enumerate(zip(found, kinds, strict=True)):
+        if i not in site:
+            own[kind] += len(text)
+    if 1 in kinds and own[1] >= own[0] + own[2]:
+        return {1}
+    return {1, 2} if 2 in kinds and own[1] + own[2] >= own[0] else set()
+
+
 def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
     """Per page: page_id, url, text, n_chars, n_lines, n_shared (with the paired page), n_deleted (of these)."""
     parsed = _parsed(pages)
@@ -254,9 +265,9 @@ def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
             for blob, kinds, own, other, second in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "hashes", "other_hashes", "second_hashes")), strict=True):
                 found = unpack.decompress(blob).decode("utf-8", "surrogatepass").split("\n") if kinds else []
                 same, site = repeated(own, other, second, copy_share) if other else ([], set())
-                holder = 1 if 1 in kinds else 2 if 2 in kinds else 0
-                gone = {i for i in site if not kinds[i]}
-                texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if i not in gone and k >= 1 * (holder > 0) and (holder != 1 or k == 1)))
+                held = holder(found, kinds, site)
+                gone = {i for i in site if not held or kinds[i] not in held}
+                texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if (k in held if held else i not in gone)))
                 n_lines.append(len(found))
                 n_shared.append(len(same))
                 n_deleted.append(len(gone))

@@ -111,3 +111,17 @@ def test_second_neighbours(spark):
     near = {r["key"]: (r["other"], r["second"]) for r in html.pairs(spark.createDataFrame(list(enumerate(urls)), "key long, url string")).collect()}
     assert near[40] == (41, None) and near[41] == (40, None) and 42 not in near and len(near) == 42
     assert near[0] == (1, 2) and near[39] == (38, 37) and all(set(near[i]) == {i - 1, i + 1} for i in range(1, 39))
+
+
+def test_teasers_are_not_the_text(spark):
+    def page(n, tag):
+        text = "".join(f"<p>Paragraph {j} of the long story number {n * 37}</p>" for j in range(6))
+        return f"<div>Site name</div><{tag}>{text}</{tag}><article class='card'>Seen everywhere</article><article class='card'>Teaser {n}</article><div>All rights reserved</div>"
+
+    rows = [(i, f"http://{tag}.example/{i}", page(i, tag)) for tag, ids in (("div", range(4)), ("main", range(4, 8))) for i in ids]
+    rows += [(9, "http://alone.example/", "<div>Menu</div><article><p>Its own text</p></article>")]
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        story = "\n".join(f"Paragraph {j} of the long story number {i * 37}" for j in range(6))
+        assert got[i]["text"] == (f"{story}\nTeaser {i}" if i < 4 else f"{story}\nSeen everywhere\nTeaser {i}")
+    assert got[0]["n_shared"] == 3 == got[0]["n_deleted"] and got[9]["text"] == "Its own text"
