@@ -197,21 +197,51 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_sh
     """docs with the hit words cut from their texts (from a span's first byte to its last word's end), in one pass per block.
 
     A document of whose words over `drop_share` are hit goes, as does none without a hit. A column
-    n_chars, if there is one, follows the new text. Later blocks see what earlier ones left."""
-    spark, out = docs.sparkSession, docs
+    n_chars, if there is one, follows the new text. Every block is looked for in the whole text: passes only mark, and the last
+    one cuts what any has marked, so blocks don't change the result."""
+    out, marks, index = docs, common.fresh(docs, "_marks"), None
     for block in _blocks(benchmark, block_words):
-        out = _cleaned_once(out, spark.sparkContext.broadcast(Index(block, window)), drop_share)
-    return out
+        if index is not None:
+            out = _marked(out, index, marks)
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, window))
+    return docs if index is None else _cut_hits(out, index, marks, docs, drop_share)
+
+
+def _hits(batch: pa.RecordBatch, index: Index, marks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are hit, by this block or by marks of earlier ones; each word's text; the texts' numbers of words."""
+    ids, owner, sizes = _ids(batch.column("text").to_pylist(), index.vocabulary)
+    hit, _ = index.hits(ids, owner)
+    if marks in batch.schema.names:
+        first = np.cumsum(sizes) - sizes
+        for t, runs in enumerate(batch.column(marks).to_pylist()):
+            for a, z in zip(runs[::2], runs[1::2], strict=True):
+                hit[first[t] + a : first[t] + z] = True
+    return hit, owner, sizes
 
 
-def _cleaned_once(docs: DataFrame, index, drop_share: float) -> DataFrame:
+def _marked(docs: DataFrame, index, marks: str) -> DataFrame:
+    """docs with the runs of hit words in the column `marks`, joined with those that stand there."""
+    names = [c for c in docs.columns if c != marks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            hit, owner, sizes = _hits(batch, index.value, marks)
+            first, runs = np.cumsum(sizes) - sizes, [[] for _ in range(batch.num_rows)]
+            for t in np.unique(owner[hit]):
+                runs[t] = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[t] : first[t] + sizes[t]].astype(np.int8), [0]]))).tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(runs, pa.list_(pa.int64()))], names=[*names, marks])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField(marks, T.ArrayType(T.LongType()))]))
+
+
+def _cut_hits(docs: DataFrame, index, marks: str, like: DataFrame, drop_share: float) -> DataFrame:
+    names = like.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = index.value
         for batch in common.slices(batches):
             texts = batch.column("text").to_pylist()
-            ids, owner, sizes = _ids(texts, found.vocabulary)
-            hit, _ = found.hits(ids, owner)
-            touched = np.unique(owner[hit])
+            hit, owner, sizes = _hits(batch, index.value, marks)
+            batch, touched = batch.select(names), np.unique(owner[hit])
             if not len(touched):
                 yield batch
                 continue
@@ -232,7 +262,7 @@ def _cleaned_once(docs: DataFrame, index, drop_share: float) -> DataFrame:
                 columns[at["n_chars"]] = pc.if_else(pa.array(changed), lengths, was)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, like.schema)
 
 
 def _without(text: str, hit: np.ndarray) -> str:

@@ -137,6 +137,19 @@ def test_decontamination_cleans(spark, docs, no_docs, benchmark, clashing):
     assert decontaminate.cleaned(one, item, drop_share=0.3).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 20, 60])
+def test_decontamination_blocks(spark, docs, benchmark, clashing, block):
+    """However the benchmark is cut into blocks, the same words and documents go."""
+    text = lambda **params: bag(decontaminate.cleaned(docs, benchmark, **params), "doc_id", "text", "n_chars")
+    assert text(block_words=block) == text() and decontaminate.cleaned(clashing, benchmark, block_words=block).columns == clashing.columns
+    items = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    one = spark.createDataFrame([(1, "a b c d e f g h i j", 19)], "doc_id long, text string, n_chars long")
+    left = lambda *texts, share: [(r["text"], r["n_chars"]) for r in decontaminate.cleaned(one, items(*texts), drop_share=share, block_words=block).collect()]
+    assert left("a b c", "d e f", share=0.5) == []  # 3 and 3 of 10
+    assert left("b c d", "d e f", share=0.9) == [("a  g h i j", 10)]  # windows that overlap
+    assert left("b c", "a d", share=0.9) == [("a  d e f g h i j", 16)]  # a and d don't stand together
+
+
 def deduped(rows, n=3):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     seen, out = {}, {}
