@@ -205,12 +205,17 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that stay: of each class the row whose doc_id is the class's least, once. Rows without a doc_id stay."""
-    name, row = common.fresh(docs, "_stay"), common.fresh(docs, "_row")
-    stay = join(docs, **params).groupBy("class_id").count().select(F.col("class_id").alias(name))
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    kept = docs.join(stay, F.col("doc_id") == F.col(name), "left").filter(F.col(name).isNotNull() | F.col("doc_id").isNull()).drop(name)
-    return kept.withColumn(row, once).filter((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
+    """The rows of docs that stay: of each class the row with the least doc_id (none last), once.
+
+    Rows are told apart by doc_id and text, so of a repeated doc_id each text follows its own class. Texts without words are in no class."""
+    h, row, stays = common.fresh(docs, "_h"), common.fresh(docs, "_row"), common.fresh(docs, "_stays")
+    hashed = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    # as ids, which join() only orders and compares
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(h).alias("text"))
+    least = join(hashed.select(who.alias("doc_id"), "text"), **params).select(F.col("class_id").alias(stays)).distinct()
+    kept = hashed.join(least, F.col("doc_id").eqNullSafe(F.col(stays)["id"]) & (F.col(h) == F.col(stays)["text"]))
+    once = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))
+    return kept.withColumn(row, once).filter(F.col(row) == 1).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

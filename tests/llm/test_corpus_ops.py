@@ -89,6 +89,15 @@ def test_ngram_join(docs, rows, no_docs, clashing):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_repeated_ids(spark):
+    """Rows of one doc_id follow their own texts; copies without a doc_id go too."""
+    text = lambda k: " ".join(f"{k}word{j}" for j in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (3, text("b")), (None, text("a")), (None, text("c")), (None, text("c")), (None, text("d")), (4, text("e")), (4, text("e")), (5, ""), (5, "..."), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (4, text("e")), (5, ""), (5, "..."), (None, None)], key=repr)
+    assert all(bag(ngram_join.deduplicated(table.repartition(n)), "doc_id", "text") == expected for n in (1, 5))
+
+
 def test_ngram_blocks(spark):
     """A group over several blocks gives the links that one block gives."""
     words = [f"w{i}" for i in range(120)]
