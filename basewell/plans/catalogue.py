@@ -51,13 +51,13 @@ def _queries(spark, sf_dir, p) -> DataFrame:
     return match.queries_of(_asked(spark, sf_dir), p)
 
 
-def kmer_encode(spark, sf_dir):
-    found = windows.kmers(_asked(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.encode("kmer").alias("key"))
+def kmer_encode(spark, sf_dir, of=_asked):
+    found = windows.kmers(of(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.encode("kmer").alias("key"))
     return found.withColumn("decoded", dna.decode("key", 27))
 
 
-def kmer_revcomp(spark, sf_dir):
-    return windows.kmers(_asked(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.revcomp("kmer").alias("rc"))
+def kmer_revcomp(spark, sf_dir, of=_asked):
+    return windows.kmers(of(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.revcomp("kmer").alias("rc"))
 
 
 def kmer_spectrum(spark, sf_dir):
@@ -66,21 +66,21 @@ def kmer_spectrum(spark, sf_dir):
     return found.groupBy("key", "ref_id").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("n_refs"))
 
 
-def core_flank_split(spark, sf_dir):
-    found = windows.kmers(_asked(spark, sf_dir), FULL.k)
+def core_flank_split(spark, sf_dir, of=_asked):
+    found = windows.kmers(of(spark, sf_dir), FULL.k)
     return found.select("ref_id", "pos", dna.middle("kmer", FULL.k, FULL.c).alias("core"), dna.flanks("kmer", FULL.k, FULL.c).alias("flank"))
 
 
-def canonical_core(spark, sf_dir):
-    return windows.occurrences(_asked(spark, sf_dir), FULL)
+def canonical_core(spark, sf_dir, of=_asked):
+    return windows.occurrences(of(spark, sf_dir), FULL)
 
 
-def canonical_kmer_core(spark, sf_dir):
-    return windows.occurrences(_asked(spark, sf_dir), IndexParams(c=11, f=16, orient="kmer"))
+def canonical_kmer_core(spark, sf_dir, of=_asked):
+    return windows.occurrences(of(spark, sf_dir), IndexParams(c=11, f=16, orient="kmer"))
 
 
-def closed_syncmer_filter(spark, sf_dir):
-    return windows.occurrences(_asked(spark, sf_dir), SAMPLED).select("ref_id", "pos", "key")
+def closed_syncmer_filter(spark, sf_dir, of=_asked):
+    return windows.occurrences(of(spark, sf_dir), SAMPLED).select("ref_id", "pos", "key")
 
 
 def sampling_rate(spark, sf_dir):
@@ -132,12 +132,12 @@ def reference_dictionary(spark, sf_dir):
     return fasta.checked_names(numbered)
 
 
-def pack_positions(spark, sf_dir):
-    return windows.occurrences(_asked(spark, sf_dir), SAMPLED).select("ref_id", "pos", dna.pack("ref_id", "pos").alias("packed"), dna.pack(F.col("ref_id") + (1 << 26), "pos", cell_mask=True).alias("cell"))
+def pack_positions(spark, sf_dir, of=_asked):
+    return windows.occurrences(of(spark, sf_dir), SAMPLED).select("ref_id", "pos", dna.pack("ref_id", "pos").alias("packed"), dna.pack(F.col("ref_id") + (1 << 26), "pos", cell_mask=True).alias("cell"))
 
 
-def unpack_positions(spark, sf_dir):
-    return pack_positions(spark, sf_dir).select("packed", dna.unpack("packed").alias("v"), dna.unpack("cell").alias("c")).select("packed", "v.ref_id", "v.pos", F.col("c.ref_id").alias("cell_ref_id"))
+def unpack_positions(spark, sf_dir, of=_asked):
+    return pack_positions(spark, sf_dir, of).select("packed", dna.unpack("packed").alias("v"), dna.unpack("cell").alias("c")).select("packed", "v.ref_id", "v.pos", F.col("c.ref_id").alias("cell_ref_id"))
 
 
 def flank_hamming(spark, sf_dir, p=SAMPLED):
@@ -202,8 +202,13 @@ _INDEXED = {
 }
 
 
+#: Steps of the build: each is also registered over all indexed sequences, as indexed_<name>.
+_STEPS = [kmer_encode, kmer_revcomp, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, pack_positions, unpack_positions]
+
+
 def queries():
-    return {f.__name__: f for f in _ALL} | {f"whole_{f.__name__}": partial(f, p=p) for f, p in _INDEXED.items()}
+    whole = {f"whole_{f.__name__}": partial(f, p=p) for f, p in _INDEXED.items()}
+    return {f.__name__: f for f in _ALL} | whole | {f"indexed_{f.__name__}": partial(f, of=_sequences) for f in _STEPS}
 
 
 # --- the same in DuckDB SQL -------------------------------------------------------------------------------------------
@@ -263,14 +268,14 @@ _SIZE = "(n + case when n > 2 then (n + 1) // 2 else 0 end)"
 
 
 def oracle_sql():
-    whole = _sql(WHOLE, WHOLE_SAMPLED)
-    return _sql(FULL, SAMPLED) | {f"whole_{f.__name__}": whole[f.__name__] for f in _INDEXED}
+    whole, steps = _sql(WHOLE, WHOLE_SAMPLED), _sql(FULL, SAMPLED, ("documents", "doc_id"))
+    return _sql(FULL, SAMPLED) | {f"whole_{f.__name__}": whole[f.__name__] for f in _INDEXED} | {f"indexed_{f.__name__}": steps[f.__name__] for f in _STEPS}
 
 
-def _sql(every: IndexParams, sampled: IndexParams) -> dict[str, str]:
-    """The SQL of all queries; those on the index over one made with `every` or `sampled`."""
+def _sql(every: IndexParams, sampled: IndexParams, asked_of: tuple[str, str] = ("benchmark", "item_id")) -> dict[str, str]:
+    """The SQL of all queries; those on the index over one made with `every` or `sampled`, the build's steps over the table `asked_of`."""
     full, some, hashed, whole = _ix(every), _ix(sampled), _ix(HASHED), IndexParams(c=11, f=16, orient="kmer")
-    asked = _windows("w", "benchmark", "item_id", 27)
+    asked = _windows("w", *asked_of, 27)
     short = IndexParams(c=7, f=16, s=3, cells_per_body=64, structural_cap=True)
     packed = "((ref_id << 34) | pos)"
     cell = "(((ref_id + 67108864) << 34 | pos) & 1152921504606846975)"
@@ -283,9 +288,9 @@ def _sql(every: IndexParams, sampled: IndexParams) -> dict[str, str]:
         "kmer_revcomp": f"with {asked} select ref_id, pos, kmer, {_rc('kmer')} as rc from w",
         "kmer_spectrum": f"with {_windows('w', 'documents', 'doc_id', 11)}, k as (select ref_id, {_code('least(kmer, ' + _rc('kmer') + ')', 11)} as key from w) select key, count(*) as n, count(distinct ref_id) as n_refs from k group by key",
         "core_flank_split": f"with {asked} select ref_id, pos, substr(kmer, 9, 11) as core, substr(kmer, 1, 8) || substr(kmer, 20, 8) as flank from w",
-        "canonical_core": f"with {_occ('b', 'benchmark', 'item_id', FULL)} select ref_id, pos, key, flank from b",
-        "canonical_kmer_core": f"with {_occ('b', 'benchmark', 'item_id', whole)} select ref_id, pos, key, flank from b",
-        "closed_syncmer_filter": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select ref_id, pos, key from b",
+        "canonical_core": f"with {_occ('b', *asked_of, FULL)} select ref_id, pos, key, flank from b",
+        "canonical_kmer_core": f"with {_occ('b', *asked_of, whole)} select ref_id, pos, key, flank from b",
+        "closed_syncmer_filter": f"with {_occ('b', *asked_of, SAMPLED)} select ref_id, pos, key from b",
         "sampling_rate": f"with {_occ('d', 'documents', 'doc_id', SAMPLED)} select (select count(*) from d_c) as kmers, (select count(*) from d) as sampled, cast((select count(*) from d) as double) / nullif((select count(*) from d_c), 0) as rate",
         "key_counts_capped": f"with {some} select key, n from keys",
         "skipped_keys": f"with {_occ('d', 'documents', 'doc_id', SAMPLED)} select key, count(*) as n from d group by key having count(*) > {SAMPLED.cap}",
@@ -296,8 +301,8 @@ def _sql(every: IndexParams, sampled: IndexParams) -> dict[str, str]:
         "index_slots": f"with {some} select key, row_number() over (partition by key order by ref_id, pos) - 1 as slot, ref_id, pos from ix",
         "index_nested": f"with {some} select key, n, string_agg(ref_id || ':' || pos || ':' || coalesce(cast(flank as varchar), ''), ',' order by ref_id, pos) as listed from ix group by key, n",
         "reference_dictionary": "select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name from documents",
-        "pack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select ref_id, pos, {packed} as packed, {cell} as cell from b",
-        "unpack_positions": f"with {_occ('b', 'benchmark', 'item_id', SAMPLED)} select {packed} as packed, ref_id, pos, ({cell} >> 34) as cell_ref_id from b",
+        "pack_positions": f"with {_occ('b', *asked_of, SAMPLED)} select ref_id, pos, {packed} as packed, {cell} as cell from b",
+        "unpack_positions": f"with {_occ('b', *asked_of, SAMPLED)} select {packed} as packed, ref_id, pos, ({cell} >> 34) as cell_ref_id from b",
         "flank_hamming": f"with {some}, {_q(sampled)} select query_id, qpos, ref_id, pos as rpos, {_DIST} as dist from q join ix using (key) where flank is not null",
         "point_lookup": f"with {full} select key, n, ref_id, pos, flank from ix where key = {number}",
         "all_matches": f"with {full}, {_q(every)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",

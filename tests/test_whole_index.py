@@ -31,3 +31,14 @@ def test_frequent_keys_stay(spark, tmp_path):
     best = catalogue.queries()["whole_best_flex_match"](spark, str(tmp_path)).groupBy("qpos").count().collect()
     assert {r["qpos"] for r in best} == {q for q, _ in cores(text)} and all(r["count"] >= 90 for r in best)
     assert catalogue.queries()["whole_lookup_misses"](spark, str(tmp_path)).count() == 0
+
+
+def test_build_steps_over_documents(spark, tmp_path):
+    docs = [(1, "the quick brown fox jumps over a lazy dog " * 300), (2, "short"), (3, None), (4, "pack my box with five dozen liquor jugs now"), (5, "pack my box with five dozen liquor jugs now")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = sorted((i, at) for i, t in docs for at, _ in cores(t or ""))
+    for name in ("core_flank_split", "canonical_core"):
+        found = catalogue.queries()[f"indexed_{name}"](spark, str(tmp_path))
+        assert sorted(map(tuple, found.select("ref_id", "pos").collect())) == expected
+    sampled = catalogue.queries()["indexed_closed_syncmer_filter"](spark, str(tmp_path)).select("ref_id").distinct()
+    assert {r["ref_id"] for r in sampled.collect()} == {1, 4, 5}
