@@ -22,8 +22,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or else one in the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where driver and executors are one process may it be unset; then it is a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
 
 
@@ -44,16 +46,17 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote and nothing reads any more."""
+    """Empties tables that cut() wrote and nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.cut_path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of queries that are over: its cleaner waits for garbage collections."""
+    """Lets Spark drop the shuffle files of queries that are over: its cleaner waits for garbage collections, which an idle driver doesn't make. Only disk depends on it."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def lean() -> None:
@@ -116,10 +119,10 @@ _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.u
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every output bit depends on every input bit."""
+    """The 64-bit finaliser of MurmurHash3 (public domain): every output bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 _powers: list[np.ndarray] = []

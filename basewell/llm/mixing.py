@@ -49,10 +49,11 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     todo = np.arange(len(out))
 
     def scrambled(x: np.ndarray, r: int) -> np.ndarray:
-        h = (x + np.uint64((key + r * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x94D049BB133111EB)
-        return (h ^ (h >> np.uint64(29))) & mask
+        """SplitMix64 (public domain) of the half with the round's key."""
+        h = x + np.uint64((key + r * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (h ^ (h >> np.uint64(31))) & mask
 
     while len(todo):
         left, right = out[todo] >> shift, out[todo] & mask

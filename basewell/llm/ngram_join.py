@@ -4,23 +4,30 @@ A document's n-grams are the `n` consecutive words of its lower-cased text ([0-9
 as a set; a text of fewer words, but not none, has one n-gram of all its words. Documents with the same set are
 copies and count as one class from here on. Bands and rows are chosen for a target recall at the threshold;
 class representatives are shuffled on their band hashes, and each bucket gives one edge per member
-(to its least member), so buckets of any size stay linear. Every pair of a bucket lies in one component of these
-edges. A component's full n-gram sets meet in blocks of about `block` documents, block against block, and every pair is
-verified exactly there; what leaves a block pair is a row per document (its links and an edge of the
-spanning forest of verified links), never a row per pair.
+(to its least member), so buckets of any size stay linear. Every pair of a bucket lies in one group: a component of these
+edges. A group's full n-gram sets meet, and every pair is verified exactly.
+
+A group of more than `block` sets (or `block_grams` n-grams) is split. Around the set of the node that leads most others, sets are put in rings by
+their exact Jaccard distance to it, which is a metric: sets close to it are all linked to each other and are counted by sums, without being
+compared, and sets more than two rings apart, or of sizes whose ratio is under the threshold, can't be linked. The other pairs are compared block against
+block. What leaves a block is a row per node and its component; what leaves a pair of blocks is a row per node with links, and edges between components. So a large
+group of near copies of one text costs a row for each.
 
 Results: class_id is the least doc_id of the documents connected by links; copy_id the least of the documents with the same
 set; n_links counts the other documents whose Jaccard similarity is at least the threshold, copies included.
 
-Defined results: null, empty or wordless texts have no set: they link to nothing and are their own class.
-Repeated rows are copies of each other. Null doc_ids are skipped when the least is taken, and of candidates whose ids are all null the links are not counted. Extra columns are ignored by
+Defined results: null, empty or wordless texts have no set: they link to nothing and are their own class. Very long texts are taken whole, hashed in pieces; a set travels as 8 bytes per distinct n-gram.
+Repeated rows, and rows of one doc_id with other texts, count as documents each. Null doc_ids are skipped when the least is taken; their links count. Extra columns are ignored by
 `join` and kept by `deduplicated`. An empty table gives an empty table. Only a pair that shares no
 band is missed: at most 1 - recall of those at the threshold, fewer above it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,9 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 320
-BLOCK = 200
+#: Sets, and n-grams of all its sets, that a task compares with each other or with as many others.
+BLOCK = 500
+BLOCK_GRAMS = 1 << 20
 _MULT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -75,7 +84,7 @@ def _node(grams: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (128-bit hash of the set, null without words) and its band hashes."""
+    """docs(doc_id, h, text) -> doc_id, h, node (128-bit hash of the set, null without words), grams (the set's size) and the set's band hashes."""
     rng = np.random.default_rng(20)
     factors = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -86,10 +95,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             some = np.flatnonzero(counts)
             first = (np.cumsum(counts) - counts)[some]
             nodes: list[bytes | None] = [None] * batch.num_rows
+            sizes = np.zeros(batch.num_rows, np.int64)
             found: list[list[int] | None] = [None] * batch.num_rows
             if len(some):
                 for i, a in zip(some, first, strict=True):
-                    nodes[i] = _node(np.unique(grams[a : a + counts[i]]))
+                    own = np.unique(grams[a : a + counts[i]])
+                    nodes[i], sizes[i] = _node(own), len(own)
                 least = np.empty((bands * rows, len(some)), np.uint64)
                 scratch = np.empty_like(grams)
                 for j, f in enumerate(factors):
@@ -100,24 +111,31 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     keys = common.mix(keys * _MULT + least[r::rows])
                 for i, k in zip(some, keys.T.astype(np.int64), strict=True):
                     found[i] = k
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.binary()), pa.array(sizes), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "grams", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, node binary, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs(node, c, i, n_blocks, size, text) -> the same with the sorted set for the text, null if it is another node's."""
+    """docs(node, c, size, text) -> the same with the sorted set for the text; a node that comes again in a task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: set[bytes] = set()
         for batch in common.slices(batches, most=1 << 20):
             grams, counts = shingles(batch.column("text").to_pylist(), n)
             ends = np.cumsum(counts)
-            found = (np.unique(grams[b - c : b]) for b, c in zip(ends, counts, strict=True))
-            sets = [s.tobytes() if len(s) and _node(s) == node else None for s, node in zip(found, batch.column("node").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sets, pa.binary())], names=[*names, "grams"])
+            rows, sets = [], []
+            for i, (b, c, node) in enumerate(zip(ends, counts, batch.column("node").to_pylist(), strict=True)):
+                if node not in before:
+                    own = np.unique(grams[b - c : b])
+                    if _node(own) == node:  # else another text with the same hash
+                        before.add(node)
+                        rows.append(i)
+                        sets.append(own.tobytes())
+            out = batch.select(["node", "c", "size"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary())], names=["node", "c", "size", "grams"])
 
-    names = ["node", "c", "i", "n_blocks", "size"]
-    return docs.mapInArrow(run, "node binary, c binary, i int, n_blocks int, size long, grams binary")
+    return docs.mapInArrow(run, "node binary, c binary, size long, grams binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
@@ -137,84 +155,189 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 <<
     return out.astype(np.int64)
 
 
-def _verify(threshold: float):
+def _near(left: list[np.ndarray], right: list[np.ndarray], threshold: float, tile: int = 200) -> np.ndarray:
+    """Which left and right sets have at least the threshold's similarity."""
+    out = np.zeros((len(left), len(right)), bool)
+    for i in range(0, len(left), tile):
+        for j in range(0, len(right), tile):
+            a, b = left[i : i + tile], right[j : j + tile]
+            both = overlaps(a, b)
+            out[i : i + tile, j : j + tile] = both >= threshold * (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both) - 1e-9
+    return out
+
+
+def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The least member of each vertex's component in a graph of n vertices."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.array([top(x) for x in range(n)], np.int64)
+
+
+def _group_roots(near: np.ndarray) -> np.ndarray:
+    """The same of a symmetric table of links, breadth first."""
+    n = len(near)
+    root = np.full(n, -1)
+    for start in range(n):
+        if root[start] < 0:
+            root[start], queue = start, [start]
+            while queue:
+                new = np.flatnonzero(near[queue.pop()] & (root < 0))
+                root[new] = start
+                queue += new.tolist()
+    return root
+
+
+_FOUND = "a binary, b binary, links long"
+
+
+def _loaded(table: pa.Table) -> tuple[pa.Table, list[bytes], list[np.ndarray], np.ndarray]:
+    """A group without repeated nodes: the table, its nodes, sets and sizes."""
+    table = table.take(pa.array(np.unique(np.array(table.column("node").to_pylist(), object), return_index=True)[1]))
+    return table, table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], table.column("size").to_numpy()
+
+
+def _inside(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """One block: of each node its links in the block, and the edge to its component's first node there."""
+        _, nodes, sets, size = _loaded(table)
+        near = _near(sets, sets, threshold)
+        np.fill_diagonal(near, False)
+        root = _group_roots(near)
+        return pa.table({"a": pa.array(nodes, pa.binary()), "b": pa.array([nodes[x] for x in root], pa.binary()), "links": pa.array(near @ size)})
+
+    return run
+
+
+def _across(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """One block pair (i, j): links of each node to the other block's (or its own), and its edge of a spanning forest."""
-        table = table.take(pa.array(np.unique(np.array(table.column("node").to_pylist(), object), return_index=True)[1]))  # equal rows bring a node twice
-        i, j = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        side = table.column("i").to_numpy()
-        order = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        size, nodes = table.column("size").to_numpy(), table.column("node").to_pylist()
-        n = len(sets)
-        links, up = np.zeros(n, np.int64), np.arange(n)
-        length = np.array([len(s) for s in sets])
-        if len(order[0]) and len(order[1]):
-            both = overlaps([sets[x] for x in order[0]], [sets[x] for x in order[1]])
-            near = both >= threshold * (length[order[0]][:, None] + length[order[1]][None, :] - both) - 1e-9
-            if i == j:
-                np.fill_diagonal(near, False)
-            links[order[0]] += near @ size[order[1]]
-            if i != j:
-                links[order[1]] += near.T @ size[order[0]]
-            adjacent = np.zeros((n, n), bool)
-            adjacent[np.ix_(order[0], order[1])] = near
-            adjacent |= adjacent.T
-            seen = np.zeros(n, bool)
-            for root in range(n):  # breadth first: each node's edge to the one that reached it
-                if seen[root]:
-                    continue
-                seen[root], queue = True, [root]
-                while queue:
-                    x = queue.pop()
-                    new = np.flatnonzero(adjacent[x] & ~seen)
-                    seen[new], up[new] = True, x
-                    queue += new.tolist()
-        return pa.table({"a": pa.array(nodes, pa.binary()), "b": pa.array([nodes[x] for x in up], pa.binary()), "links": pa.array(links)})
+        """Two blocks: of each node with links to the other block their number, and edges that join components of the blocks."""
+        table, nodes, sets, size = _loaded(table)
+        block = table.column("block").to_numpy()
+        one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
+        links, joined = np.zeros(len(nodes), np.int64), np.zeros((0, 2), np.int64)
+        tops, of = np.unique(np.array([*table.column("top").to_pylist(), None], object)[:-1], return_inverse=True)
+        if len(one) and len(two):
+            near = _near([sets[x] for x in one], [sets[x] for x in two], threshold)
+            links[one] += near @ size[two]
+            links[two] += near.T @ size[one]
+            i, j = np.nonzero(near)
+            joined = np.unique(np.stack([of[one[i]], of[two[j]]], axis=1), axis=0)
+        root = _roots(len(tops), joined)
+        some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(tops)))
+        return pa.table(
+            {
+                "a": pa.array([*(nodes[x] for x in some), *(tops[x] for x in moved)], pa.binary()),
+                "b": pa.array([*([None] * len(some)), *(tops[root[x]] for x in moved)], pa.binary()),
+                "links": pa.array(np.append(links[some], np.zeros(len(moved), np.int64))),
+            }
+        )
 
     return run
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def _ringed(paired: DataFrame, threshold: float) -> DataFrame:
+    """paired(node, c, size, grams, pivot) -> node, c, size, grams, ring and span.
+
+    Jaccard distance obeys the triangle inequality. With rings of half the distance that a link may have, around the pivot's set: any two sets of
+    ring 0 are linked, and linked sets are at most two rings apart. span numbers the sets' sizes, so that sizes of linked sets are at most one span apart."""
+    width = (1 - Fraction(str(threshold))) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "grams"):
+            rings, spans = [], []
+            for own, pivot in zip(batch.column("grams").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(pivot, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                union = len(a) + len(b) - both
+                rings.append(max(0, -(-(union - both) * width.denominator // (union * width.numerator)) - 1))
+                spans.append(int(math.log(len(a)) / (1e-9 - math.log(threshold))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("node", "c", "size", "grams")), pa.array(rings, pa.int32()), pa.array(spans, pa.int32())], names=["node", "c", "size", "grams", "ring", "span"])
+
+    return paired.mapInArrow(run, "node binary, c binary, size long, grams binary, ring int, span int")
+
+
+def _large(full: DataFrame, large: DataFrame, threshold: float, block: int, block_grams: int) -> list[DataFrame]:
+    """What the groups of candidates in large(c, pivot_node) give, as a, b, links: of more sets than a task should compare."""
+    own = full.join(large.select("c"), "c", "left_semi")
+    pivots = full.join(large, (full["node"] == large["pivot_node"]) & (full["c"] == large["c"])).select(full["c"].alias("_c"), full["grams"].alias("pivot")).dropDuplicates(["_c"])
+    ringed = common.cut(_ringed(own.join(pivots, own["c"] == pivots["_c"]).select("node", "c", "size", "grams", "pivot"), threshold))
+    # ring 0: every two are linked, so sums of sizes count their links, and one edge each joins them
+    core = ringed.filter("ring = 0").select("node", "c", "size").dropDuplicates(["node"])
+    weight = core.groupBy("c").agg(F.sum("size").alias("w"))
+    linked = core.join(weight, "c").join(large.select("c", "pivot_node"), "c").select(F.col("node").alias("a"), F.col("pivot_node").alias("b"), (F.col("w") - F.col("size")).alias("links"))
+    # other pairs: cells of (ring, span) in blocks; a block meets the blocks of its cell and of the cells that may hold links to it
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("grams")) / (8 * block_grams)))
+    cells = common.cut(ringed.groupBy("c", "ring", "span").agg(parts.cast("int").alias("parts")))
+    number = lambda ring, span, k: (ring.cast("long") * 4096 + span) * (1 << 32) + k
+    blocks = F.transform(F.sequence(F.lit(0), F.col("o.parts") - 1), lambda k: number(F.col("o.ring"), F.col("o.span"), k))
+    meets = (F.col("i.c") == F.col("o.c")) & (F.abs(F.col("i.ring") - F.col("o.ring")) <= 2) & (F.abs(F.col("i.span") - F.col("o.span")) <= 1) & (F.col("i.ring") + F.col("o.ring") > 0)
+    partners = cells.alias("i").join(cells.alias("o"), meets).groupBy("i.c", "i.ring", "i.span", "i.parts").agg(F.flatten(F.collect_list(blocks)).alias("others"))
+    dealt = ringed.join(partners, ["c", "ring", "span"]).withColumn("block", number(F.col("ring"), F.col("span"), F.pmod(F.xxhash64("node"), F.col("parts"))))
+    inside = common.cut(dealt.filter("ring > 0").groupBy("c", "block").applyInArrow(_inside(threshold), _FOUND))
+    tops = inside.select(F.col("a").alias("node"), F.col("b").alias("top")).unionByName(linked.select(F.col("a").alias("node"), F.col("b").alias("top")))
+    met = dealt.join(tops, "node").withColumn("other", F.explode("others")).filter("block <> other")
+    across = met.select("node", "c", "size", "grams", "top", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).groupBy("c", "bi", "bj").applyInArrow(_across(threshold), _FOUND)
+    return [linked, inside, common.cut(across)]
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Per document: doc_id, class_id, copy_id, n_links."""
     bands, rows = bands_for(threshold, recall)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     signed = common.cut(signatures(slim, n, bands, rows))
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    keyed = common.cut(classes)
+    # one row of each class stands for it: the least (doc_id, text hash), rows without a doc_id last
+    first = F.min_by(F.struct("doc_id", "h"), F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    keyed = common.cut(signed.filter("node is not null").groupBy("node").agg(first.alias("row"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("grams").alias("grams")))
     members = keyed.select("node", F.explode("bands").alias("key"))
     lead = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = members.join(lead, "key").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    leads = common.cut(members.join(lead, "key").groupBy("node").agg(F.min("lead").alias("least"), F.collect_set("lead").alias("leads")))
+    # a node's edge to its least lead, and its other leads' edges to that: few distinct ones, however many members a bucket has
+    star = leads.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(leads.select(F.explode("leads").alias("a"), F.col("least").alias("b")).distinct())
     candidates = graph.components(star)
-    sizes = candidates.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    placed = candidates.join(sizes, "c").join(keyed.select(F.col("node").alias("v"), "copy_id", "size"), "v").withColumn("i", F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int"))
-    # the text of one document of each candidate class; equal ids with other texts fall out by their set's hash
-    one = signed.join(placed, (F.col("node") == F.col("v")) & F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("doc_id", "node", "c", "i", "n_blocks", "size").distinct()
-    texts = slim.withColumnRenamed("doc_id", "_d")
-    full = _sets(one.join(texts, F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "c", "i", "n_blocks", "size", "text"), n)
-    full = full.filter("grams is not null")
-    paired = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("node", "c", "i", "size", "grams", F.least("i", "o").alias("bi"), F.greatest("i", "o").alias("bj"))
-    found = common.cut(paired.groupBy("c", "bi", "bj").applyInArrow(_verify(threshold), "a binary, b binary, links long"))
-    counts = found.groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
+    placed = common.cut(candidates.withColumnRenamed("v", "node").join(keyed.select("node", "row", "size", "grams"), "node"))
+    slim = slim.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
+    one = placed.select("node", "c", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"))
+    full = common.cut(_sets(one.join(slim, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "c", "size", "text"), n))
+    large = placed.groupBy("c").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).filter((F.col("m") > block) | (F.col("g") > block_grams)).select("c")
+    # the pivot of a large group: its node that leads most others
+    led = leads.groupBy(F.col("least").alias("node")).agg(F.count("*").alias("n")).join(placed.select("node", "c"), "node").join(large, "c")
+    large = common.cut(led.groupBy("c").agg(F.max_by("node", F.struct("n", "node")).alias("pivot_node")))
+    parts = [common.cut(full.join(large.select("c"), "c", "left_anti").groupBy("c").applyInArrow(_inside(threshold), _FOUND))]
+    if not large.isEmpty():
+        parts += _large(full, large, threshold, block, block_grams)
+    found = reduce(DataFrame.unionByName, parts)
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     linked = graph.components(found.filter("a <> b").select("a", "b"))
-    inside = keyed.join(linked.select(F.col("v").alias("node"), "c"), "node", "left").join(counts.withColumnRenamed("v", "node"), "node", "left")
-    inside = inside.select("node", "copy_id", F.coalesce("c", "node").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    inside = keyed.join(linked.withColumnRenamed("v", "node"), "node", "left").join(counts, "node", "left")
+    inside = inside.select("node", F.col("row.doc_id").alias("copy_id"), F.coalesce("c", "node").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     least = inside.groupBy("c").agg(F.min("copy_id").alias("class_id"))
-    named = inside.join(least, "c").select("node", "class_id", "copy_id", "n_links")
+    named = common.cut(inside.join(least, "c").select("node", "class_id", "copy_id", "n_links"))
+    common.discard(leads, placed, full, keyed)
     return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that stay: of each class the row with the least doc_id (none last), once.
 
-    Rows are told apart by doc_id and text, so of a repeated doc_id each text follows its own class. Texts without words are in no class."""
+    Rows are told apart by doc_id and text, so of a repeated doc_id each text follows its own class; of rows that differ in other columns only, the first by these stays. Texts without words are in no class."""
     h, row, stays = common.fresh(docs, "_h"), common.fresh(docs, "_row"), common.fresh(docs, "_stays")
     hashed = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
     # as ids, which join() only orders and compares
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(h).alias("text"))
     least = join(hashed.select(who.alias("doc_id"), "text"), **params).select(F.col("class_id").alias(stays)).distinct()
     kept = hashed.join(least, F.col("doc_id").eqNullSafe(F.col(stays)["id"]) & (F.col(h) == F.col(stays)["text"]))
-    once = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0)))
     return kept.withColumn(row, once).filter(F.col(row) == 1).select(*docs.columns)
 
 

@@ -299,3 +299,56 @@ def test_pipeline(spark, rows, tmp_path):
     packed = unpacked(docs, packing.ROW_LENGTH)
     assert {d for d, *_ in packed} == kept["source_mix"]
     assert __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).agg({"n_used": "sum"}).head()[0] == docs.agg({"n_used": "sum"}).head()[0]
+
+
+def test_ngram_rings(spark):
+    """Large groups: close sets are counted by sums, others compared, and the rows that leave stay in proportion to the group."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(150)]
+    table = []
+    for i in range(160):  # one to four words of a text changed, some changes shared
+        own = list(words)
+        for _ in range(1 + i % 4):
+            own[int(rng.integers(0, 150))] = f"x{rng.integers(0, 4) if i % 3 else i}"
+        table.append((i, " ".join(own[: 150 - (i % 5) * 7])))
+    table += [(200 + i, table[i][1]) for i in range(0, 160, 9)] + [(None, table[4][1]), (None, table[5][1]), (None, table[5][1])]
+    own = spark.createDataFrame(table, "doc_id long, text string")
+    _, near, group = links(table)
+    for block, grams in ((8, 1 << 20), (40, 3000)):
+        found = ngram_join.join(own, block=block, block_grams=grams)
+        assert bag(found, "doc_id", "n_links") == sorted(((r[0], sum(near[i]) - 1) for i, r in enumerate(table)), key=repr)
+        assert {r["class_id"] for r in found.collect()} == {table[g][0] for g in set(group)}
+
+
+def test_ngram_rows_are_linear(spark, monkeypatch):
+    """2,000 near copies of a text leave the comparison with about a row each."""
+    words = [f"w{i}" for i in range(120)]
+    table = [(i, " ".join([*words[: i % 120], f"x{i}", *words[i % 120 + 1 :]])) for i in range(2000)]
+    sizes, write = [], ngram_join.common.cut
+
+    def counted(df, *a):
+        out = write(df, *a)
+        if "links" in out.columns or out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.common, "cut", counted)
+    found = ngram_join.join(spark.createDataFrame(table, "doc_id long, text string"))
+    assert {(r["class_id"], r["n_links"]) for r in found.collect()} == {(0, 1999)}
+    assert sizes and max(sizes) <= 2.5 * 2000
+
+
+def test_components(spark):
+    import random
+
+    from basewell.llm import graph
+
+    rng = random.Random(4)
+    for n, m in ((1, 1), (40, 30), (300, 290)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n, n + 9)]
+        top = {x: x for e in edges for x in e}
+        for _ in top:
+            for a, b in edges:
+                top[a] = top[b] = min(top[a], top[b])
+        got = {r["v"]: r["c"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {v: top[v] for e in edges if e[0] != e[1] for v in e}
