@@ -7,7 +7,7 @@ class representatives are shuffled on their band hashes, and each bucket gives o
 (to its least member), so buckets of any size stay linear. Every pair of a bucket lies in one group: a component of these
 edges. A group's full n-gram sets meet, and every pair is verified exactly.
 
-A group of more than `block` sets (or `block_grams` n-grams) is split. Around the set of the node that leads most others, sets are put in rings by
+A group of more than `block` sets (or `block_grams` n-grams) is split. Around a pivot, the n-grams that most of its sets hold, sets are put in rings by
 their exact Jaccard distance to it, which is a metric: sets close to it are all linked to each other and are counted by sums, without being
 compared, and sets more than two rings apart, or of sizes whose ratio is under the threshold, can't be linked. The other pairs are compared block against
 block. What leaves a block is a row per node and its component; what leaves a pair of blocks is a row per node with links, and edges between components. So a large
@@ -43,6 +43,8 @@ MOST_HASHES = 320
 #: Sets, and n-grams of all its sets, that a task compares with each other or with as many others.
 BLOCK = 500
 BLOCK_GRAMS = 1 << 20
+#: Sets of a large group from which its pivot is made, about. Any pivot gives the same results.
+SAMPLE = 64
 _MULT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -245,10 +247,16 @@ def _across(threshold: float):
     return run
 
 
+def _consensus(table: pa.Table) -> pa.Table:
+    """The n-grams that most of a group's sampled sets hold: what the copies in it were made from."""
+    grams, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]), return_counts=True)
+    return pa.table({"_c": table.column("c")[:1], "pivot": pa.array([grams[2 * n > table.num_rows].tobytes()], pa.binary())})
+
+
 def _ringed(paired: DataFrame, threshold: float) -> DataFrame:
     """paired(node, c, size, grams, pivot) -> node, c, size, grams, ring and span.
 
-    Jaccard distance obeys the triangle inequality. With rings of half the distance that a link may have, around the pivot's set: any two sets of
+    Jaccard distance obeys the triangle inequality. With rings of half the distance that a link may have, around any set as pivot: any two sets of
     ring 0 are linked, and linked sets are at most two rings apart. span numbers the sets' sizes, so that sizes of linked sets are at most one span apart."""
     width = (1 - Fraction(str(threshold))) / 2
 
@@ -268,13 +276,15 @@ def _ringed(paired: DataFrame, threshold: float) -> DataFrame:
 
 def _large(full: DataFrame, large: DataFrame, threshold: float, block: int, block_grams: int) -> list[DataFrame]:
     """What the groups of candidates in large(c, pivot_node) give, as a, b, links: of more sets than a task should compare."""
-    own = full.join(large.select("c"), "c", "left_semi")
-    pivots = full.join(large, (full["node"] == large["pivot_node"]) & (full["c"] == large["c"])).select(full["c"].alias("_c"), full["grams"].alias("pivot")).dropDuplicates(["_c"])
-    ringed = common.cut(_ringed(own.join(pivots, own["c"] == pivots["_c"]).select("node", "c", "size", "grams", "pivot"), threshold))
+    own = full.join(large, "c")
+    some = own.filter(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("m") / SAMPLE))) == 0)
+    pivots = some.select("c", "grams").groupBy("c").applyInArrow(_consensus, "_c binary, pivot binary")
+    paired = own.join(pivots, F.col("c") == F.col("_c"), "left").select("node", "c", "size", "grams", F.coalesce("pivot", F.lit(b"")).alias("pivot"))
+    ringed = common.cut(_ringed(paired, threshold))
     # ring 0: every two are linked, so sums of sizes count their links, and one edge each joins them
     core = ringed.filter("ring = 0").select("node", "c", "size").dropDuplicates(["node"])
-    weight = core.groupBy("c").agg(F.sum("size").alias("w"))
-    linked = core.join(weight, "c").join(large.select("c", "pivot_node"), "c").select(F.col("node").alias("a"), F.col("pivot_node").alias("b"), (F.col("w") - F.col("size")).alias("links"))
+    weight = core.groupBy("c").agg(F.sum("size").alias("w"), F.min("node").alias("top"))
+    linked = core.join(weight, "c").select(F.col("node").alias("a"), F.col("top").alias("b"), (F.col("w") - F.col("size")).alias("links"))
     # other pairs: cells of (ring, span) in blocks; a block meets the blocks of its cell and of the cells that may hold links to it
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("grams")) / (8 * block_grams)))
     cells = common.cut(ringed.groupBy("c", "ring", "span").agg(parts.cast("int").alias("parts")))
@@ -308,10 +318,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     slim = slim.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     one = placed.select("node", "c", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"))
     full = common.cut(_sets(one.join(slim, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "c", "size", "text"), n))
-    large = placed.groupBy("c").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).filter((F.col("m") > block) | (F.col("g") > block_grams)).select("c")
-    # the pivot of a large group: its node that leads most others
-    led = leads.groupBy(F.col("least").alias("node")).agg(F.count("*").alias("n")).join(placed.select("node", "c"), "node").join(large, "c")
-    large = common.cut(led.groupBy("c").agg(F.max_by("node", F.struct("n", "node")).alias("pivot_node")))
+    large = common.cut(placed.groupBy("c").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).filter((F.col("m") > block) | (F.col("g") > block_grams)).select("c", "m"))
     parts = [common.cut(full.join(large.select("c"), "c", "left_anti").groupBy("c").applyInArrow(_inside(threshold), _FOUND))]
     if not large.isEmpty():
         parts += _large(full, large, threshold, block, block_grams)

@@ -335,7 +335,7 @@ def test_ngram_rows_are_linear(spark, monkeypatch):
     monkeypatch.setattr(ngram_join.common, "cut", counted)
     found = ngram_join.join(spark.createDataFrame(table, "doc_id long, text string"))
     assert {(r["class_id"], r["n_links"]) for r in found.collect()} == {(0, 1999)}
-    assert sizes and max(sizes) <= 2.5 * 2000
+    assert sizes and max(sizes) <= 2.5 * 2000, sizes
 
 
 def test_components(spark):
