@@ -13,12 +13,14 @@ number in that document).
 
 Defined results: a null or empty text is one segment that holds the end token; special tokens' strings in texts
 are ordinary text; repeated rows are packed each; a null doc_id stays null; extra columns are ignored; an empty
-table gives an empty table.
+table gives an empty table. Very long texts are tokenised whole; runs of white space of any length, which the tokenizer's
+pattern engine can't match, are cut out first, where the pattern cuts them too.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """The tokenizer of a rank file: a path, or the name of a file of the public_tokenizers module. One per process."""
+    """The tokenizer of a rank file: a path, or the name of a file of the installed public_tokenizers module, whose PATTERN it follows. One per process."""
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -50,6 +52,30 @@ def encoder(vocabulary: str = VOCABULARY):
     return _encoders[vocabulary]
 
 
+#: White space as the tokenizer's pattern sees it (White_Space of Unicode), in runs of at least so many characters.
+RUN = 10_000
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUNS = re.compile(f"{_SPACE}{{{RUN},}}")
+
+
+def encoded(enc, text: str | None) -> np.ndarray:
+    """A text's token ids.
+
+    The pattern takes a run of white space up to its last character as one piece, or all of it at the text's end; what
+    follows is matched as if the run weren't there. So long runs become pieces of their own, without the pattern."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    plain = lambda t: enc.encode_to_numpy(t, disallowed_special=())
+    if len(text) < RUN:
+        return plain(text)
+    parts, at = [], 0
+    for m in _RUNS.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        parts += [plain(text[at : m.start()]), np.array(enc._encode_single_piece(text[m.start() : stop]), np.uint32)]
+        at = stop
+    return np.concatenate([*parts, plain(text[at:])]) if parts else plain(text)
+
+
 class Capacities:
     """Open rows by remaining room: a segment tree whose leaf c counts the rows with room c."""
 
@@ -149,8 +175,7 @@ def pack(docs: DataFrame, row_length: int = ROW_LENGTH, vocabulary: str = VOCABU
         for batch in common.slices(batches):
             id_type = batch.schema.field("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
-                ids = np.append(ids, np.uint32(end_id)).astype(kind)
+                ids = np.append(encoded(enc, text), np.uint32(end_id)).astype(kind)
                 for a in range(0, len(ids), row_length):
                     pieces.append(ids[a : a + row_length])
                     owners.append(doc)

@@ -56,10 +56,29 @@ def test_best_fit():
                 plain[[k for room, k in fitting if room == min(fitting)[0]][-1]].append(i)
             else:
                 plain.append([i])
-        assert sorted(map(len, rows)) is not None and sorted(x for b in rows for x in b) == list(range(n))
+        load = lambda packed: sorted(sum(lengths[i] for i in b) for b in packed)  # noqa: B023, E731
+        assert load(rows) == load(plain) and sorted(x for b in rows for x in b) == list(range(n))
         assert all(sum(lengths[i] for i in b) <= most for b in rows) and len(rows) == len(plain)
 
 
+def test_long_runs(spark):
+    """White space that the tokenizer's pattern can't match; elsewhere the ids are the plain tokenizer's."""
+    enc, run = packing.encoder(), packing.RUN
+    for c in (" ", "\t", "\n", "\u3000", " \n\t"):
+        for n in (run - 1, run, run + 1, 60_000):
+            space = (c * n)[:n]
+            for t in (space, f"a{space}", f"{space}b", f"one {space}two.{space}", f"x{space}3 y\x1c{space}'s"):
+                assert packing.encoded(enc, t).tolist() == enc.encode_ordinary(t)
+    texts = [" " * 3_000_000, "\t" * 3_000_000, f"a {chr(10) * 3_000_000} b", "word" * 750_000, ("x y" + " " * 1_500_000) * 2]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {}
+    for d, o, ids in unpacked(packing.pack(table), packing.ROW_LENGTH):
+        parts.setdefault(d, []).append((o, ids))
+    for d, t in enumerate(texts):
+        ids = [x for _, own in sorted(parts[d]) for x in own]
+        assert ids[-1] == packing.END_ID and enc.decode(ids[:-1]) == t
+
+
 def links(rows, n=5, threshold=0.8):
     sets = []
     for _, t, *_ in rows:
