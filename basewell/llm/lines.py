@@ -10,7 +10,7 @@ Defined results: null and empty texts, and texts of fewer than `window` lines, k
 Windows without a word (of bytes other than 0x20 and 0x09-0x0D) are not compared; lines are compared as they
 are. Of equal rows (same doc_id and text) the first is judged against the other documents, and the
 further ones lose every window. A null doc_id sorts first. An empty table gives an empty
-table. Columns other than doc_id and text are ignored.
+table. Columns other than doc_id and text are ignored. Very long texts are taken whole; their windows are rows of their own.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 3
+#: Equal rows that are written out from one row.
+PORTION = 10_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _starts(lines: str, window: int) -> Column:
+def _starts(lines: str | Column, window: int) -> Column:
     """Positions of a text's windows that hold a word."""
     every = F.when(F.size(lines) >= window, F.sequence(F.lit(0), F.size(lines) - window)).otherwise(F.array().cast("array<int>"))
     return F.filter(every, lambda i: F.regexp_like(F.concat(*[F.get(lines, i + k) for k in range(window)]), F.lit(_WORD)))
@@ -45,10 +47,19 @@ def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     place = F.struct("doc_id", "_h", "p")
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(first, ["a", "b"]).filter(~place.eqNullSafe(F.col("first")))
+    none = F.array().cast("array<int>")
     gone = later.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.array_sort(F.collect_set("p")).alias("_p"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy(F.lit(0)))
-    joined = keyed.withColumn("_copy", copy).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
-    known = joined.select("doc_id", "text", F.split("text", "\n").alias("_l"), "_copy", "_p").select("doc_id", "text", "_l", F.when(F.col("_copy") > 1, _starts("_l", window)).otherwise(F.coalesce("_p", F.array().cast("array<int>"))).alias("_p"))
+    # how often equal rows stand is counted by keys; the texts move once, to meet what goes from them
+    times = keyed.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    about = gone.withColumn("_n", F.lit(None).cast("long")).unionByName(times.withColumn("_p", F.lit(None).cast("array<int>"))).groupBy("_d", "_g").agg(F.first("_p", True).alias("_p"), F.max("_n").alias("_n"))
+    about = common.cut(about)
+    joined = keyed.join(about, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "_h", "text", F.coalesce("_p", none).alias("_p"), "_n")
+    once = joined.filter("_n is null").select("doc_id", "text", "_p")
+    # equal rows become one before they are shuffled, and as many again after it: the first, and the others in portions
+    equal = joined.filter("_n is not null").groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.first("_p").alias("_p"), F.max("_n").alias("_n"))
+    further = equal.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n") - 1, F.lit(PORTION).cast("long"))).alias("_from"), "_n").repartition("_from", "doc_id")
+    further = further.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(PORTION), F.col("_n") - F.col("_from")).cast("int"))).alias("_k")).select("doc_id", "text", _starts(F.split("text", "\n"), window).alias("_p"))
+    known = once.unionByName(equal.select("doc_id", "text", "_p")).unionByName(further).withColumn("_l", F.split("text", "\n"))
     far = lambda a, b: (b - a) > window
     runs = known.select(
         "doc_id",

@@ -6,12 +6,14 @@ by (lang, source) and by lang; a document is held against its own group's fences
 
 Defined results: a null or empty text has no words and fails the base rule. Null languages or
 sources form groups of their own. Equal rows get equal rows. A group of fewer than `min_group`
-documents with words uses its language's fences. Other columns, whatever their names, are kept by
+documents with words uses its language's fences. Very long texts are taken whole. Other columns, whatever their names, are kept by
 `filtered` and left out by `assess`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 
-#: Ratio -> (side, slack). A document fails above q3 + reach * (q3 - q1) + slack, or below the mirror image.
+#: Ratio -> (side, slack, count, least). A document fails above q3 + reach * (q3 - q1) + slack where the count behind the ratio is at least `least`,
+#: or below the mirror image. The counts let one repeated line of a short text pass.
 RULES = {
-    "symbol_ratio": ("high", 0.05),
-    "dup_line_ratio": ("high", 0.50),
-    "repeat_ratio": ("high", 0.20),
-    "mean_word": ("both", 3.0),
+    "symbol_ratio": ("high", 0.05, "n_symbols", 1),
+    "dup_line_ratio": ("high", 0.25, "n_dup_lines", 3),
+    "repeat_ratio": ("high", 0.10, "n_repeat_words", 40),
+    "mean_word": ("both", 3.0, "n_words", 1),
 }
 REACH = 3.0
 MIN_GROUP = 30
@@ -65,7 +68,7 @@ def counts(text: Column, docs: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed and the ratios, cut from the text."""
-    slim = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), common.text_or_empty().alias("text"))
+    slim = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), common.text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = counts(F.col("text"), slim).drop("text")
     per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     c = F.col
@@ -89,15 +92,15 @@ def fences(measured: DataFrame, reach: float = REACH, accuracy: int = ACCURACY)
     lang = with_words.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).withColumns({"source": F.lit(None).cast("string"), "whole": F.lit(True)})
     both = own.unionByName(lang)
     out = ["lang", "source", "whole", "n"]
-    for m, (side, slack) in RULES.items():
+    for m, (side, slack, _, _) in RULES.items():
         q1, q3 = F.col(m)[0], F.col(m)[1]
         width = reach * (q3 - q1) + slack
         out += [(q3 + width).alias(f"{m}_high"), ((q1 - width) if side == "both" else F.lit(float("-inf"))).alias(f"{m}_low")]
     return both.select(*out)
 
 
-def assess(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, accuracy: int = ACCURACY) -> DataFrame:
-    """Per document: doc_id, base counts, base_failed, kept and the names of the rules that it breaks."""
+def _judged(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, accuracy: int = ACCURACY) -> DataFrame:
+    """Per row: doc_id, lang, source, the text's hash, base counts, base_failed, kept and the names of the rules that it breaks."""
     measured = measure(docs)
     table = fences(measured, reach, accuracy)
     limits = [f"{m}_{e}" for m in RULES for e in ("high", "low")]
@@ -105,19 +108,24 @@ def assess(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, ac
     as_lang = table.filter("whole").select(F.col("lang").alias("_ll"), *[F.col(x).alias(f"l_{x}") for x in limits])
     joined = measured.join(as_own, F.col("lang").eqNullSafe(F.col("_ol")) & F.col("source").eqNullSafe(F.col("_os")), "left").join(as_lang, F.col("lang").eqNullSafe(F.col("_ll")), "left")
     limit = lambda x: F.when(F.col("_own"), F.col(f"o_{x}")).otherwise(F.col(f"l_{x}"))
-    broken = F.array_compact(F.array(*[F.when((F.col(m) > limit(f"{m}_high")) | (F.col(m) < limit(f"{m}_low")), F.lit(m)) for m in RULES]))
+    broken = F.array_compact(F.array(*[F.when(((F.col(m) > limit(f"{m}_high")) & (F.col(n) >= least)) | (F.col(m) < limit(f"{m}_low")), F.lit(m)) for m, (_, _, n, least) in RULES.items()]))
     return joined.withColumn("broken", broken).select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), F.array_join("broken", ",").alias("broken")
+        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), F.array_join("broken", ",").alias("broken")
     )
 
 
-def filtered(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs whose document is kept, with all their columns.
+def assess(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, accuracy: int = ACCURACY) -> DataFrame:
+    """Per document: doc_id, base counts, base_failed, kept and the names of the rules that it breaks."""
+    return _judged(docs, reach, min_group, accuracy).drop("text_hash")
 
-    doc_id ties: a doc_id is dropped if any row that carries it fails."""
-    name = common.fresh(docs, "_bad")
-    bad = assess(docs, **params).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+def filtered(docs: DataFrame, **params) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Each row follows its own verdict: it is found again by doc_id, lang, source and
+    the hash of its text, on which the verdict rests."""
+    names = {c: common.fresh(docs, f"_{c}") for c in ("doc_id", "lang", "source", "text_hash")}
+    bad = _judged(docs, **params).filter(~F.col("kept")).select(*[F.col(c).alias(x) for c, x in names.items()]).distinct()
+    own = {"doc_id": F.col("doc_id"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "text_hash": F.xxhash64(common.text_or_empty())}
+    return docs.join(bad, reduce(Column.__and__, [own[c].eqNullSafe(F.col(x)) for c, x in names.items()]), "left_anti")
 
 
 def oracle_sql() -> str:
@@ -128,7 +136,7 @@ def oracle_sql() -> str:
     quartiles = ", ".join(f"{quartile(m, q, '')} as {m}_{k}" for m in names for k, q in (("q1", 0.25), ("q3", 0.75)))
     pick = ", ".join(f"case when own.n >= {MIN_GROUP} then own.{m}_{k} else whole.{m}_{k} end as {m}_{k}" for m in names for k in ("q1", "q3"))
     width = lambda m: f"({REACH} * ({m}_q3 - {m}_q1) + {RULES[m][1]})"
-    broken = ", ".join(f"case when {m} > {m}_q3 + {width(m)}" + (f" or {m} < {m}_q1 - {width(m)}" if RULES[m][0] == "both" else "") + f" then '{m}' end" for m in names)
+    broken = ", ".join(f"case when ({m} > {m}_q3 + {width(m)} and {RULES[m][2]} >= {RULES[m][3]})" + (f" or {m} < {m}_q1 - {width(m)}" if RULES[m][0] == "both" else "") + f" then '{m}' end" for m in names)
     group = lambda name, by: f"{name}_r as (select *, count(*) over (partition by {by}) as n, {ranks(by)} from m where n_words > 0), {name} as (select {by}, max(n) as n, {quartiles} from {name}_r group by {by})"
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),

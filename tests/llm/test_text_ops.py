@@ -53,8 +53,10 @@ def test_quality(docs, rows, no_docs, clashing):
     assert quality.assess(no_docs).count() == 0 and quality.filtered(no_docs).count() == 0
     kept = quality.filtered(clashing)
     assert kept.columns == clashing.columns
-    failed = {r["doc_id"] for r in found.collect() if not r["kept"]}
-    assert bag(kept, "doc_id", "text") == sorted(((i, t) for i, t, *_ in rows if i not in failed), key=repr)
+    # rows without a doc_id each follow their own verdict
+    failed = {(r["doc_id"], r["n_words"]) for r in found.collect() if not r["kept"]}
+    assert bag(kept, "doc_id", "text") == sorted(((i, t) for i, t, *_ in rows if (i, quality_counts(t)[0]) not in failed), key=repr)
+    assert any(i is None for i, _ in failed) and kept.filter("doc_id is null").count() == 1
 
 
 def test_quality_fences(spark):
@@ -66,6 +68,19 @@ def test_quality_fences(spark):
     assert not kept.pop(200) and all(kept.values())
 
 
+def test_quality_rules_act(spark):
+    """Each rule alone rejects a document that the base rule passes."""
+    text = lambda i, n=60: " ".join(f"word{i}x{j}" for j in range(n))
+    table = [(i, text(i), "en", "s") for i in range(60)]
+    line = " ".join(f"again{j}" for j in range(21))
+    table += [(100, text(100, 50) + " ###" * 9, "en", "s"), (101, "\n".join([text(101), *["end here"] * 4]), "en", "s"), (102, f"{line} {text(102, 250)} {line}", "en", "s"), (103, " ".join(f"{j:030}" for j in range(40)), "en", "s")]
+    table += [(104, f"{text(104)}\nend here\nend here", "en", "s")]  # one repeated line
+    own = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality.assess(own).collect()}
+    assert [found[100 + i]["broken"] for i in range(5)] == ["symbol_ratio", "dup_line_ratio", "repeat_ratio", "mean_word", ""]
+    assert not any(found[100 + i]["base_failed"] for i in range(5)) and {i for i, r in found.items() if not r["kept"]} == {100, 101, 102, 103}
+
+
 def test_licenses(docs, rows, spark, no_docs, clashing):
     texts = dict.fromkeys(range(6))
     notice = licenses.TEMPLATES[0][1]
@@ -168,10 +183,16 @@ def deduped(rows, n=3):
 
 
 def test_lines(docs, rows, no_docs, clashing):
-    plain = [r for r in rows if r[0] is not None]
-    found = lines.dedupe(docs.filter("doc_id is not null"))
-    assert bag(found, "doc_id", "n_lines", "n_removed", "n_spans", "text") == deduped(plain)
-    assert lines.dedupe(clashing).count() == len(rows) and lines.dedupe(no_docs).count() == 0
+    assert bag(lines.dedupe(clashing), "doc_id", "n_lines", "n_removed", "n_spans", "text") == deduped(rows)
+    assert lines.dedupe(no_docs).count() == 0
+
+
+def test_equal_lines_rows(spark, monkeypatch):
+    """However many equal rows there are, with or without a doc_id, the first alone may keep what no other document has."""
+    monkeypatch.setattr(lines, "PORTION", 3)
+    table = [(7, "a\nb\nc\nd")] * 8 + [(None, "x\ny\nz")] * 5 + [(None, "y\nz\nq")] + [(9, "one line")] * 4
+    found = bag(lines.dedupe(spark.createDataFrame(table, "doc_id long, text string").repartition(3)), "doc_id", "n_removed", "text")
+    assert found == sorted([(7, 0, "a\nb\nc\nd")] + [(7, 4, "")] * 7 + [(None, 0, "x\ny\nz")] + [(None, 3, "")] * 4 + [(None, 0, "y\nz\nq")] + [(9, 0, "one line")] * 4, key=repr)
 
 
 def test_lines_small(spark):
