@@ -3,13 +3,13 @@
 The benchmark's windows of `window` words (an item of fewer words, but not none, is one window)
 make a hash set that is broadcast; every document's word windows are hashed, looked up in it and
 verified word by word, and the words of verified windows are hit. The set is broadcast in blocks of at most
-`block_words` benchmark words, one pass over the documents per block, so the broadcast stays
-bounded however large the benchmark is; passes meet by document.
+`block_words` benchmark words (an item of more goes alone), one pass over the documents per block, so the broadcast stays
+bounded however large the benchmark is; each pass adds to the marks of the ones before, on the uncut text.
 
 Defined results: null texts have no words; an item without words hits nothing; an item that occurs
 several times counts once; a repeated item_id counts once per distinct id; a null item_id is
 not listed. A null doc_id stays null. Empty tables give empty results or no hits. Repeated doc_ids
-stay separate rows. Extra columns are ignored by `scan` and kept by `cleaned`.
+stay separate rows. Very long texts are taken whole. Extra columns are ignored by `scan` and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -123,65 +123,57 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[objec
         yield block
 
 
-def _scan(docs: DataFrame, index, keep_spans: bool) -> DataFrame:
-    """docs with _n_words, _items (ids) and _hit: the runs of hit words, [start, stop) by word number, flattened."""
+def _hits(batch: pa.RecordBatch, index: Index, marks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Which words are hit, by this block or by marks of earlier ones; each word's text; the texts' numbers of words; (text, item) pairs of this block."""
+    ids, owner, sizes = _ids(batch.column("text").to_pylist(), index.vocabulary)
+    hit, pairs = index.hits(ids, owner)
+    if marks in batch.schema.names:
+        first = np.cumsum(sizes) - sizes
+        for t, runs in enumerate(batch.column(marks).to_pylist()):
+            for a, z in zip(runs[::2], runs[1::2], strict=True):
+                hit[first[t] + a : first[t] + z] = True
+    return hit, owner, sizes, pairs
+
+
+def _marked(docs: DataFrame, index, marks: str, listed: str, counted: str, keep_text: bool = True) -> DataFrame:
+    """docs with the runs of hit words ([start, stop) by word number, flattened), the items (ids) and the number of words; the first two joined with those of earlier blocks."""
+    names = [c for c in docs.columns if c not in (marks, listed, counted) and (keep_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for batch in common.slices(batches):
-            ids, owner, sizes = _ids(batch.column("text").to_pylist(), found.vocabulary)
-            hit, pairs = found.hits(ids, owner)
-            n = batch.num_rows
-            items: list[list[str]] = [[] for _ in range(n)]
+            hit, owner, sizes, pairs = _hits(batch, found, marks)
+            items = [set(x) for x in batch.column(listed).to_pylist()] if listed in batch.schema.names else [set() for _ in range(batch.num_rows)]
             for t, i in pairs:
                 if found.items[i] is not None:
-                    items[t].append(found.items[i])
-            spans: list[list[int]] = [[] for _ in range(n)]
-            first = np.cumsum(sizes) - sizes
+                    items[t].add(found.items[i])
+            first, runs = np.cumsum(sizes) - sizes, [[] for _ in range(batch.num_rows)]
             for t in np.unique(owner[hit]):
-                own = np.concatenate([[0], hit[first[t] : first[t] + sizes[t]].astype(np.int8), [0]])
-                spans[t] = np.flatnonzero(np.diff(own)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sizes), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], schema=None, names=[*names, "_n_words", "_items", "_hit"]
-            )
+                runs[t] = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[t] : first[t] + sizes[t]].astype(np.int8), [0]]))).tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(sizes)], names=[*names, marks, listed, counted])
 
-    names = docs.columns if keep_spans else [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.mapInArrow(run, f"{fields}, _n_words long, _items array<string>, _hit array<long>")
+    added = [T.StructField(marks, T.ArrayType(T.LongType())), T.StructField(listed, T.ArrayType(T.StringType())), T.StructField(counted, T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *added]))
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _all_but_last(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, *names: str):
+    """(docs marked by every block but the last, the last block's broadcast index or None). Between blocks the marked documents are written out, and
+    the block's index is given up: executors hold one at a time."""
+    index = None
+    for block in _blocks(benchmark, block_words):
+        if index is not None:
+            docs = common.cut(_marked(docs, index, *names))
+            index.destroy()
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, window))
+    return docs, index
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, items (sorted ids of items with occurring windows), hit (runs of hit words [start, stop), flattened)."""
-    spark = docs.sparkSession
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    passes = [_scan(slim, spark.sparkContext.broadcast(Index(b, window)), False) for b in _blocks(benchmark, block_words)] or [_scan(slim, spark.sparkContext.broadcast(Index([], window)), False)]
-    if len(passes) == 1:
-        return passes[0].select("doc_id", F.col("_n_words").alias("n_words"), F.col("_items").alias("items"), F.col("_hit").alias("hit"))
-    keyed = slim.select("doc_id", "text", F.xxhash64("text").alias("_k"))  # equal rows have equal hits, so they may meet
-    each = [_scan(keyed, spark.sparkContext.broadcast(Index(b, window)), False) for b in _blocks(benchmark, block_words)]
-    every = each[0]
-    for x in each[1:]:
-        every = every.unionByName(x)
-    met = every.groupBy("doc_id", "_k", "_n_words").agg(F.count("*").alias("_c"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"), F.collect_list("_hit").alias("_runs"))
-    one = met.withColumn("hit", merge_runs(F.col("_runs")))
-    copies = (F.col("_c") / len(each)).cast("int")
-    return one.select("doc_id", F.col("_n_words").alias("n_words"), "items", "hit", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
-
-
-@F.udf(T.ArrayType(T.LongType()))
-def merge_runs(runs):
-    """Union of lists of flattened runs."""
-    out: list[int] = []
-    for a, b in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+    slim, index = _all_but_last(slim, benchmark, window, block_words, "hit", "items", "n_words")
+    index = index or docs.sparkSession.sparkContext.broadcast(Index([], window))
+    return _marked(slim, index, "hit", "items", "n_words", keep_text=False).select("doc_id", "n_words", "items", "hit")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
@@ -199,48 +191,18 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_sh
     A document of whose words over `drop_share` are hit goes, as does none without a hit. A column
     n_chars, if there is one, follows the new text. Every block is looked for in the whole text: passes only mark, and the last
     one cuts what any has marked, so blocks don't change the result."""
-    out, marks, index = docs, common.fresh(docs, "_marks"), None
-    for block in _blocks(benchmark, block_words):
-        if index is not None:
-            out = _marked(out, index, marks)
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, window))
+    marks = common.fresh(docs, "_marks")
+    out, index = _all_but_last(docs, benchmark, window, block_words, marks, common.fresh(docs, "_items"), common.fresh(docs, "_words"))
     return docs if index is None else _cut_hits(out, index, marks, docs, drop_share)
 
 
-def _hits(batch: pa.RecordBatch, index: Index, marks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words are hit, by this block or by marks of earlier ones; each word's text; the texts' numbers of words."""
-    ids, owner, sizes = _ids(batch.column("text").to_pylist(), index.vocabulary)
-    hit, _ = index.hits(ids, owner)
-    if marks in batch.schema.names:
-        first = np.cumsum(sizes) - sizes
-        for t, runs in enumerate(batch.column(marks).to_pylist()):
-            for a, z in zip(runs[::2], runs[1::2], strict=True):
-                hit[first[t] + a : first[t] + z] = True
-    return hit, owner, sizes
-
-
-def _marked(docs: DataFrame, index, marks: str) -> DataFrame:
-    """docs with the runs of hit words in the column `marks`, joined with those that stand there."""
-    names = [c for c in docs.columns if c != marks]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            hit, owner, sizes = _hits(batch, index.value, marks)
-            first, runs = np.cumsum(sizes) - sizes, [[] for _ in range(batch.num_rows)]
-            for t in np.unique(owner[hit]):
-                runs[t] = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[t] : first[t] + sizes[t]].astype(np.int8), [0]]))).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(runs, pa.list_(pa.int64()))], names=[*names, marks])
-
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField(marks, T.ArrayType(T.LongType()))]))
-
-
 def _cut_hits(docs: DataFrame, index, marks: str, like: DataFrame, drop_share: float) -> DataFrame:
     names = like.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = batch.column("text").to_pylist()
-            hit, owner, sizes = _hits(batch, index.value, marks)
+            hit, owner, sizes, _ = _hits(batch, index.value, marks)
             batch, touched = batch.select(names), np.unique(owner[hit])
             if not len(touched):
                 yield batch
