@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; longer single texts go alone.
@@ -59,6 +59,16 @@ def release(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with _row: its place from 0 in the given order. Ranges are sorted apart, and their sizes, a row per range, are summed."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_in", inside).join(before, "_part").withColumn("_row", (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_before")
+
+
 def lean() -> None:
     """In a worker: gives freed memory back to the system, now and, for arrays of over 1 MB, from now on as they go."""
     pa.default_memory_pool().release_unused()

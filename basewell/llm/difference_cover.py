@@ -16,19 +16,9 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with _row: its place from 0 in the given order. Ranges are sorted apart, and their sizes, a row per range, are summed."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = common.cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part")))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_in", inside).join(before, "_part").withColumn("_row", (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_before")
-
-
 def _named(df: DataFrame, *key: str) -> DataFrame:
     """df with name: the rank from 1 of its key among the distinct keys."""
-    names = _numbered(df.select(*key).distinct(), *key).withColumn("name", F.col("_row") + 1).drop("_row")
+    names = common.numbered(df.select(*key).distinct(), *key).withColumn("name", F.col("_row") + 1).drop("_row")
     return df.join(names, list(key))
 
 
@@ -52,7 +42,7 @@ def suffix_ranks(text: DataFrame) -> DataFrame:
         sampled = named.select(at.alias("at"), "pos", (F.col("name") + 1).alias("sym"))
         parting = text.sparkSession.range(1).select(F.lit(half).cast("long").alias("pos"), F.lit(1).cast("long").alias("sym"))
         below = suffix_ranks(sampled.select(F.col("at").alias("pos"), "sym").unionByName(parting))
-        ranks = _numbered(sampled.join(below.select(F.col("pos").alias("at"), "rank"), "at").select("pos", "rank"), "rank").select("pos", (F.col("_row") + 1).alias("rank"))
+        ranks = common.numbered(sampled.join(below.select(F.col("pos").alias("at"), "rank"), "at").select("pos", "rank"), "rank").select("pos", (F.col("_row") + 1).alias("rank"))
     else:
         ranks = named.select("pos", F.col("name").alias("rank"))
     ranks = common.cut(ranks)
@@ -60,7 +50,7 @@ def suffix_ranks(text: DataFrame) -> DataFrame:
     full = triples.join(near(0), "pos", "left").join(near(1), "pos", "left").join(near(2), "pos", "left").fillna(0)
     # remaining suffixes by (symbol, next rank); then both lists merge: each row's place is its place in its own list and how many of the other are less
     sample = common.cut(full.filter("pos % 3 <> 0"))
-    other = common.cut(_numbered(full.filter("pos % 3 = 0"), "s0", "r1").withColumnRenamed("_row", "own"))
+    other = common.cut(common.numbered(full.filter("pos % 3 = 0"), "s0", "r1").withColumnRenamed("_row", "own"))
     return _merged(sample, other)
 
 
@@ -87,7 +77,7 @@ def _merged(sample: DataFrame, other: DataFrame) -> DataFrame:
 def symbols(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as one text: pos, sym, doc_id, byte. Separators, one per document, are less than bytes and differ from each other; documents are laid out by doc_id and hash."""
     sized = docs.select("doc_id", common.text_or_empty().cast("binary").alias("raw")).withColumn("_h", F.xxhash64("raw"))
-    order = _numbered(sized.select("doc_id", "_h", (F.octet_length("raw") + 1).alias("size"), "raw"), "doc_id", "_h")
+    order = common.numbered(sized.select("doc_id", "_h", (F.octet_length("raw") + 1).alias("size"), "raw"), "doc_id", "_h")
     count = order.count()
     placed = common.cut(order.withColumnRenamed("_row", "nth"))
     blocks = placed.select((F.col("nth") / 4096).cast("long").alias("_blk"), "nth", "size")
@@ -111,7 +101,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
         step = min(k, length - k)
         pairs = names.join(names.select((F.col("pos") - step).alias("pos"), F.col("name").alias("next")), "pos")
         names, k = common.cut(_renamed(pairs)), k + step
-    ordered = _numbered(names.join(ranks, "pos"), "rank").select("pos", "name", "_row")
+    ordered = common.numbered(names.join(ranks, "pos"), "rank").select("pos", "name", "_row")
     beside = ordered.select((F.col("_row") + 1).alias("_row"), F.col("name").alias("before"))
     after = ordered.select((F.col("_row") - 1).alias("_row"), F.col("name").alias("after"))
     hit = ordered.join(beside, "_row", "left").join(after, "_row", "left").filter("name = before or name = after").select("pos")

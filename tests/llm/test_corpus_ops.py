@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import bag
 
 from basewell.llm import katz, mixing, ngram_join, packing, suffix_dedup
@@ -149,34 +150,90 @@ def shares(sizes):
     return target
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of longs, ints (as given by a pair) and strings."""
+    seed = 42
+    for x in parts:
+        if x is not None:
+            raw = x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True) if isinstance(x, int) else x[0].to_bytes(4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def taken_plain(rows, target, block):
+    """Words taken of each row: the words of a source in order, in blocks, epoch after epoch in the permuted order, until the target is reached."""
+    out = [0] * len(rows)
+    size = [len(SPACED.findall(r[1] or "")) for r in rows]
+    for s in {r[3] for r in rows}:
+        own = sorted((i for i, r in enumerate(rows) if r[3] == s and size[i]), key=lambda i: (spark_hash(rows[i][0], (mixing.SEED,)) % 256, rows[i][0] is not None, rows[i][0] or 0, spark_hash(rows[i][1])))
+        words = [i for i in own for _ in range(size[i])]
+        blocks = [words[a : a + block] for a in range(0, len(words), block)]
+        left, slot = math.floor(target[s] + 0.5), 0
+        while left > 0:
+            epoch, place = divmod(slot, len(blocks))
+            b = mixing.permuted(np.array([place]), len(blocks), mixing._key(mixing.SEED, s, epoch))[0]
+            for i in blocks[b][:left]:
+                out[i] += 1
+            left -= len(blocks[b][:left])
+            slot += 1
+    return out
+
+
 @pytest.mark.parametrize("block", [4, 128])
 def test_mixing(docs, rows, no_docs, clashing, block):
     size = Counter()
     for _, t, _, s, _ in rows:
         size[s] += len(SPACED.findall(t or ""))
     target = shares(size)
-    found = mixing.taken(docs, block_words=block)
-    by_source = {r[0]: s for r, s in ((r, r[3]) for r in rows if r[0] is not None)}
-    taken = Counter()
-    assert bag(found, "doc_id", "size") == sorted(((i, len(SPACED.findall(t or ""))) for i, t, *_ in rows), key=repr)
+    found = mixing.taken(docs, block_words=block, slots_per_shard=40)
+    words = [len(SPACED.findall(t or "")) for _, t, *_ in rows]
+    plain = taken_plain(rows, target, block)
+    got, wanted = bag(found, "doc_id", "size", "source_size", "taken"), sorted(((r[0], words[i], size[r[3]], plain[i]) for i, r in enumerate(rows)), key=repr)
+    assert got == wanted, [(a, b) for a, b in zip(got, wanted, strict=True) if a != b]
     for r in found.collect():
-        s = by_source.get(r["doc_id"], None) if r["doc_id"] is not None else ("src1" if r["size"] else None)
-        assert r["source_size"] == size[s] and math.isclose(r["target"], target[s], rel_tol=1e-9, abs_tol=1e-9) and 0 <= r["taken"] <= 3 * r["size"]
-        taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
-    assert bag(found, *found.columns) == bag(mixing.taken(docs.repartition(5), block_words=block), *found.columns)
+        assert 0 <= r["taken"] <= 3 * r["size"] and (r["first_shard"] is not None) == (r["taken"] > 0) == (r["n_shards"] > 0)
+        assert any(math.isclose(r["target"], target[s], rel_tol=1e-9, abs_tol=1e-9) for s in size if size[s] == r["source_size"])
+    assert bag(found, *found.columns) == bag(mixing.taken(docs.repartition(5), block_words=block, slots_per_shard=40), *found.columns)
     assert mixing.taken(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
-    out = mixing.mixed(clashing, block_words=block)
-    assert out.columns == clashing.columns
-    words, sources = Counter(), Counter()
+    out = mixing.mixed(clashing, block_words=block, slots_per_shard=40, with_shard=True)
+    assert out.columns == [*clashing.columns, "shard"] and mixing.mixed(clashing).columns == clashing.columns
+    each, sources, shards = Counter(), Counter(), {}
     for r in out.collect():
-        words[r["doc_id"]] += len(SPACED.findall(r["text"]))
+        each[r["doc_id"]] += len(SPACED.findall(r["text"]))
         sources[r["source"]] += len(SPACED.findall(r["text"]))
+        shards.setdefault(r["doc_id"], set()).add(r["shard"])
         assert r["n_chars"] == len(r["text"])
-    each = Counter()
+    expected = Counter()
     for r in found.collect():
-        each[r["doc_id"]] += r["taken"]
-    assert +words == +each and all(abs(sources[s] - target[s]) <= 1 for s in size)
+        expected[r["doc_id"]] += r["taken"]
+        if r["taken"] and r["doc_id"] not in (None, 12):  # rows of these ids share them
+            assert (r["first_shard"], r["n_shards"]) == (min(shards[r["doc_id"]]), len(shards[r["doc_id"]]))
+    assert +each == +expected and all(abs(sources[s] - target[s]) <= 1 for s in size)
+
+
+def test_shards_are_drawn(spark, docs):
+    """A shard's source counts vary as binomial draws do, parts of the tree agree with the whole, and slots follow the draws."""
+    for shards in (1, 2, 7, 50):
+        spread = []
+        for key in range(300):
+            whole = list(mixing.halved(4000, shards, key))
+            assert [x for a in range(0, shards, 3) for x in mixing.halved(4000, shards, key, a, a + 3)] == whole
+            counts = np.zeros(shards)
+            at = 0
+            for shard, first, n in whole:
+                assert first == at and n > 0
+                counts[shard], at = n, at + n
+            assert at == 4000
+            spread.append(((counts - 4000 / shards) ** 2).sum() / (4000 / shards))
+        assert shards == 1 or 0.85 < np.mean(spread) / (shards - 1) < 1.15
+    sources = mixing.common.cut(mixing.targets(mixing._sized(docs)))
+    made, where = mixing.slots(sources, 4, 100).groupBy("k", "shard").count(), {}
+    for r in made.collect():
+        where.setdefault(r["k"], {})[r["shard"]] = r["count"]
+    names = {r["k"]: r["source"] for r in sources.collect()}
+    n = 1 + max(x for own in where.values() for x in own)
+    for k, own in where.items():
+        assert own == {shard: x for shard, _, x in mixing.halved(sum(own.values()), n, mixing._key(mixing.SEED, "shards", names[k]))}
 
 
 def test_permutation():
@@ -188,7 +245,7 @@ def test_permutation():
 def test_one_source(spark):
     own = spark.createDataFrame([(1, "a b c", "s"), (2, None, "s"), (3, " ", "t")], "doc_id long, text string, source string")
     rows = {r["doc_id"]: tuple(r)[1:] for r in mixing.taken(own).collect()}
-    assert rows == {1: (3, 3, 3.0, 3), 2: (0, 3, 3.0, 0), 3: (0, 0, 0.0, 0)}
+    assert rows == {1: (3, 3, 3.0, 3, 0, 1), 2: (0, 3, 3.0, 0, None, 0), 3: (0, 0, 0.0, 0, None, 0)}
 
 
 def without_repeats(rows, n=200):
