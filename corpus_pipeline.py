@@ -26,8 +26,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken up to their targets: whole documents for full epochs, stretches of them for the last."""
-    return mixing.mixed(docs)
+    """Sources are taken up to their targets, in blocks that hold most documents whole, and stand in the order of drawn output shards."""
+    return mixing.mixed(docs, block_words=2048, slots_per_shard=128)
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
