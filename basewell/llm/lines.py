@@ -52,7 +52,7 @@ def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # how often equal rows stand is counted by keys; the texts move once, to meet what goes from them
     times = keyed.groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_g")).agg(F.count("*").alias("_n")).filter("_n > 1")
     about = gone.withColumn("_n", F.lit(None).cast("long")).unionByName(times.withColumn("_p", F.lit(None).cast("array<int>"))).groupBy("_d", "_g").agg(F.first("_p", True).alias("_p"), F.max("_n").alias("_n"))
-    about = common.cut(about)
+    about = common.cut(about).hint("merge")  # it grows with the corpus; small ones shouldn't take another way
     joined = keyed.join(about, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "_h", "text", F.coalesce("_p", none).alias("_p"), "_n")
     once = joined.filter("_n is null").select("doc_id", "text", "_p")
     # equal rows become one before they are shuffled, and as many again after it: the first, and the others in portions
