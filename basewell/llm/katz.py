@@ -36,8 +36,8 @@ from . import common
 K = 5
 PSEUDO = 1
 #: Text bytes per bucket, how many parts a bucket is counted in, one after the other, and tokens per packed batch.
-BUCKET_BYTES = 16 << 20
-PARTS = 3
+BUCKET_BYTES = 48 << 20
+PARTS = 8
 BATCH_TOKENS = 1_500_000
 END, START = np.uint64(1), np.uint64(2)  # no word is hashed to these but by a chance of 2**-63
 _U = np.uint64
