@@ -124,7 +124,6 @@ def text_or_empty(column: str = "text"):
 
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -135,19 +134,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of the polynomial's base and of its inverse; kept by the process."""
-    if not _powers or len(_powers[0]) < n:
+def _power_tables(n: int, base: np.uint64 = _POWER) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n-1 of a polynomial's odd base and of its inverse; kept by the process."""
+    if len(_powers.get(int(base), ((),))[0]) < n:
         tables = []
-        for base in (_POWER, _INVERSE):
-            t = np.full(n, base)
+        for x in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+            t = np.full(n, x)
             t[0] = 1
             tables.append(np.cumprod(t, out=t))
-        _powers[:] = tables
-    return _powers[0][:n], _powers[1][:n]
+        _powers[int(base)] = tuple(tables)
+    power, undo = _powers[int(base)]
+    return power[:n], undo[:n]
 
 
 def word_hashes(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,8 @@ STEP = 42
 _INDEX_BITS = 22
 _LOW = np.uint64((1 << _INDEX_BITS) - 1)
 _M = np.uint64(0xA24BAED4963EE407)
-_BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTES, _MORE_BYTES = np.random.default_rng(11).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_POLYNOMIALS = [(np.uint64(0x9E3779B97F4A7C15), _BYTES), (np.uint64(0xD1342543DE82EF95), _MORE_BYTES)]
 
 
 def pieces(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,14 +90,17 @@ class Sampled:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def prefix(self) -> None:
-        """Prefix sums by which any string of the buffer is hashed at once."""
+        """Prefix sums by which any string of the buffer is hashed at once, by either of two polynomials with bases and byte values of their own."""
         from .common import _power_tables
 
-        power, undo = _power_tables(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum(_BYTES[self.raw] * power[:-1], out=sums[1:])
-        self._sums, self._undo = sums, undo
-
-    def hashed(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from a to z."""
-        return mix((self._sums[z] - self._sums[a]) * self._undo[a] + (z - a).astype(np.uint64) * _M)
+        self._sums = []
+        for base, values in _POLYNOMIALS:
+            power, undo = _power_tables(len(self.raw) + 1, base)
+            sums = np.zeros(len(self.raw) + 1, np.uint64)
+            np.cumsum(values[self.raw] * power[:-1], out=sums[1:])
+            self._sums.append((sums, undo))
+
+    def hashed(self, a: np.ndarray, z: np.ndarray, which: int) -> np.ndarray:
+        """Hashes of the bytes from a to z by the polynomial `which`, 0 or 1."""
+        sums, undo = self._sums[which]
+        return mix((sums[z] - sums[a]) * undo[a] + (z - a).astype(np.uint64) * _M)

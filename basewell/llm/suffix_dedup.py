@@ -12,17 +12,21 @@ strings before a sampled position are settled from its name and the bytes on bot
 A plain difference-cover order of all byte suffixes sorts rows for 2/3 of all bytes on its first level alone; the
 README has the figures. `difference_cover` has that algorithm for symbol tables.
 
-Names are hashes of 64 bits, compared as pairs (core and extent, core and string), so that two different
-strings pass for equal with a chance of about 2**-128. Names that must be looked up in a scan go to it as Bloom filters of
-bounded size, one scan per MOST_KEYS names; what a filter lets through by chance is counted exactly later.
+Names are hashes of 64 bits, compared as pairs (core and extent, core and string) of which the second comes from a polynomial with another base and other
+byte values, so that two different strings pass for equal only if they collide in both: about 2**-64 for each, so long as strings aren't made to collide. (Polynomials modulo 2**64
+have structured collisions, but of more than 1,000 bytes; these strings have 241 at most.)
+
+Names that must be looked up in a scan go to it as Bloom filters of bounded size: names are dealt to groups of about MOST_KEYS, and a group is worked through before the next one's filters are made. A core has the group of its
+sampled position's name, so each group takes two scans, with at most two filters in memory. What a filter lets through by chance is counted exactly later.
 
 Defined results: null texts are empty; texts of fewer than 200 bytes keep everything. Equal rows repeat each other, so both lose what
-can be lost. A null doc_id stays null. Extra columns are ignored. An empty table gives an empty table.
+can be lost. A null doc_id stays null. Very long texts are cut into overlapping pieces of 256 KB. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +78,9 @@ class Bloom:
         return cls(bits, words)
 
 
-def _filters(names: DataFrame, most: int) -> list[tuple[int, int, object]]:
-    """(group, groups, broadcast filter) for each scan that the names need."""
-    n = names.count()
-    groups = max(1, -(-n // most))
-    spark = names.sparkSession
-    return [(g, groups, spark.sparkContext.broadcast(Bloom.of(names.filter(F.pmod("name", F.lit(groups)) == g), n // groups + 1))) for g in range(groups)]
+def _filter(names: DataFrame):
+    """A broadcast filter of the names."""
+    return names.sparkSession.sparkContext.broadcast(Bloom.of(names, names.count()))
 
 
 def _chosen(names: np.ndarray, group: int, groups: int, found: Bloom) -> np.ndarray:
@@ -110,8 +111,8 @@ def _named(s: Sampled, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     before = s.position[run] - a
     k = before // STEP
     start = s.position[run] - k * STEP
-    core = s.hashed(start, start - STEP + 1 + LENGTH) + k.astype(_U)
-    extent = common.mix(s.hashed(a, a + n - 1 + LENGTH) + before.astype(_U) * _U(0x9E3779B97F4A7C15) + n.astype(_U))
+    core = s.hashed(start, start - STEP + 1 + LENGTH, 0) + k.astype(_U)
+    extent = common.mix(s.hashed(a, a + n - 1 + LENGTH, 1) + before.astype(_U) * _U(0x9E3779B97F4A7C15) + n.astype(_U))
     return a, n, core, extent, run
 
 
@@ -134,50 +135,41 @@ def _stretches(docs: DataFrame, group: int, groups: int, found) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, _h long, core long, extent long, a long, n int")
 
 
-def _strings(docs: DataFrame, first: tuple, second: tuple) -> DataFrame:
-    """core, extent, strings (names of all strings) of the stretches whose core is looked for."""
+def _strings(docs: DataFrame, group: int, groups: int, first, second) -> DataFrame:
+    """core, extent, strings (names of all strings) of the stretches of a group whose core is looked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             for data, _, starts, _ in pieces(_raws(batch)):
                 s = Sampled(data, starts)
-                chosen = np.flatnonzero(_chosen(s.name, first[0], first[1], first[2].value))
+                chosen = np.flatnonzero(_chosen(s.name, group, groups, first.value))
                 if not len(chosen):
                     continue
                 a, n, core, extent, _ = _named(s, chosen)
-                some = np.flatnonzero(_chosen(core, second[0], second[1], second[2].value))
+                some = np.flatnonzero(second.value.holds(core))
                 some = some[np.unique(np.stack([core[some], extent[some]]), axis=1, return_index=True)[1]] if len(some) else some
                 if not len(some):
                     continue
                 a, n = a[some], n[some]
                 at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                each = s.hashed(at, at + LENGTH).astype(np.int64)
+                each = s.hashed(at, at + LENGTH, 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(core[some].astype(np.int64)), pa.array(extent[some].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(each))], names=["core", "extent", "strings"])
 
     return docs.mapInArrow(run, "core long, extent long, strings array<long>")
 
 
-def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> tuple[DataFrame, tuple]:
-    """(rows, the tables that they are read from): doc_id, _h, a, n, mask: stretches of n strings from byte a on, of which those in the mask (bit i: string a + i) start elsewhere too. docs(doc_id, text, _h)."""
-    names = common.cut(_names(docs).groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"))
-    first = _filters(names, most_keys)
-    found = None
-    for g in first:
-        own = _stretches(docs, *g)
-        found = own if found is None else found.unionByName(own)
-    found = common.cut(found)
-    common.discard(names)
+def _settled(docs: DataFrame, names: DataFrame, group: int, groups: int) -> tuple[DataFrame, DataFrame]:
+    """(stretches, verdict) of one group of repeated names: doc_id, _h, core, extent, a, n; and core, extent, mask."""
+    first = _filter(names.filter(F.pmod("name", F.lit(groups)) == group))
+    found = common.cut(_stretches(docs, group, groups, first))
     common.release(docs.sparkSession)
     extents = common.cut(found.groupBy("core", "extent").agg(F.count("*").alias("times")))
     cores = common.cut(extents.groupBy("core").agg(F.count("*").alias("extents")).filter("extents > 1").select(F.col("core").alias("name")))
-    second = _filters(cores, most_keys)
+    second = _filter(cores)
     common.release(docs.sparkSession)
-    single = None
-    for f in first:
-        for g in second:
-            own = _strings(docs, f, g)
-            single = own if single is None else single.unionByName(own)
-    single = common.cut(single.dropDuplicates(["core", "extent"]).select("core", "extent", F.posexplode("strings").alias("i", "string")))
+    single = common.cut(_strings(docs, group, groups, first, second).dropDuplicates(["core", "extent"]).select("core", "extent", F.posexplode("strings").alias("i", "string")))
+    first.destroy()
+    second.destroy()
     common.release(docs.sparkSession)
     often = single.groupBy("core", "string").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
     masks = single.join(often, ["core", "string"]).groupBy("core", "extent").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
@@ -185,7 +177,17 @@ def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> tuple[DataFrame, tu
     verdict = common.cut(whole.unionByName(masks).groupBy("core", "extent").agg(F.bit_or("mask").alias("mask")))
     common.discard(extents, cores, single)
     common.release(docs.sparkSession)
-    return found.join(verdict, ["core", "extent"]).select("doc_id", "_h", "a", "n", "mask"), (found, verdict)
+    return found, verdict
+
+
+def repeated(docs: DataFrame, most_keys: int = MOST_KEYS) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, the tables that they are read from): doc_id, _h, a, n, mask: stretches of n strings from byte a on, of which those in the mask (bit i: string a + i) start elsewhere too. docs(doc_id, text, _h)."""
+    names = common.cut(_names(docs).groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"))
+    groups = max(1, -(-names.count() // most_keys))
+    settled = [_settled(docs, names, g, groups) for g in range(groups)]
+    common.discard(names)
+    rows = [found.join(verdict, ["core", "extent"]).select("doc_id", "_h", "a", "n", "mask") for found, verdict in settled]
+    return reduce(DataFrame.unionByName, rows), [t for pair in settled for t in pair]
 
 
 def _merged(marks: DataFrame) -> DataFrame:

@@ -264,7 +264,7 @@ def without_repeats(rows, n=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [1 << 24, 40])
+@pytest.mark.parametrize("most", [1 << 24, 300])
 def test_repeats(docs, rows, no_docs, clashing, most):
     from pyspark.sql import functions as F
 
