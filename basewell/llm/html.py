@@ -4,7 +4,7 @@ Each page is cut into text lines (its blocks). Within a host, pages are ordered
 neighbour whose path shares the longer prefix (the one before it if equal). The two pages' lines are aligned by longest common
 subsequence, and lines that both share are deleted: that is what a site repeats on its pages. Where the articles of a page, or else its
 main element with them, have at least half of the characters that aren't deleted, they are known to be its text: their lines stay, shared
-or not, and lines outside go. Elsewhere (teasers as articles beside a text in a div) the alignment decides on every line. Menus, headers, footers, asides,
+or not, and lines outside go; but lines in parts of them whose class words (DOUBTFUL) may mark a box of the site's stay only if they aren't shared. Elsewhere (teasers as articles beside a text in a div) the alignment decides on every line. Menus, headers, footers, asides,
 adverts, notices, forms, comments and code are never lines, by their elements, roles and class words.
 
 Copies (pages of a host with the same lines) are one page in this, at the least of their URLs, and all get its result. Of a page that shares
@@ -20,10 +20,10 @@ gives an empty table. Blocks are joined by \\n; white space inside a block, and
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -42,8 +42,16 @@ SKIP_WORDS = {"ad", "ads", "adsense", "advert", "advertisement", "advertising",
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 HOLDERS = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "td", "th", "blockquote", "nav", "aside", "footer", "header", "form"}
 
-_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Class words that inside an article may mark the article's own text: there, lines go only if the paired page shares them.
+DOUBTFUL = {"alert", "notification", "recommended", "related", "search", "widget", "widgets"}
+#: Elements that may be open at once, as browsers limit them too; deeper ones aren't nested further.
+DEEPEST = 256
+
+_CLOSES = {tag: [t for t, by in CLOSED_BY.items() if tag in by] for tag in set().union(*CLOSED_BY.values())}
+# a quote opens a value only straight after "="; nothing is matched twice
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))|(?!\s*+=))|=)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?+")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _COMMENT_END = re.compile(r"--!?>")
 
@@ -52,33 +60,72 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _unwanted(tag: str, raw: str, inside: bool) -> bool:
-    """Whether an element, inside an article or not, holds anything but the page's text."""
+def _unwanted(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element, inside an article or main or not, holds anything but the page's text; and whether that is doubtful."""
     if tag in SKIP or (tag == "header" and not inside):
-        return True
+        return True, False
     if tag in ("html", "body", "main"):
-        return False
+        return False, False
     a = _attributes(raw)
     if not a:
-        return False
+        return False, False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in SKIP_ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+        return True, False
     found = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")} & SKIP_WORDS
-    return bool(found - {"header", "byline"} if inside else found)
+    if not inside:
+        return bool(found), False
+    return bool(found - DOUBTFUL - {"header", "byline"}), bool(found & DOUBTFUL)
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag, comment (name "!--") and declaration (name "!"), in time linear in the page.
+
+    A tag whose quote or end is missing ends at the next ">". Most tags are short: only a few times the page's length is spent on long ones."""
+    at, most = html.find("<"), 4 * len(html) + 65536
+    while at >= 0:
+        m = _TAG.match(html, at, at + 4096)
+        if m is None and html[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            close = html.find(">", at)
+            if close < 0:
+                yield at, len(html), "", "!", ""
+                return
+            if most > 0:
+                m = _TAG.match(html, at)
+                most -= (m.end() if m else len(html)) - at
+            if m is None and (name := _NAME.match(html, at, close)):
+                yield at, close + 1, name[1], name[2], html[name.end() : close]
+                at = html.find("<", close + 1)
+                continue
+        if m:
+            end = m.end()
+            yield at, end, m[1], m[2], m[3]
+        elif html.startswith("<!--", at):
+            end = at + 5 if html.startswith("<!-->", at) else at + 6 if html.startswith("<!--->", at) else (close.end() if (close := _COMMENT_END.search(html, at + 4)) else len(html))
+            yield at, end, "", "!--", ""
+        elif html[at + 1 : at + 2] in ("!", "?", "/") and html[at + 1 : at + 2]:
+            end = html.find(">", at) + 1 or len(html)
+            yield at, end, "", "!", ""
+        else:
+            end = at + 1  # a plain "<"
+        at = html.find("<", end)
 
 
 def lines(html: str | None) -> list[tuple[str, int]]:
-    """The text blocks of a page: (text, 1 if inside an article, 2 if inside main, else 0), without what isn't text."""
+    """The text blocks of a page, without what isn't text: (text, kind): 1 inside an article, 2 inside main, else 0; 4 more where a class word makes it doubtful."""
     out: list[tuple[str, int]] = []
     if not html:
         return out
-    stack: list[tuple[str, bool, int]] = []  # tag, skipped, kind of holder
+    stack: list[tuple[str, bool, int]] = []  # tag, skipped, kind
+    opened: dict[str, int] = {}
     parts: list[str] = []
     skipped, kind, at = False, 0, 0
 
+    def add(text: str) -> None:
+        parts.append(unescape(text) if "&" in text else text)
+
     def end_block() -> None:
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append((text, kind))
             parts.clear()
@@ -87,31 +134,27 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         nonlocal skipped, kind
         if any(tag in BLOCK for tag, *_ in stack[depth:]):
             end_block()
+        for tag, *_ in stack[depth:]:
+            opened[tag] -= 1
         del stack[depth:]
         skipped, kind = stack[-1][1:] if stack else (False, 0)
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:  # inside a comment or raw text that has been passed over
+    for start, end, slash, name, raw in _tags(html):
+        if start < at:  # inside raw text that has been passed over
             continue
-        if not skipped and m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = _COMMENT_END.search(html, at)
-            at = end.end() if end else len(html)
+        if not skipped and start > at:
+            add(html[at:start])
+        at = end
+        if name[0] == "!":
             continue
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
+        tag = name.lower()
+        if slash:
+            if opened.get(tag):
+                close_to(next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = m.end() if m else len(html)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -119,7 +162,7 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             elif tag == "br" and not skipped:
                 parts.append(" ")
             continue
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, -1, -1) if any(opened.get(t) for t in _CLOSES.get(tag, ())) else ():
             if tag in CLOSED_BY.get(stack[depth][0], ()):
                 close_to(depth)
                 break
@@ -127,48 +170,89 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                 break
         if tag in BLOCK:
             end_block()
-        if m[3].endswith("/") and tag not in BLOCK:
+        if raw.endswith("/") and tag not in BLOCK or len(stack) >= DEEPEST:
             continue
-        skip = skipped or _unwanted(tag, m[3], kind > 0)
+        skip, doubtful = (True, False) if skipped else _unwanted(tag, raw, kind & 3 > 0)
         own = kind
         if not skip:
-            own = 1 if tag == "article" else kind or (2 if tag == "main" or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", m[3]) else 0)
-        if skip and not skipped:
+            held = 1 if tag == "article" else kind & 3 or (2 if tag == "main" or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", raw) else 0)
+            own = held | (4 if doubtful or kind & 4 else 0)
+        if (skip and not skipped) or own != kind:
             end_block()
         stack.append((tag, skip, own))
+        opened[tag] = opened.get(tag, 0) + 1
         skipped, kind = skip, own
     if not skipped and at < len(html):
-        parts.append(html[at:])
+        add(html[at:])
     end_block()
     return out
 
 
+def _rows(own: list[int], places: dict[int, int], width: int) -> Iterator[int]:
+    """After each element of `own`, in bits: 0 where the longest common subsequence with the first j elements of the other grows at j."""
+    row = full = (1 << width) - 1
+    for x in own:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _places(other: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for j, x in enumerate(other):
+        out[x] = out.get(x, 0) | 1 << j
+    return out
+
+
+def _lengths(own: list[int], other: list[int]) -> np.ndarray:
+    """Of `own` with each prefix of `other`: the longest common subsequence's length."""
+    row = (1 << len(other)) - 1
+    for row in _rows(own, _places(other), len(other)):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)]
+    return np.append(0, np.cumsum(bits == 0))
+
+
+#: Bits of stored rows (8 MB) up to which a common subsequence is read off directly.
+_DIRECT = 1 << 26
+
+
 def shared(own: list[int], other: list[int]) -> list[int]:
-    """Positions in `own` of a longest common subsequence with `other` (Hunt and Szymanski: by the matches, after equal ends)."""
+    """Positions in `own` of a longest common subsequence with `other`.
+
+    Rows of its table are numbers whose bits stand for the columns. Tables beyond _DIRECT are halved (Hirschberg), so memory stays bounded."""
     a, z = 0, 0
     while a < min(len(own), len(other)) and own[a] == other[a]:
         a += 1
     while z < min(len(own), len(other)) - a and own[-1 - z] == other[-1 - z]:
         z += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(other) - z - 1, a - 1, -1):
-        places.setdefault(other[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(a, len(own) - z):
-        for j in places.get(own[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[0])
-        link = link[1]
-    return [*range(a), *reversed(middle), *range(len(own) - z, len(own))]
+    middle, rest = own[a : len(own) - z], other[a : len(other) - z]
+    known = set(rest)
+    at = [i for i, x in enumerate(middle) if x in known]  # others can't be shared
+    found = [at[i] for i in _common([middle[i] for i in at], rest)] if at else []
+    return [*range(a), *(a + i for i in found), *range(len(own) - z, len(own))]
+
+
+def _common(own: list[int], other: list[int]) -> list[int]:
+    if not own or not other:
+        return []
+    if len(own) > 1 and len(own) * len(other) > _DIRECT:
+        half = len(own) // 2
+        left, right = _lengths(own[:half], other), _lengths(own[half:][::-1], other[::-1])
+        cut = int(np.argmax(left + right[::-1]))
+        return _common(own[:half], other[:cut]) + [half + i for i in _common(own[half:], other[cut:])]
+    rows = list(_rows(own, _places(other), len(other)))
+    out, j = [], len(other)
+    for i in range(len(own) - 1, -1, -1):
+        # the row grows at its last 0 bit before j; it is own[i]'s work if the row above doesn't grow as much
+        here = ((1 << j) - 1) & ~rows[i]
+        if not here:
+            break
+        above = ((1 << j) - 1) & ~rows[i - 1] if i else 0
+        if above.bit_count() < here.bit_count():
+            out.append(i)
+            j = here.bit_length() - 1
+    return out[::-1]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -241,7 +325,8 @@ def holder(found: list[str], kinds: list[int], site: set[int]) -> set[int]:
     own = [0, 0, 0]
     for i, (text, kind) in enumerate(zip(found, kinds, strict=True)):
         if i not in site:
-            own[kind] += len(text)
+            own[kind & 3] += len(text)
+    kinds = {k & 3 for k in kinds}
     if 1 in kinds and own[1] >= own[0] + own[2]:
         return {1}
     return {1, 2} if 2 in kinds and own[1] + own[2] >= own[0] else set()
@@ -266,8 +351,8 @@ def extract(pages: DataFrame, copy_share: float = 0.9) -> DataFrame:
                 found = unpack.decompress(blob).decode("utf-8", "surrogatepass").split("\n") if kinds else []
                 same, site = repeated(own, other, second, copy_share) if other else ([], set())
                 held = holder(found, kinds, site)
-                gone = {i for i in site if not held or kinds[i] not in held}
-                texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if (k in held if held else i not in gone)))
+                gone = {i for i in site if not held or (kinds[i] & 4 and kinds[i] & 3 in held)}
+                texts.append("\n".join(t for i, (t, k) in enumerate(zip(found, kinds, strict=True)) if i not in gone and (not held or k & 3 in held)))
                 n_lines.append(len(found))
                 n_shared.append(len(same))
                 n_deleted.append(len(gone))
