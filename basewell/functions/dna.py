@@ -87,6 +87,26 @@ def unpack(packed) -> Column:
     return F.struct(F.shiftrightunsigned(p, POSITION_BITS).bitwiseAND(F.lit(_VALUE_MASK)).alias("ref_id"), p.bitwiseAND(F.lit(_POSITION_MASK)).alias("pos"))
 
 
+def _times(x: Column, factor: int) -> Column:
+    """x * factor modulo 2**64, in 16-bit digits: a product of longs that overflows is an error in Spark."""
+    digit = lambda v, i: F.shiftrightunsigned(v, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    low = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))
+    own = [factor >> 16 * i & 0xFFFF for i in range(4)]
+    # sums of the products that start at digit i; only 64 bits are kept
+    at = [sum((digit(x, j) * own[i - j] for j in range(1, i + 1)), digit(x, 0) * own[i]) for i in range(4)]
+    bottom = at[0] + F.shiftleft(low(at[1]), 16)
+    top = F.shiftrightunsigned(at[1], 32) * 0x10000 + F.shiftrightunsigned(bottom, 32) + at[2] + F.shiftleft(low(at[3]), 16)
+    return F.shiftleft(top, 32).bitwiseOR(low(bottom))
+
+
+def finalised(key) -> Column:
+    """The 64-bit finaliser of MurmurHash3 of a key, by which a hash layout finds its slot. The shifts and both factors."""
+    x = _col(key).cast("long")
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 33)), factor)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+
+
 def range_cells(n, header_threshold: int) -> Column:
     """Cells that a range of n values takes, with two flanks to a cell if they are kept."""
     n = _col(n)

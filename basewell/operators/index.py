@@ -52,7 +52,8 @@ def ranges(keys: DataFrame, p: IndexParams) -> DataFrame:
 
     Prefix sums in three levels: keys in a block, blocks in a super block, super blocks, of which there are at most 4**c / 2**(shift + 12)."""
     shift = p.block_shift
-    sized = keys.withColumns({"v_size": dna.range_cells("n", p.header_threshold), "blk": F.shiftright("key", shift), "sup": F.shiftright("key", shift + 12)})
+    cells = F.col("n") if p.layout == "hash" else dna.range_cells("n", p.header_threshold)  # a hash layout has no room for flanks
+    sized = keys.withColumns({"v_size": cells, "blk": F.shiftright("key", shift), "sup": F.shiftright("key", shift + 12)})
     blocks = sized.groupBy("sup", "blk").agg(F.sum("v_size").alias("b"))
     supers = blocks.groupBy("sup").agg(F.sum("b").alias("s"))
     base = supers.select(F.col("sup").alias("_s"), (F.sum("s").over(Window.orderBy("sup")) - F.col("s")).alias("base_s"))

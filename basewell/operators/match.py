@@ -60,6 +60,11 @@ def with_names(matches: DataFrame, refs: DataFrame) -> DataFrame:
     return matches.join(refs, "ref_id")
 
 
+def with_ids(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """names(name, ...) with ref_id; a name that isn't in the dictionary has none."""
+    return names.join(refs, "name", "left")
+
+
 def nearest_in(values, flank) -> F.Column:
     """The nearest of a nested range's values, without a window: array of (ref_id, pos, dist), dist null without flanks."""
     scored = F.transform(values, lambda v: F.struct(v["ref_id"].alias("ref_id"), v["pos"].alias("pos"), F.when(v["flank"].isNotNull(), dna.hamming(v["flank"], flank)).alias("dist")))

@@ -4,6 +4,7 @@ Sequences come from whole texts: their letters dealt to A C G T. `documents` are
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..functions.params import IndexParams
 from ..operators import display, match, windows
 from ..operators import index as ix
 from ..sources import fasta, store
+from ..streaming import lookups
 from . import build
 
 #: Every window; sampled by closed syncmers; a hash layout.
@@ -24,6 +26,8 @@ HASHED = IndexParams(c=11, f=16, s=5, layout="hash")
 WHOLE = IndexParams(c=11, f=16)
 WHOLE_SAMPLED = IndexParams(c=11, f=16, s=5)
 LITERAL_CORE = "ACGTACCACAC"
+LITERALS = ["ACGTACGTTTGACCAGTACGTACGTTTGACC", "TTGACCAGTACGATTTTTTTTTTTTACGTACGT", "ACG", "GGTCAAACGTACGTACTGGTCAAACGTACGT"]
+LITERAL = IndexParams(c=5, f=4, s=2)
 
 
 def _sequences(spark, sf_dir, table="documents", id_col="doc_id") -> DataFrame:
@@ -124,7 +128,7 @@ def index_nested(spark, sf_dir, p=SAMPLED):
 
 def _records(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.lit("documents").alias("file"), F.col("doc_id").alias("ordinal"), F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source")).alias("head"), store.derived_dna(F.col("text")).alias("seq"))
+    return docs.select(F.lit("documents").alias("file"), F.col("doc_id").alias("ordinal"), F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("source", F.lit(""))).alias("head"), store.derived_dna(F.col("text")).alias("seq"))
 
 
 def reference_dictionary(spark, sf_dir):
@@ -189,7 +193,95 @@ def index_roundtrip(spark, sf_dir, p=SAMPLED):
     return store.load(spark, path)[0]
 
 
+def _fasta_folder(spark, sf_dir, seq=None) -> str:
+    """The documents' sequences as FASTA files, lines of 60 bases, in the order of doc_id over the files' names."""
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), store.shared_path(spark)
+    made = _records(spark, sf_dir).repartitionByRange(n, "ordinal").sortWithinPartitions("ordinal")
+    made.select(F.concat("head", F.lit("\n"), F.regexp_replace("seq" if seq is None else seq, "(.{60})", "$1\n"))).write.text(path)
+    return path
+
+
+def fasta_text(spark, sf_dir):
+    return fasta.read_text(spark, _fasta_folder(spark, sf_dir) + "/*.txt")
+
+
+def fasta_source(spark, sf_dir):
+    return fasta.read_files(spark, _fasta_folder(spark, sf_dir))
+
+
+def fasta_index(spark, sf_dir):
+    """From FASTA files to capped keys."""
+    return build.build_index(fasta.read_files(spark, _fasta_folder(spark, sf_dir)), SAMPLED).keys
+
+
+def fasta_validated(spark, sf_dir):
+    """Records of whose letters z alone is no nucleotide code: those with one go."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    records = docs.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtnx").alias("seq"))
+    return fasta.validated(records, "DROPMALFORMED")
+
+
+def literal_index(spark, sf_dir):
+    """The index of a few sequences given as text."""
+    return ix.long_index(windows.occurrences(fasta.literal(spark, *LITERALS), LITERAL), LITERAL)
+
+
+def table_sizes(spark, sf_dir):
+    return spark.createDataFrame([(c, IndexParams(c=c).table_cells) for c in range(2, 16)], "c int, cells long")
+
+
+def names_both_ways(spark, sf_dir):
+    """Every document's id by its name and name by its id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    refs = fasta.checked_names(fasta.from_dataframe(docs.withColumn("head", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), "doc_id", "text", "head"))
+    asked = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return match.with_names(match.with_ids(asked, refs).withColumnRenamed("name", "asked"), refs).select("asked", "ref_id", "name")
+
+
+def hash_finaliser(spark, sf_dir):
+    return windows.occurrences(_sequences(spark, sf_dir), HASHED).select("key").distinct().select("key", dna.finalised("key").alias("hash"))
+
+
+def hash_ranges(spark, sf_dir):
+    return ix.ranges(_keys(spark, sf_dir, HASHED), HASHED).select("key", "n", "v_start", "v_end")
+
+
+def hash_lookup_join(spark, sf_dir):
+    return _queries(spark, sf_dir, HASHED).join(hash_ranges(spark, sf_dir), "key").select("query_id", "qpos", "key", "n", "v_start", "v_end")
+
+
+def hash_matches(spark, sf_dir):
+    return match.all_matches(_queries(spark, sf_dir, HASHED), _index(spark, sf_dir, HASHED))
+
+
+def bucketed_matches(spark, sf_dir):
+    """Lookups against a saved index whose table and the queries' are bucketed alike, so neither is moved again."""
+    name, n = f"basewell_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.save_bucketed(_index(spark, sf_dir, SAMPLED), f"{name}_index", n)
+    store.save_bucketed(_queries(spark, sf_dir, SAMPLED).select("query_id", "qpos", "key", "flank", F.lit(0).alias("ref_id"), F.lit(0).alias("pos")), f"{name}_asked", n)
+    return match.all_matches(spark.table(f"{name}_asked").drop("ref_id", "pos"), spark.table(f"{name}_index"))
+
+
+def nested_nearest(spark, sf_dir):
+    """Nearest flanks out of a key's range as one row, without a window over the matches."""
+    met = _queries(spark, sf_dir, SAMPLED).withColumnRenamed("flank", "qflank").join(ix.nested(_index(spark, sf_dir, SAMPLED)), "key")
+    return met.select("query_id", "qpos", F.explode(match.nearest_in("values", F.col("qflank"))).alias("v")).select("query_id", "qpos", "v.ref_id", F.col("v.pos").alias("rpos"), "v.dist")
+
+
+def stream_matches(spark, sf_dir):
+    """The benchmark's windows as a stream of queries against a saved index, in one run over all that is there."""
+    asked, made = _queries(spark, sf_dir, SAMPLED), store.shared_path(spark)
+    asked.repartition(4).write.parquet(f"{made}/asked")
+    ix.nested(_index(spark, sf_dir, SAMPLED)).write.parquet(f"{made}/index")
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 2).parquet(f"{made}/asked")
+    found = lookups.best_matches(stream, spark.read.parquet(f"{made}/index"))
+    found.writeStream.format("parquet").option("path", f"{made}/found").option("checkpointLocation", f"{made}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{made}/found")
+
+
 _ALL = [
+    fasta_text, fasta_source, fasta_index, fasta_validated, literal_index, table_sizes, names_both_ways, hash_finaliser, hash_ranges, hash_lookup_join, hash_matches, bucketed_matches, nested_nearest, stream_matches,
     kmer_encode, kmer_revcomp, kmer_spectrum, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, sampling_rate, key_counts_capped, skipped_keys, structural_cap, index_stats, vrange_layout, index_long, index_slots,
     index_nested, reference_dictionary, pack_positions, unpack_positions, flank_hamming, point_lookup, all_matches, lookup_join, best_flex_match, lookup_misses, rarest_first, match_names, range_format, hash_layout_truncation, index_roundtrip,
 ]
@@ -226,15 +318,17 @@ def _text(code: str, n: int) -> str:
     return " || ".join(f"substr('ACGT', cast(({code} // {4 ** (n - 1 - i)}) % 4 as integer) + 1, 1)" for i in range(n))
 
 
-def _windows(name: str, table: str, id_col: str, k: int) -> str:
-    seq = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+DNA = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+def _windows(name: str, table: str, id_col: str, k: int, seq: str = DNA) -> str:
     return f"{name} as (select ref_id, cast(i as bigint) as pos, substr(seq, i + 1, {k}) as kmer from (select *, unnest(range(0, length(seq) - {k} + 1)) as i from (select {id_col} as ref_id, {seq} as seq from {table}) where length(seq) >= {k}))"
 
 
-def _occ(name: str, table: str, id_col: str, p: IndexParams) -> str:
+def _occ(name: str, table: str, id_col: str, p: IndexParams, raw: bool = False) -> str:
     half = p.f // 2
     flank = f"substr(kmer, 1, {half}) || substr(kmer, {half + p.c + 1}, {half})"
-    parts = [_windows(f"{name}_w", table, id_col, p.k)]
+    parts = [_windows(f"{name}_w", table, id_col, p.k, "text" if raw else DNA)]
     if p.orient == "kmer":
         parts.append(f"{name}_o as (select ref_id, pos, least(kmer, {_rc('kmer')}) as kmer from {name}_w)")
         parts.append(f"{name}_c as (select ref_id, pos, substr(kmer, {half + 1}, {p.c}) as core, {flank} as fl from {name}_o)")
@@ -283,7 +377,28 @@ def _sql(every: IndexParams, sampled: IndexParams, asked_of: tuple[str, str] = (
     number = int(key.translate(str.maketrans("ACGT", "0123")), 4)
     layout = f"r as (select *, sum({_SIZE}) over (order by key) as z, {_SIZE} as size from keys)"
     flank16 = _text("flank", 16)
-    return {
+    held = _ix(HASHED)
+    spans = "r as (select key, n, cast(sum(n) over (order by key) - n as bigint) as v_start, cast(sum(n) over (order by key) as bigint) as v_end from keys)"
+    literals = "(values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LITERALS, 1)) + ") as v(id, text)"
+    step = lambda x, factor: f"(({x}) * {factor}::uhugeint) % 18446744073709551616::uhugeint"
+    shifted = lambda x: f"xor({x}, {x} // 8589934592::uhugeint)"
+    more = {"fasta_text": f"select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name, coalesce({DNA}, '') as seq from documents"}
+    more |= {
+        "fasta_source": more["fasta_text"],
+        "fasta_index": f"with {some} select key, n from keys",
+        "fasta_validated": "with r as (select doc_id as ref_id, 'doc' || doc_id as name, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTNX') as seq from documents) select * from r where seq not like '%X%'",
+        "literal_index": f"with {_occ('d', literals, 'id', LITERAL, True)}, keys as (select key, count(*) as n from d group by key) select key, n, ref_id, pos, case when n > 2 then flank end as flank from d join keys using (key)",
+        "table_sizes": "select cast(c as integer) as c, cast(4 ** c + 4 * (4 ** c // 16) + 4 as bigint) as cells from range(2, 16) as t(c)",
+        "names_both_ways": "select 'doc' || doc_id as asked, doc_id as ref_id, 'doc' || doc_id as name from documents",
+        "hash_finaliser": f"with {_occ('d', 'documents', 'doc_id', HASHED)}, k as (select distinct key, cast(key as uhugeint) as x from d), a as (select key, {step(shifted('x'), 0xFF51AFD7ED558CCD)} as x from k), b as (select key, {step(shifted('x'), 0xC4CEB9FE1A85EC53)} as x from a), c as (select key, {shifted('x')} as x from b) select key, cast(case when x >= 9223372036854775808::uhugeint then cast(x as hugeint) - 18446744073709551616::hugeint else cast(x as hugeint) end as bigint) as hash from c",
+        "hash_ranges": f"with {held}, {spans} select key, n, v_start, v_end from r",
+        "hash_lookup_join": f"with {held}, {_q(HASHED)}, {spans} select query_id, qpos, key, n, v_start, v_end from q join r using (key)",
+        "hash_matches": f"with {held}, {_q(HASHED)}, kept as (select *, row_number() over (partition by key order by ref_id, pos) - 1 as slot from ix) select query_id, qpos, key, ref_id, pos as rpos from q join kept using (key) where slot < case when n > 2 then n - (n + 2) // 3 else n end",
+        "bucketed_matches": f"with {some}, {_q(sampled)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "stream_matches": f"with {some}, {_q(sampled)}, {_BEST} select query_id, qpos, key, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
+        "nested_nearest": f"with {some}, {_q(sampled)}, {_BEST} select query_id, qpos, ref_id, rpos, dist from best",
+    }
+    return more | {
         "kmer_encode": f"with {asked} select ref_id, pos, kmer, {_code('kmer', 27)} as key, kmer as decoded from w",
         "kmer_revcomp": f"with {asked} select ref_id, pos, kmer, {_rc('kmer')} as rc from w",
         "kmer_spectrum": f"with {_windows('w', 'documents', 'doc_id', 11)}, k as (select ref_id, {_code('least(kmer, ' + _rc('kmer') + ')', 11)} as key from w) select key, count(*) as n, count(distinct ref_id) as n_refs from k group by key",
