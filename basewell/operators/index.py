@@ -25,21 +25,38 @@ def skipped_keys(all_counts: DataFrame, p: IndexParams) -> DataFrame:
 def long_index(occurrences: DataFrame, p: IndexParams) -> DataFrame:
     """key, n, ref_id, pos, flank (null where the key has no flanks). Occurrences of dropped keys are absent.
 
-    The count is aggregated before the shuffle and joined back, so a frequent key isn't gathered in one task."""
-    keys = kept_keys(counts(occurrences), p)
+    The count is aggregated before the shuffle and joined back. Keys over the cap, the most frequent ones, go before their occurrences are shuffled; without
+    a cap Spark splits the join's skewed partitions."""
+    every = counts(occurrences)
+    keys = kept_keys(every, p)
+    if p.cap is not None:
+        occurrences = occurrences.join(skipped_keys(every, p).select("key"), "key", "left_anti")
     both = occurrences.join(keys, "key").select("key", "n", "ref_id", "pos", F.when(F.col("n") > p.header_threshold, F.col("flank")).alias("flank"))
     return truncated(both, p) if p.layout == "hash" else both
 
 
-def slots(index: DataFrame) -> DataFrame:
-    """index with slot: an occurrence's place in its range, from 0 in (ref_id, pos) order."""
-    return index.withColumn("slot", F.row_number().over(Window.partitionBy("key").orderBy("ref_id", "pos")).cast("long") - 1)
+#: References of a key that are numbered together where nothing caps a key's occurrences.
+REFS_TOGETHER = 4096
+
+
+def slots(index: DataFrame, p: IndexParams | None = None) -> DataFrame:
+    """index with slot: an occurrence's place in its range, from 0 in (ref_id, pos) order.
+
+    Without a cap in p, a key may hold any share of all rows: its references are numbered in portions, and the portions' sizes are summed."""
+    if p is not None and p.cap is not None:
+        return index.withColumn("slot", F.row_number().over(Window.partitionBy("key").orderBy("ref_id", "pos")).cast("long") - 1)
+    portion = F.floor(F.col("ref_id") / REFS_TOGETHER)
+    sizes = index.groupBy("key", portion.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("key").alias("_key"), F.col("_part").alias("_of"), (F.sum("_n").over(Window.partitionBy("key").orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("key", "_part").orderBy("ref_id", "pos"))
+    placed = index.withColumn("_part", portion).withColumn("_in", inside).join(before, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return placed.select(*index.columns, (F.col("_before") + F.col("_in") - 1).cast("long").alias("slot"))
 
 
 def truncated(index: DataFrame, p: IndexParams) -> DataFrame:
     """What a hash layout keeps: its ranges have no room for flanks, so they cover the last ceil(n / 3) values of larger ranges."""
     room = F.when(F.col("n") > p.header_threshold, F.col("n") - F.ceil(F.col("n") / 3)).otherwise(F.col("n"))
-    return slots(index).filter(F.col("slot") < room).drop("slot")
+    return slots(index, p).filter(F.col("slot") < room).drop("slot")
 
 
 def nested(index: DataFrame) -> DataFrame:

@@ -20,10 +20,15 @@ def lookup(index: DataFrame, key: int) -> DataFrame:
     return index.filter(F.col("key") == key)
 
 
+def canonical_number(word: str) -> int:
+    """The key of a core given as text: the number of the lesser of it and its reverse complement."""
+    other = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return int(min(word, other).translate(str.maketrans("ACGT", "0123")), 4)
+
+
 def lookup_word(index: DataFrame, word: str) -> DataFrame:
     """The rows of a core given as text, which is made canonical here."""
-    other = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    return lookup(index, int(min(word, other).translate(str.maketrans("ACGT", "0123")), 4))
+    return lookup(index, canonical_number(word))
 
 
 def _met(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -39,22 +39,36 @@ def _asked(spark, sf_dir) -> DataFrame:
     return _sequences(spark, sf_dir, "benchmark", "item_id")
 
 
-def _occurrences(spark, sf_dir, p) -> DataFrame:
-    return windows.occurrences(_sequences(spark, sf_dir), p)
+def _occurrences(spark, sf_dir, p, asked=None) -> DataFrame:
+    """Of all indexed sequences; only of the asked keys, if there are some: a key's count and cap rest on its own occurrences, so the others needn't move."""
+    found = windows.occurrences(_sequences(spark, sf_dir), p)
+    return found if asked is None else found.join(asked.select("key").distinct(), "key", "left_semi")
 
 
-def _index(spark, sf_dir, p) -> DataFrame:
-    return ix.long_index(store.written(_occurrences(spark, sf_dir, p)), p)
+def _index(spark, sf_dir, p, asked=None) -> DataFrame:
+    return ix.long_index(store.written(_occurrences(spark, sf_dir, p, asked)), p)
 
 
-def _keys(spark, sf_dir, p) -> DataFrame:
-    return ix.kept_keys(ix.counts(_occurrences(spark, sf_dir, p)), p)
+def _keys(spark, sf_dir, p, asked=None) -> DataFrame:
+    return ix.kept_keys(ix.counts(_occurrences(spark, sf_dir, p, asked)), p)
 
 
 def _queries(spark, sf_dir, p) -> DataFrame:
     return match.queries_of(_asked(spark, sf_dir), p)
 
 
+def _both(spark, sf_dir, p) -> tuple[DataFrame, DataFrame]:
+    """The queries, and the index of their keys."""
+    asked = store.written(_queries(spark, sf_dir, p))
+    return asked, _index(spark, sf_dir, p, asked)
+
+
+def _both_keys(spark, sf_dir, p) -> tuple[DataFrame, DataFrame]:
+    """The queries, and the kept ones of their keys."""
+    asked = store.written(_queries(spark, sf_dir, p))
+    return asked, _keys(spark, sf_dir, p, asked)
+
+
 def kmer_encode(spark, sf_dir, of=_asked):
     found = windows.kmers(of(spark, sf_dir), 27).select("ref_id", "pos", "kmer", dna.encode("kmer").alias("key"))
     return found.withColumn("decoded", dna.decode("key", 27))
@@ -117,7 +131,7 @@ def index_long(spark, sf_dir, p=SAMPLED):
 
 
 def index_slots(spark, sf_dir, p=SAMPLED):
-    return ix.slots(_index(spark, sf_dir, p)).select("key", "slot", "ref_id", "pos")
+    return ix.slots(_index(spark, sf_dir, p), p).select("key", "slot", "ref_id", "pos")
 
 
 def index_nested(spark, sf_dir, p=SAMPLED):
@@ -145,16 +159,17 @@ def unpack_positions(spark, sf_dir, of=_asked):
 
 
 def flank_hamming(spark, sf_dir, p=SAMPLED):
-    met = match._met(_queries(spark, sf_dir, p), _index(spark, sf_dir, p)).filter("flank is not null")
+    met = match._met(*_both(spark, sf_dir, p)).filter("flank is not null")
     return met.select("query_id", "qpos", "ref_id", "rpos", dna.hamming("qflank", "flank").alias("dist"))
 
 
 def point_lookup(spark, sf_dir, p=FULL):
-    return match.lookup_word(_index(spark, sf_dir, p), LITERAL_CORE)
+    key = spark.createDataFrame([(match.canonical_number(LITERAL_CORE),)], "key long")
+    return match.lookup_word(_index(spark, sf_dir, p, key), LITERAL_CORE)
 
 
 def all_matches(spark, sf_dir, p=FULL):
-    return match.all_matches(_queries(spark, sf_dir, p), _index(spark, sf_dir, p))
+    return match.all_matches(*_both(spark, sf_dir, p))
 
 
 def lookup_join(spark, sf_dir, p=SAMPLED):
@@ -163,20 +178,20 @@ def lookup_join(spark, sf_dir, p=SAMPLED):
 
 
 def best_flex_match(spark, sf_dir, p=FULL):
-    return match.best_flex_match(_queries(spark, sf_dir, p), _index(spark, sf_dir, p))
+    return match.best_flex_match(*_both(spark, sf_dir, p))
 
 
 def lookup_misses(spark, sf_dir, p=SAMPLED):
-    return match.misses(_queries(spark, sf_dir, p), _keys(spark, sf_dir, p)).select("query_id", "qpos", "key")
+    return match.misses(*_both_keys(spark, sf_dir, p)).select("query_id", "qpos", "key")
 
 
 def rarest_first(spark, sf_dir, p=SAMPLED):
-    return match.rarest_first(_queries(spark, sf_dir, p), _keys(spark, sf_dir, p))
+    return match.rarest_first(*_both_keys(spark, sf_dir, p))
 
 
 def match_names(spark, sf_dir, p=SAMPLED):
     refs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
-    return match.with_names(match.best_flex_match(_queries(spark, sf_dir, p), _index(spark, sf_dir, p)), refs).select("query_id", "qpos", "name", "rpos", "dist")
+    return match.with_names(match.best_flex_match(*_both(spark, sf_dir, p)), refs).select("query_id", "qpos", "name", "rpos", "dist")
 
 
 def range_format(spark, sf_dir, p=SAMPLED):
@@ -252,7 +267,7 @@ def hash_lookup_join(spark, sf_dir):
 
 
 def hash_matches(spark, sf_dir):
-    return match.all_matches(_queries(spark, sf_dir, HASHED), _index(spark, sf_dir, HASHED))
+    return match.all_matches(*_both(spark, sf_dir, HASHED))
 
 
 def bucketed_matches(spark, sf_dir):
@@ -265,15 +280,17 @@ def bucketed_matches(spark, sf_dir):
 
 def nested_nearest(spark, sf_dir):
     """Nearest flanks out of a key's range as one row, without a window over the matches."""
-    met = _queries(spark, sf_dir, SAMPLED).withColumnRenamed("flank", "qflank").join(ix.nested(_index(spark, sf_dir, SAMPLED)), "key")
+    asked, made = _both(spark, sf_dir, SAMPLED)
+    met = asked.withColumnRenamed("flank", "qflank").join(ix.nested(made), "key")
     return met.select("query_id", "qpos", F.explode(match.nearest_in("values", F.col("qflank"))).alias("v")).select("query_id", "qpos", "v.ref_id", F.col("v.pos").alias("rpos"), "v.dist")
 
 
 def stream_matches(spark, sf_dir):
     """The benchmark's windows as a stream of queries against a saved index, in one run over all that is there."""
-    asked, made = _queries(spark, sf_dir, SAMPLED), store.shared_path(spark)
+    made = store.shared_path(spark)
+    asked, index = _both(spark, sf_dir, SAMPLED)
     asked.repartition(4).write.parquet(f"{made}/asked")
-    ix.nested(_index(spark, sf_dir, SAMPLED)).write.parquet(f"{made}/index")
+    ix.nested(index).write.parquet(f"{made}/index")
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 2).parquet(f"{made}/asked")
     found = lookups.best_matches(stream, spark.read.parquet(f"{made}/index"))
     found.writeStream.format("parquet").option("path", f"{made}/found").option("checkpointLocation", f"{made}/state").trigger(availableNow=True).start().awaitTermination()
