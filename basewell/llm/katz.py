@@ -36,8 +36,8 @@ from . import common
 K = 5
 PSEUDO = 1
 #: Text bytes per bucket, how many parts a bucket is counted in, one after the other, and tokens per packed batch.
-BUCKET_BYTES = 48 << 20
-PARTS = 8
+BUCKET_BYTES = 32 << 20
+PARTS = 5
 BATCH_TOKENS = 1_500_000
 END, START = np.uint64(1), np.uint64(2)  # no word is hashed to these but by a chance of 2**-63
 _U = np.uint64
@@ -193,9 +193,9 @@ def _count(frequent: dict[int, int], k: int, parts: int):
     hot = np.array(sorted(frequent), _U)
     hot_counts = np.array([frequent[int(x)] for x in hot], np.int64)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.lean()
-        table = table.sort_by("batch")
+        table = pa.Table.from_batches(list(batches)).sort_by("batch")
         blobs = [c for c, t in zip(table.column_names, table.schema.types, strict=True) if t == pa.binary()]
         # the packed arrays stay where they are: only views are taken
         rows = [r | {c: x.as_buffer() for c, x in zip(blobs, own, strict=True)} for r, own in zip(table.drop_columns(blobs).to_pylist(), zip(*(table.column(c) for c in blobs), strict=True), strict=True)]
@@ -205,6 +205,9 @@ def _count(frequent: dict[int, int], k: int, parts: int):
         sums: list[tuple] = []
         few = {"words": np.zeros(k + 3, np.int64), "pairs": np.zeros(k + 3, np.int64)}
         for part in range(parts):
+            for x in out:  # each part's rows go before the next one is read
+                yield from x.to_batches()
+            out = []
             known_c, known_w, c, w, doc, train = _part(rows, part, parts)
             if not len(c):
                 continue
@@ -249,7 +252,8 @@ def _count(frequent: dict[int, int], k: int, parts: int):
             blobs.append(_pack(np.concatenate([(docs[a:z] - at_doc[i]).astype(np.int32), ints[:, a:z].astype(np.int32).reshape(-1)])))
             bases.append(reals[0, a:z].tobytes() + reals[1:, a:z].astype(np.float32).tobytes())
         out += _rows("docs", len(rows), batch=numbers, doc=np.diff(cuts), blob=blobs, base=bases, ids=[x["ids"] and x["ids"].to_pybytes() for x in rows])
-        return pa.concat_tables(out)
+        for x in out:
+            yield from x.to_batches()
 
     return run
 
