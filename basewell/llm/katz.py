@@ -36,7 +36,7 @@ from . import common
 K = 5
 PSEUDO = 1
 #: Text bytes per bucket, how many parts a bucket is counted in, one after the other, and tokens per packed batch.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 24 << 20
 PARTS = 5
 BATCH_TOKENS = 1_500_000
 END, START = np.uint64(1), np.uint64(2)  # no word is hashed to these but by a chance of 2**-63
@@ -208,6 +208,7 @@ def _count(frequent: dict[int, int], k: int, parts: int):
             for x in out:  # each part's rows go before the next one is read
                 yield from x.to_batches()
             out = []
+            common.lean()
             known_c, known_w, c, w, doc, train = _part(rows, part, parts)
             if not len(c):
                 continue
@@ -237,6 +238,7 @@ def _count(frequent: dict[int, int], k: int, parts: int):
             on = present[pair % len(present)]
             of = np.searchsorted(at_doc, on, "right") - 1
             out += _rows("unseen", len(of), context=known_c[pair // len(present)].astype(np.int64), batch=numbers[of], doc=(on - at_doc[of]).astype(np.int32), n=times)
+            del known_c, known_w, c, w, doc, train, keys, at, n_pair, r, s, seen, d, kept, kc, kw, pair, times, on, of
         for kind, x in few.items():
             out += _rows(kind, k + 3, n=x, word=np.arange(1, k + 4))
         docs, ints, reals = np.zeros(0, np.int64), np.zeros((_ints(k), 0), np.int32), np.zeros((3, 0))
