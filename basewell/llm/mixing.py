@@ -136,7 +136,9 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: i
     # a row per source and portion of the shards, as many as its slots ask for
     portions = F.least(F.lit(shards), F.ceil(F.col("n") / (block_words * SLOTS_PER_ROW))).cast("long")
     width = F.ceil(F.lit(shards) / portions).cast("long")
-    asked = asked.withColumn("width", width).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"), F.col("width")))).repartition("k", "start")
+    asked = asked.withColumn("width", width).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"), F.col("width"))))
+    # by a stated number: the rows are few and small, but each makes many slots, so they mustn't be gathered in one task
+    asked = asked.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "start")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
