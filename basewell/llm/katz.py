@@ -11,7 +11,8 @@ How it runs: words are 64-bit hashes. Each map batch sends its token pairs, pack
 words that would overfill a bucket are split by the context too). A bucket counts its pairs and
 words, writes the bigram counts, and leaves for each document what the score is linear in: sums of logarithms and how many
 tokens fall under each discount, so the discounts can follow. Only unseen pairs travel on, to
-meet alpha by context. The tables (counts, by kind; backoff weights) are written in the shared folder.
+meet alpha by context. The tables (counts, by kind; backoff weights) are written in the shared folder. `Model.save` keeps them, in ranges of
+contexts and words, and `Model.score` evaluates a model on other documents by joins with them.
 
 Defined results: a null or empty text is its end token alone. A null doc_id is learned from. Without
 training rows every token is unknown, with probability 1. Repeated rows are scored each. Extra columns are ignored. An empty
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -276,19 +277,87 @@ def discounts(counts_of: list[int]) -> list[float]:
     return [1 - 0.5 / r for r in range(1, k + 1)]
 
 
+def _discounted(n: str, d: list[float]) -> Column:
+    out = F.col(n).cast("double")
+    for r, x in enumerate(d, 1):
+        out = F.when(F.col(n) == r, F.lit(r * x)).otherwise(out)
+    return out
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, context, word, n): how often each pair of tokens stands in the text of hashes a and b; a text's pairs come from one slice, as slices hold whole texts."""
+    common.lean()
+    for batch in common.slices(batches, most=1 << 20):
+        h, n = common.word_hashes(batch.column("text").to_pylist(), common.LOWER_SPACED)
+        h[h <= START] += _U(3)
+        word = np.insert(h, np.cumsum(n), END)
+        context = np.append(START, word[:-1])
+        context[np.cumsum(n + 1)[:-1]] = START
+        text = np.repeat(np.arange(len(n)), n + 1)
+        order = np.lexsort((word, context, text))
+        word, context, text = word[order], context[order], text[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(text)))
+        hashes = batch.select(["a", "b"]).take(pa.array(text[first]))
+        out = pa.table([*hashes.columns, pa.array(context[first].astype(np.int64)), pa.array(word[first].astype(np.int64)), pa.array(times)], names=["a", "b", "context", "word", "n"])
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+
+_PROBE = ["a", "word", "été", "x" * 40]
+_ABOUT = "word_discounts array<double>, pair_discounts array<double>, tokens long, vocabulary long, unknown double, probe array<long>"
+
+
+def _probe() -> list[int]:
+    """Hashes of some fixed words: a saved model fits only where words are hashed as they were when it was learned."""
+    return common.word_hashes(_PROBE, common.LOWER_SPACED)[0].astype(np.int64).tolist()
+
+
 @dataclass
 class Model:
-    """counts: bigrams (context, word, n, n_word); backoff: context, n_context, log10 alpha. Words are hashes. The rest describes the single words."""
+    """counts: bigrams (context, word, n, n_word); backoff: context, n_context, log10 alpha. Words are hashes. scores: the documents it was fitted on (None where loaded). The rest describes the single words."""
 
     counts: DataFrame
     backoff: DataFrame
-    scores: DataFrame
+    scores: DataFrame | None
     word_discounts: list[float]
     pair_discounts: list[float]
     tokens: int
     vocabulary: int
     unknown: float
 
+    def save(self, path: str) -> None:
+        """Writes the model as Parquet under path, which must not hold one yet: counts in ranges of (context, word), so a frequent context is spread, backoff in ranges of contexts."""
+        spark = self.counts.sparkSession
+        self.counts.repartitionByRange("context", "word").sortWithinPartitions("context", "word").write.parquet(f"{path}/counts")
+        self.backoff.repartitionByRange("context").sortWithinPartitions("context").write.parquet(f"{path}/backoff")
+        about = (self.word_discounts, self.pair_discounts, self.tokens, self.vocabulary, self.unknown, _probe())
+        spark.createDataFrame([about], _ABOUT).write.parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        about = spark.read.parquet(f"{path}/about").collect()[0].asDict()  # one row
+        if about.pop("probe") != _probe():
+            raise ValueError("the model was learned with other hashes of words")
+        return cls(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/backoff"), None, **about)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Per row of docs: doc_id, n_tokens and score, the log10 probability of its text; every text counts as one that wasn't learned from.
+
+        Equal texts are scored once. Pairs of tokens meet the counts by (context, word), the others by word, and backoff by context."""
+        keyed = docs.select("doc_id", common.text_or_empty().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("b"), "text").alias("b"))
+        # n is the same in every row of a text, so the most is one row's
+        pairs = keyed.select("a", "b", "text").mapInArrow(_text_pairs, "a long, b long, context long, word long, n long").groupBy("a", "b", "context", "word").agg(F.max("n").alias("n"))
+        words = self.counts.select("word", "n_word").distinct()
+        whole = self.tokens + PSEUDO if self.tokens else 1.0
+        alone = F.coalesce(F.log10(_discounted("n_word", self.word_discounts) / whole), F.lit(math.log10(self.unknown)))
+        together = F.log10(_discounted("n_pair", self.pair_discounts) / (F.col("n_context") + PSEUDO))
+        term = F.coalesce(together, F.coalesce("log_alpha", F.lit(0.0)) + alone)
+        known = pairs.join(self.counts.select("context", "word", F.col("n").alias("n_pair")), ["context", "word"], "left").join(words, "word", "left").join(self.backoff, "context", "left")
+        sums = known.groupBy("a", "b").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * term).alias("score"))
+        return keyed.select("doc_id", "a", "b").join(sums, ["a", "b"]).select("doc_id", "n_tokens", "score")
+
 
 def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_bytes: int = BUCKET_BYTES, parts: int = PARTS) -> Model:
     """Learns from the rows of docs where `held` is false (default: held_out(doc_id)) and scores all of them."""
@@ -310,14 +379,8 @@ def fit_score(docs: DataFrame, held: Column | None = None, k: int = K, bucket_by
     whole = total + PSEUDO if total else 1.0
     unknown = left / whole
 
-    def discounted(n: str, d: list[float]) -> Column:
-        out = F.col(n).cast("double")
-        for r, x in enumerate(d, 1):
-            out = F.when(F.col(n) == r, F.lit(r * x)).otherwise(out)
-        return out
-
     counts = done.filter("kind = 'counts'").select("context", "word", "n", "n_word")
-    summed = counts.groupBy("context").agg(F.sum("n").alias("n_context"), F.sum(discounted("n", d_pair)).alias("_d"), F.sum(discounted("n_word", d_word)).alias("_p"))
+    summed = counts.groupBy("context").agg(F.sum("n").alias("n_context"), F.sum(_discounted("n", d_pair)).alias("_d"), F.sum(_discounted("n_word", d_word)).alias("_p"))
     alpha = (1 - F.col("_d") / (F.col("n_context") + PSEUDO)) / (1 - F.col("_p") / whole)
     backoff = common.cut(summed.select("context", "n_context", F.log10(alpha).alias("log_alpha")))
     # unseen pairs: in place of -log10(n_context + PSEUDO), which every known context has left, log10 alpha

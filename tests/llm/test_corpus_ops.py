@@ -336,12 +336,28 @@ def test_katz(docs, rows, no_docs, clashing, bucket, parts):
     assert katz.fit_score(no_docs).scores.count() == 0
 
 
+def test_katz_saved(spark, docs, rows, no_docs, clashing, tmp_path):
+    model = katz.fit_score(docs, bucket_bytes=3000, parts=3)
+    model.save(str(tmp_path / "model"))
+    loaded = katz.Model.load(spark, str(tmp_path / "model"))
+    assert (loaded.tokens, loaded.vocabulary, loaded.unknown, loaded.scores) == (model.tokens, model.vocabulary, model.unknown, None)
+    got = sorted(map(tuple, loaded.score(clashing).collect()), key=lambda r: (repr(r[0]), r[1], r[2]))
+    expected = sorted(((ints[0], ints[2], score) for ints, _, score in katz_plain(rows)), key=lambda r: (repr(r[0]), r[1], r[2]))
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert np.allclose([g[2] for g in got], [e[2] for e in expected], rtol=1e-9, atol=1e-9)
+    assert loaded.score(no_docs).count() == 0
+    other = spark.createDataFrame([(1, "never seen " * 3), (2, None)], "doc_id long, text string")
+    again = {r["doc_id"]: r for r in loaded.score(other).collect()}
+    assert again[1]["n_tokens"] == 7 and again[1]["score"] < 0 and again[2]["n_tokens"] == 1
+
+
 def test_katz_untrained(spark):
     from pyspark.sql import functions as F
 
     own = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in katz.fit_score(own, held=F.lit(True)).scores.collect()}
     assert rows[1]["train_tokens"] == 0 and rows[1]["n_known"] == 0 and rows[1]["base_score"] == rows[1]["score"] == 0.0 and rows[2]["n_tokens"] == 1
+    assert [r["score"] for r in katz.fit_score(own, held=F.lit(True)).score(own).collect()] == [0.0, 0.0]
 
 
 def test_discounts():
