@@ -317,7 +317,9 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     placed = common.cut(candidates.withColumnRenamed("v", "node").join(keyed.select("node", "row", "size", "grams"), "node"))
     slim = slim.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     one = placed.select("node", "c", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h"))
-    full = common.cut(_sets(one.join(slim, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("node", "c", "size", "text"), n))
+    # merged at every size: where Spark broadcasts few candidates, texts don't move, and disk would grow faster than the input once they do
+    texts = one.hint("merge").join(slim, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
+    full = common.cut(_sets(texts.select("node", "c", "size", "text"), n))
     large = common.cut(placed.groupBy("c").agg(F.count("*").alias("m"), F.sum("grams").alias("g")).filter((F.col("m") > block) | (F.col("g") > block_grams)).select("c", "m"))
     parts = [common.cut(full.join(large.select("c"), "c", "left_anti").groupBy("c").applyInArrow(_inside(threshold), _FOUND))]
     if not large.isEmpty():
