@@ -8,44 +8,87 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions.params import IndexParams
 
-#: Windows that one row carries before they are exploded: substring() walks from a string's start.
-CHUNK, COARSE = 128, 16384
+#: Windows that a row carries before they are exploded, and the most bases of a window and of a word of a block's.
+BLOCK, MOST_K, WORD = 16, 32, 16
 
 
-def _cut(df: DataFrame, k: int, size: int) -> DataFrame:
-    """Rows of at most `size` windows each: base (position of the first) and seq; neighbours overlap by k - 1 bases."""
-    n = F.length("seq") - k + 1
-    at = F.sequence(F.lit(0), n - 1, F.lit(size))
-    return df.filter(n > 0).withColumn("_at", F.explode(at)).select("ref_id", (F.col("base") + F.col("_at")).alias("base"), F.expr(f"substring(seq, _at + 1, {size + k - 1})").alias("seq"))
+def _blocks(sequences: DataFrame, k: int) -> DataFrame:
+    """ref_id, base, seq: a row per BLOCK windows; neighbours overlap by k - 1 bases. Cut from bytes, where any place is reached at once; characters of several bytes become N."""
+    raw = _once(sequences.select("ref_id", "seq"), raw=F.col("seq")).drop("seq")
+    plain = F.when(F.octet_length("raw") == F.length("raw"), F.col("raw")).otherwise(F.regexp_replace("raw", "[^\\x00-\\x7F]", "N"))
+    rows = raw.select("ref_id", plain.cast("binary").alias("bytes"))
+    n = F.length("bytes")
+    cut = rows.select("ref_id", "bytes", F.explode(F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(BLOCK)))).alias("at"))
+    return cut.select("ref_id", F.col("at").cast("long").alias("base"), F.expr(f"substring(bytes, at + 1, {BLOCK + k - 1})").cast("string").alias("seq"))
+
+
+def _places(last: str):
+    """The windows of a block, by their place in it. The condition holds for all; without it the optimizer makes the sequence twice."""
+    return F.explode(F.when(F.col(last) >= 0, F.sequence(F.lit(0), F.col(last))))
+
+
+def kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """ref_id, pos, kmer: every window of k bases over A C G T, from position 0 on the forward strand."""
+    found = _blocks(sequences, k).select("ref_id", "base", "seq", (F.length("seq") - k).alias("last")).select("ref_id", "base", "seq", _places("last").alias("i"))
+    words = found.select("ref_id", (F.col("base") + F.col("i")).alias("pos"), F.substring(F.col("seq"), F.col("i") + 1, F.lit(k)).alias("kmer"))
+    return words.filter(dna.is_acgt("kmer"))
 
 
 def _strands(sequences: DataFrame, k: int) -> DataFrame:
-    """ref_id, pos, i, d, r, m: a row per window of k bases over A C G T. The window is the k digits of d from i on, its reverse complement
-    those of r from m on. Letters become digits and strands are turned once per chunk, not once per window."""
-    rows = sequences.select("ref_id", F.lit(0).cast("long").alias("base"), "seq")
-    fine = _cut(_cut(rows, k, COARSE), k, CHUNK)
-    digits = fine.select("ref_id", "base", F.translate("seq", "ACGT", "0123").alias("d"), F.reverse(F.translate("seq", "ACGT", "3210")).alias("r"), dna.is_acgt("seq").alias("pure"))
-    every = digits.select("*", F.explode(F.sequence(F.lit(0), F.length("d") - k)).alias("i"))
-    odd = F.regexp_like(F.substring(F.col("d"), F.col("i") + 1, F.lit(k)), F.lit("[^0-3]"))
-    return every.filter(F.col("pure") | ~odd).select("ref_id", (F.col("base") + F.col("i")).alias("pos"), "i", "d", "r", (F.length("d") - k - F.col("i")).alias("m"))
+    """ref_id, pos, and what _ahead and _back take the window's two strands from: a row per window of at most 32 bases over A C G T.
 
+    A block's 48 bases (the last ones padded) are numbered once, in words of 16: x, y, z, and rx, ry, rz of their reverse complements."""
+    if k > MOST_K:
+        raise ValueError(f"k is {k}; at most {MOST_K} bases fit a word")
+    seq = F.col("seq")
+    odd = F.when(dna.is_acgt(seq), 0).otherwise(F.conv(F.rpad(F.translate(F.regexp_replace(seq, "[^ACGT]", "N"), "ACGTN", "00001"), 3 * WORD, "0"), 2, 10).cast("long"))
+    pure = F.rpad(F.when(dna.is_acgt(seq), seq).otherwise(F.regexp_replace(seq, "[^ACGT]", "A")), 3 * WORD, "A")
+    both = _blocks(sequences, k).select("ref_id", "base", (F.length("seq") - k).alias("last"), odd.alias("odd"), F.translate(pure, "ACGT", "0123").alias("d"), F.reverse(F.translate(pure, "ACGT", "3210")).alias("r"))
+    word = lambda strand, n: dna.number(F.substring(strand, n * WORD + 1, WORD))
+    x, y, z, rz, ry, rx = (word(strand, n) for strand in "dr" for n in range(3))
+    first, last = F.shiftleft(x, 2 * WORD).bitwiseOR(y), F.shiftleft(ry, 2 * WORD).bitwiseOR(rx)
+    numbered = _once(both, xy=first, z=z, rz=rz, ryx=last).drop("d", "r")
+    every = numbered.select("ref_id", "base", "odd", "xy", "z", "rz", "ryx", _places("last").alias("i"))
+    clean = _right(F.col("odd"), (3 * WORD - k) - F.col("i")).bitwiseAND(F.lit((1 << k) - 1)) == 0
+    return every.filter((F.col("odd") == 0) | clean).select("ref_id", (F.col("base") + F.col("i")).alias("pos"), "i", "xy", "z", "rz", "ryx")
 
-def _from(strand: str, at: str, skip: int, n: int):
-    return F.substring(F.col(strand), F.col(at) + (skip + 1), F.lit(n))
 
+def _left(number, n):
+    """number shifted by a column's bits."""
+    return F.call_function("shiftleft", number, n)
 
-def _letters(digits):
-    return F.translate(digits, "0123", "ACGT")
 
+def _right(number, n):
+    return F.call_function("shiftrightunsigned", number, n)
 
-def kmers(sequences: DataFrame, k: int) -> DataFrame:
-    """ref_id, pos, kmer: every window of k bases over A C G T, from position 0 on the forward strand."""
-    return _strands(sequences, k).select("ref_id", "pos", _letters(_from("d", "i", 0, k)).alias("kmer"))
+
+def _low(number, n: int):
+    """The last n bases of a number."""
+    return number if n >= MOST_K else number.bitwiseAND(F.lit((1 << 2 * n) - 1))
+
+
+def _ahead(k: int):
+    """The window's number, of unsigned 64 bits."""
+    left = _left(F.col("xy"), 2 * F.col("i")).bitwiseOR(_right(F.col("z"), 2 * WORD - 2 * F.col("i")))
+    return F.shiftrightunsigned(left, 64 - 2 * k) if k < MOST_K else left
+
+
+def _back(k: int):
+    """The number of its reverse complement, which stands i bases before the end of the block's."""
+    high = _left(F.shiftleft("rz", 1), 63 - 2 * F.col("i"))  # in two steps, as a shift by 64 would be none
+    return _low(_right(F.col("ryx"), 2 * F.col("i")).bitwiseOR(high), k)
+
+
+def _less(a, b, k: int):
+    """a < b, as numbers without a sign."""
+    return a < b if k < MOST_K else a.bitwiseXOR(F.lit(-(1 << 63))) < b.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def spectrum(sequences: DataFrame, k: int) -> DataFrame:
-    """ref_id, key: every window's lesser strand, numbered."""
-    return _strands(sequences, k).select("ref_id", dna.number(F.least(_from("d", "i", 0, k), _from("r", "m", 0, k))).alias("key"))
+    """ref_id, key: every window's lesser strand, numbered. k is at most 31."""
+    if k >= MOST_K:
+        raise ValueError(f"k is {k}; a key has at most {MOST_K - 1} bases")
+    return _strands(sequences, k).select("ref_id", F.least(_ahead(k), _back(k)).alias("key"))
 
 
 def _once(df: DataFrame, **columns) -> DataFrame:
@@ -54,23 +97,26 @@ def _once(df: DataFrame, **columns) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias("_v")).select(*df.columns, *[F.col(f"_v.{n}").alias(n) for n in columns])
 
 
+def _middle(number, p: IndexParams):
+    return _low(F.shiftrightunsigned(number, p.f), p.c)
+
+
 def _keyed(sequences: DataFrame, p: IndexParams) -> DataFrame:
-    """_strands with key (the core's number) and ahead (whether the forward strand is taken). Oriented by core: the strand with
+    """ref_id, pos, word (the number of the strand that is taken), key (its core's). Oriented by core: the strand with
     the lesser core, the reverse if equal; or by the whole window."""
-    half = p.f // 2
-    rows = _strands(sequences, p.k)
-    f, b = (_from("d", "i", half, p.c), _from("r", "m", half, p.c)) if p.orient == "core" else (_from("d", "i", 0, p.k), _from("r", "m", 0, p.k))
-    both = _once(rows, f=f, b=b)
-    core = F.least("f", "b") if p.orient == "core" else F.substring(F.least("f", "b"), half + 1, p.c)
-    return _once(both, key=dna.number(core), ahead=F.col("f") < F.col("b")).drop("f", "b")
+    a, b = _ahead(p.k), _back(p.k)
+    taken = _less(_middle(a, p), _middle(b, p), p.c) if p.orient == "core" else _less(a, b, p.k)
+    # exploding an array of one has it computed once
+    words = _strands(sequences, p.k).select("ref_id", "pos", F.explode(F.array(F.when(taken, a).otherwise(b))).alias("word"))
+    return words.select("ref_id", "pos", "word", _middle(F.col("word"), p).alias("key"))
 
 
 def occurrences(sequences: DataFrame, p: IndexParams) -> DataFrame:
     """ref_id, pos, key, flank (numbers): every window whose core is a closed syncmer."""
     half = p.f // 2
     kept = _keyed(sequences, p).filter(dna.closed_syncmer_number("key", p.c, p.s))
-    digits = lambda strand, at: F.concat(_from(strand, at, 0, half), _from(strand, at, half + p.c, half))
-    flank = dna.number(F.when(F.col("ahead"), digits("d", "i")).otherwise(digits("r", "m"))) if p.f else F.lit(0).cast("long")
+    left = F.shiftleft(F.shiftrightunsigned("word", 2 * (half + p.c)), 2 * half)
+    flank = left.bitwiseOR(_low(F.col("word"), half)) if p.f else F.lit(0).cast("long")
     return kept.select("ref_id", "pos", "key", flank.alias("flank"))
 
 
