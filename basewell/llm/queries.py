@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import common, decontaminate, html, katz, licenses, lines, mixing, ngram_join, packing, quality, suffix_dedup
+from . import common, decontaminate, html, katz, lexical_search, licenses, lines, mixing, ngram_join, online_packing, packing, quality, spelling, suffix_dedup
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -50,6 +50,18 @@ def op10_katz_scores(spark, sf_dir):
     return katz.fit_score(common.read(spark, sf_dir, "documents")).scores
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(common.read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
+def op13_online_packing(spark, sf_dir):
+    return online_packing.pieces(online_packing.pack(common.read(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "pipeline": corpus_pipeline.run,
@@ -63,6 +75,9 @@ def queries():
         "op8_line_dedup": op8_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_katz_scores": op10_katz_scores,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_online_packing": op13_online_packing,
     }
 
 
@@ -74,4 +89,6 @@ def oracle_sql():
         "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op8_line_dedup": lines.ORACLE_SQL,
         "op9_quality_rules": quality.oracle_sql(),
+        "op11_spelling_variants": spelling.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
     }
