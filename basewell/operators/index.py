@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.params import IndexParams
+from . import running
 
 
 def counts(occurrences: DataFrame) -> DataFrame:
@@ -35,22 +36,13 @@ def long_index(occurrences: DataFrame, p: IndexParams) -> DataFrame:
     return truncated(both, p) if p.layout == "hash" else both
 
 
-#: References of a key that are numbered together where nothing caps a key's occurrences.
-REFS_TOGETHER = 4096
-
-
 def slots(index: DataFrame, p: IndexParams | None = None) -> DataFrame:
     """index with slot: an occurrence's place in its range, from 0 in (ref_id, pos) order.
 
-    Without a cap in p, a key may hold any share of all rows: its references are numbered in portions, and the portions' sizes are summed."""
+    Without a cap in p, a key may hold any share of all rows, in one reference or in many: its occurrences are numbered over sorted ranges."""
     if p is not None and p.cap is not None:
         return index.withColumn("slot", F.row_number().over(Window.partitionBy("key").orderBy("ref_id", "pos")).cast("long") - 1)
-    portion = F.floor(F.col("ref_id") / REFS_TOGETHER)
-    sizes = index.groupBy("key", portion.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("key").alias("_key"), F.col("_part").alias("_of"), (F.sum("_n").over(Window.partitionBy("key").orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("key", "_part").orderBy("ref_id", "pos"))
-    placed = index.withColumn("_part", portion).withColumn("_in", inside).join(before, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_of")))
-    return placed.select(*index.columns, (F.col("_before") + F.col("_in") - 1).cast("long").alias("slot"))
+    return running.ranked(index, "key", ["ref_id", "pos"], "slot")
 
 
 def truncated(index: DataFrame, p: IndexParams) -> DataFrame:
@@ -64,35 +56,46 @@ def nested(index: DataFrame) -> DataFrame:
     return index.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("ref_id", "pos", "flank"))).alias("values"))
 
 
-def ranges(keys: DataFrame, p: IndexParams) -> DataFrame:
-    """Layout of keys(key, n) in one array of cells, in key order: v_start, v_end, header_cells, has_flank, and the key's block and cell.
+#: Occurrences of a page.
+PAGE = 1024
+
+
+def pages(index: DataFrame, size: int = PAGE) -> DataFrame:
+    """A key's range in pages of at most `size` values, in (ref_id, pos) order: key, page (from 0), n, first_ref, and arrays refs (less first_ref), positions and flanks.
 
-    Prefix sums in three levels: keys in a block, blocks in a super block, super blocks, of which there are at most 4**c / 2**(shift + 12)."""
-    shift = p.block_shift
+    A key of any number of values is a row per page; no task or row holds a range."""
+    paged = slots(index).withColumn("page", F.floor(F.col("slot") / size).cast("long"))
+    rows = paged.groupBy("key", "n", "page").agg(F.array_sort(F.collect_list(F.struct("ref_id", "pos", "flank"))).alias("v"))
+    first = F.col("v")[0]["ref_id"]
+    return rows.select("key", "page", "n", first.alias("first_ref"), F.transform("v", lambda x: (x["ref_id"] - first).cast("int")).alias("refs"), F.transform("v", lambda x: x["pos"]).alias("positions"), F.transform("v", lambda x: x["flank"]).alias("flanks"))
+
+
+def unpaged(paged: DataFrame) -> DataFrame:
+    """The long index that pages were made of: key, n, ref_id, pos, flank. Lookups take it as any index."""
+    values = paged.select("key", "n", "first_ref", F.explode(F.arrays_zip("refs", "positions", "flanks")).alias("v"))
+    return values.select("key", "n", (F.col("first_ref") + F.col("v.refs")).alias("ref_id"), F.col("v.positions").alias("pos"), F.col("v.flanks").alias("flank"))
+
+
+def ranges(keys: DataFrame, p: IndexParams) -> DataFrame:
+    """Layout of keys(key, n) in one array of cells, in key order: v_start, v_end, header_cells, has_flank, and the key's block and cell. Starts are prefix sums over sorted ranges of keys, of any width."""
     cells = F.col("n") if p.layout == "hash" else dna.range_cells("n", p.header_threshold)  # a hash layout has no room for flanks
-    sized = keys.withColumns({"v_size": cells, "blk": F.shiftright("key", shift), "sup": F.shiftright("key", shift + 12)})
-    blocks = sized.groupBy("sup", "blk").agg(F.sum("v_size").alias("b"))
-    supers = blocks.groupBy("sup").agg(F.sum("b").alias("s"))
-    base = supers.select(F.col("sup").alias("_s"), (F.sum("s").over(Window.orderBy("sup")) - F.col("s")).alias("base_s"))
-    inner = blocks.select(F.col("blk").alias("_b"), "sup", (F.sum("b").over(Window.partitionBy("sup").orderBy("blk")) - F.col("b")).alias("base_b"))
-    heads = inner.join(base, F.col("sup") == F.col("_s")).select("_b", (F.col("base_s") + F.col("base_b")).alias("base"))
-    own = F.sum("v_size").over(Window.partitionBy("blk").orderBy("key"))
-    placed = sized.withColumn("end", own).join(heads, F.col("blk") == F.col("_b"))
-    width = p.cells_per_body + 4
+    placed = running.sums(keys.select("key", "n", cells.cast("long").alias("v_size")), ["key"], "v_size")
+    blk, width = F.shiftright("key", p.block_shift), p.cells_per_body + 4
     return placed.select(
         "key",
         "n",
-        (F.col("base") + F.col("end") - F.col("v_size")).cast("long").alias("v_start"),
-        (F.col("base") + F.col("end")).cast("long").alias("v_end"),
+        F.col("v_size_before").alias("v_start"),
+        (F.col("v_size_before") + F.col("v_size")).alias("v_end"),
         (F.col("n") > p.header_threshold).alias("has_flank"),
         dna.header_cells("v_size", p.header_threshold).alias("header_cells"),
-        (F.col("blk") * width).cast("long").alias("block_cell"),
-        (F.col("blk") * width + 4 + F.pmod("key", F.lit(p.cells_per_body))).cast("long").alias("key_cell"),
+        (blk * width).cast("long").alias("block_cell"),
+        (blk * width + 4 + F.pmod("key", F.lit(p.cells_per_body))).cast("long").alias("key_cell"),
     )
 
 
-def stats(sampling: DataFrame, all_counts: DataFrame, refs: DataFrame, p: IndexParams) -> DataFrame:
-    """One row: kmers, sampled, rate, distinct_keys (before the cap), skipped_keys, value_cells (after it), refs."""
+def stats(sampling: DataFrame, all_counts: DataFrame, p: IndexParams) -> DataFrame:
+    """One row: kmers, sampled, refs (of `sampling`), rate (null without k-mers), distinct_keys (before the cap), skipped_keys, value_cells (after it)."""
     over = F.lit(False) if p.cap is None else F.col("n") > p.cap
     keys = all_counts.agg(F.count("*").alias("distinct_keys"), F.count_if(over).alias("skipped_keys"), F.coalesce(F.sum(F.when(~over, dna.range_cells("n", p.header_threshold))), F.lit(0)).cast("long").alias("value_cells"))
-    return sampling.join(keys).join(refs.agg(F.count("*").alias("refs")))  # three single rows
+    rate = F.try_divide(F.col("sampled").cast("double"), F.col("kmers"))
+    return sampling.join(keys).select("kmers", "sampled", rate.alias("rate"), "distinct_keys", "skipped_keys", "value_cells", "refs")  # two single rows

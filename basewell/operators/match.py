@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.params import IndexParams
-from . import windows
+from ..sources import store
+from . import running, windows
 
 
 def queries_of(sequences: DataFrame, p: IndexParams) -> DataFrame:
@@ -16,7 +17,9 @@ def queries_of(sequences: DataFrame, p: IndexParams) -> DataFrame:
 
 
 def lookup(index: DataFrame, key: int) -> DataFrame:
-    """The rows of one key."""
+    """The rows of one key. Of a saved index one folder is read."""
+    if _parted(index):
+        index = index.parted.filter(F.col("part") == key >> index.part_shift).drop("part")
     return index.filter(F.col("key") == key)
 
 
@@ -31,8 +34,17 @@ def lookup_word(index: DataFrame, word: str) -> DataFrame:
     return lookup(index, canonical_number(word))
 
 
+def _parted(index: DataFrame) -> bool:
+    """Whether an index was loaded from disk, where it lies in folders by key range."""
+    return hasattr(index, "parted")
+
+
 def _met(queries: DataFrame, index: DataFrame) -> DataFrame:
-    return queries.withColumnRenamed("flank", "qflank").join(index.select("key", "n", "ref_id", F.col("pos").alias("rpos"), "flank"), "key")
+    """Queries and the occurrences of their keys. Of a saved index only the folders of asked key ranges are read."""
+    asked = queries.withColumnRenamed("flank", "qflank")
+    if not _parted(index):
+        return asked.join(index.select("key", "n", "ref_id", F.col("pos").alias("rpos"), "flank"), "key")
+    return asked.withColumn("part", store.part_of("key", index.part_shift)).join(index.parted.select("part", "key", "n", "ref_id", F.col("pos").alias("rpos"), "flank"), ["part", "key"])
 
 
 def all_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -42,11 +54,25 @@ def all_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def best_flex_match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, qpos, key, ref_id, rpos, dist, ties: the positions whose flanks are nearest, all of them if several are; where the key
-    has no flanks every position, with null dist and ties. A query is (query_id, qpos), and has one row in `queries`."""
-    scored = _met(queries, index).withColumn("dist", F.when(F.col("flank").isNotNull(), dna.hamming("qflank", "flank")))
-    one = Window.partitionBy("query_id", "qpos")
-    best = scored.withColumn("least", F.min("dist").over(one)).filter(F.col("dist").eqNullSafe(F.col("least")))
-    return best.select("query_id", "qpos", "key", "ref_id", "rpos", "dist", F.when(F.col("dist").isNotNull(), F.count("*").over(one)).alias("ties"))
+    has no flanks every position, with null dist and ties. A query is (query_id, qpos), and has one row in `queries`.
+
+    The least distance and its ties are found between a key's different flanks and the different flanks that ask for it, by aggregates that are merged before they are shuffled, so
+    a query that meets a third of the index is no single task; then only the positions of the nearest flanks are joined."""
+    asked = queries.withColumnRenamed("flank", "qflank")
+    by_key, by_flank = ["key", "part"] if _parted(index) else ["key"], ["key", "flank"]
+    if _parted(index):
+        asked = asked.withColumn("part", store.part_of("key", index.part_shift))
+    held = (index.parted if _parted(index) else index).withColumnRenamed("pos", "rpos")
+    plain = asked.join(held.filter("flank is null").select(*by_key, "ref_id", "rpos"), by_key).select("query_id", "qpos", "key", "ref_id", "rpos", F.lit(None).cast("int").alias("dist"), F.lit(None).cast("long").alias("ties"))
+    flanks = held.filter("flank is not null").groupBy(*by_key, "flank").agg(F.count("*").alias("m"))
+    pairs = asked.select(*by_key, "qflank").distinct().join(flanks, by_key).select("key", "qflank", "flank", "m", dna.hamming("qflank", "flank").alias("dist"))
+    least = pairs.groupBy("key", "qflank", "dist").agg(F.sum("m").alias("ties")).groupBy("key", "qflank").agg(F.min(F.struct("dist", "ties")).alias("b"))
+    least = least.select("key", "qflank", "b.dist", "b.ties")
+    nearest = asked.drop("part").join(pairs.join(least, ["key", "qflank", "dist"]), ["key", "qflank"])
+    if _parted(index):
+        nearest, by_flank = nearest.withColumn("part", store.part_of("key", index.part_shift)), [*by_flank, "part"]
+    found = nearest.join(held.select(*by_flank, "ref_id", "rpos"), by_flank)
+    return plain.unionByName(found.select("query_id", "qpos", "key", "ref_id", "rpos", "dist", "ties"))
 
 
 def misses(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -57,8 +83,7 @@ def misses(queries: DataFrame, index: DataFrame) -> DataFrame:
 def rarest_first(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """query_id, qpos, key, n, rank: each query sequence's seeds by how few positions they have, from rank 1; ties by key, then qpos."""
     found = queries.join(keys.select("key", "n"), "key")
-    order = Window.partitionBy("query_id").orderBy("n", "key", "qpos")
-    return found.select("query_id", "qpos", "key", "n", F.row_number().over(order).cast("long").alias("rank"))
+    return running.ranked(found.select("query_id", "qpos", "key", "n"), "query_id", ["n", "key", "qpos"], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def with_names(matches: DataFrame, refs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -13,13 +13,14 @@ BLOCK, MOST_K, WORD = 16, 32, 16
 
 
 def _blocks(sequences: DataFrame, k: int) -> DataFrame:
-    """ref_id, base, seq: a row per BLOCK windows; neighbours overlap by k - 1 bases. Cut from bytes, where any place is reached at once; characters of several bytes become N."""
-    raw = _once(sequences.select("ref_id", "seq"), raw=F.col("seq")).drop("seq")
+    """ref_id, base, seq: a row per BLOCK windows of sequences(ref_id, seq), or of their chunks with `start`; neighbours overlap by k - 1 bases. Cut from bytes, where any place is reached at once; characters of several bytes become N."""
+    start = F.col("start") if "start" in sequences.columns else F.lit(0).cast("long")
+    raw = _once(sequences.select("ref_id", start.alias("start"), "seq"), raw=F.col("seq")).drop("seq")
     plain = F.when(F.octet_length("raw") == F.length("raw"), F.col("raw")).otherwise(F.regexp_replace("raw", "[^\\x00-\\x7F]", "N"))
-    rows = raw.select("ref_id", plain.cast("binary").alias("bytes"))
+    rows = raw.select("ref_id", "start", plain.cast("binary").alias("bytes"))
     n = F.length("bytes")
-    cut = rows.select("ref_id", "bytes", F.explode(F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(BLOCK)))).alias("at"))
-    return cut.select("ref_id", F.col("at").cast("long").alias("base"), F.expr(f"substring(bytes, at + 1, {BLOCK + k - 1})").cast("string").alias("seq"))
+    cut = rows.select("ref_id", "start", "bytes", F.explode(F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(BLOCK)))).alias("at"))
+    return cut.select("ref_id", (F.col("start") + F.col("at")).alias("base"), F.expr(f"substring(bytes, at + 1, {BLOCK + k - 1})").cast("string").alias("seq"))
 
 
 def _places(last: str):
@@ -113,8 +114,20 @@ def _keyed(sequences: DataFrame, p: IndexParams) -> DataFrame:
 
 def occurrences(sequences: DataFrame, p: IndexParams) -> DataFrame:
     """ref_id, pos, key, flank (numbers): every window whose core is a closed syncmer."""
+    return _flanked(_keyed(sequences, p), p)
+
+
+def observed(sequences: DataFrame, p: IndexParams) -> tuple[DataFrame, Observation, Observation]:
+    """occurrences, and what counts refs (the sequences) and kmers and sampled while they are written: build statistics without another scan."""
+    read, seen = Observation(), Observation()
+    counted = sequences.observe(read, F.count(F.lit(1)).alias("refs"))
+    keyed = _keyed(counted, p).observe(seen, F.count(F.lit(1)).alias("kmers"), F.count_if(dna.closed_syncmer_number("key", p.c, p.s)).alias("sampled"))
+    return _flanked(keyed, p), read, seen
+
+
+def _flanked(keyed: DataFrame, p: IndexParams) -> DataFrame:
     half = p.f // 2
-    kept = _keyed(sequences, p).filter(dna.closed_syncmer_number("key", p.c, p.s))
+    kept = keyed.filter(dna.closed_syncmer_number("key", p.c, p.s))
     left = F.shiftleft(F.shiftrightunsigned("word", 2 * (half + p.c)), 2 * half)
     flank = left.bitwiseOR(_low(F.col("word"), half)) if p.f else F.lit(0).cast("long")
     return kept.select("ref_id", "pos", "key", flank.alias("flank"))

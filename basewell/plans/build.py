@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.params import IndexParams
 from ..operators import index as ix
@@ -24,10 +24,20 @@ class Index:
         store.save(path, self.index, self.keys, self.refs, self.params, mode)
 
 
-def build_index(sequences: DataFrame, p: IndexParams) -> Index:
-    """sequences(ref_id, name, seq). The occurrences are written once in the shared folder, as counts and index both read them."""
-    occurrences = store.written(windows.occurrences(sequences, p))
+def build_index(sequences: DataFrame, p: IndexParams, names: DataFrame | None = None) -> Index:
+    """sequences(ref_id, name, seq), or chunks(ref_id, start, seq) with names(ref_id, name).
+
+    The bases are scanned once: k-mers and sequences are counted as the occurrences are written in the shared folder, and counts, index and statistics are read from there. The dictionary reads names alone."""
+    found, read, seen = windows.observed(sequences, p)
+    occurrences = store.written(found)
+    refs = fasta.checked_names(sequences.select("ref_id", "name") if names is None else names)
+    counted = seen.get | (read.get if names is None else {"refs": names.count()})
     all_counts = ix.counts(occurrences)
-    refs = fasta.checked_names(sequences)
-    stats = ix.stats(windows.sampling(sequences, p), all_counts, refs, p)
-    return Index(ix.long_index(occurrences, p), ix.kept_keys(all_counts, p), refs, stats, p)
+    row = sequences.sparkSession.createDataFrame([(counted["kmers"], counted["sampled"], counted["refs"])], "kmers long, sampled long, refs long")
+    return Index(ix.long_index(occurrences, p), ix.kept_keys(all_counts, p), refs, ix.stats(row, all_counts, p), p)
+
+
+def build_files(spark: SparkSession, path: str, p: IndexParams, mode: str = "FAILFAST", split_bytes: int | None = None) -> Index:
+    """The index of FASTA files of any size, whose long records are never in one row: pieces of byte ranges, then chunks that share k - 1 bases."""
+    parts = fasta.checked_pieces(fasta.pieces(spark, path, split_bytes), mode)
+    return build_index(fasta.chunks(parts, p.k), p, fasta.names(parts))

@@ -140,6 +140,52 @@ def index_nested(spark, sf_dir, p=SAMPLED):
     return found.select("key", "n", F.array_join(F.transform("values", line), ",").alias("listed"))
 
 
+def whole_index_nested(spark, sf_dir):
+    """The index without a cap, in pages: a row per key and 1,024 values."""
+    line = lambda v: F.concat_ws(":", (F.col("first_ref") + v["refs"]).cast("string"), v["positions"].cast("string"), F.coalesce(v["flanks"].cast("string"), F.lit("")))
+    listed = F.array_join(F.transform(F.arrays_zip("refs", "positions", "flanks"), line), ",")
+    return ix.pages(_index(spark, sf_dir, WHOLE_SAMPLED)).select("key", "n", "page", listed.alias("listed"))
+
+
+def whole_range_format(spark, sf_dir):
+    return display.shown(_index(spark, sf_dir, WHOLE_SAMPLED), ix.PAGE)
+
+
+def paged_matches(spark, sf_dir):
+    """Lookups over pages of posting lists, written in key order and read again."""
+    asked, made = _both(spark, sf_dir, WHOLE_SAMPLED)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paged = store.written(ix.pages(made).repartitionByRange(n, "key", "page").sortWithinPartitions("key", "page"))
+    return match.all_matches(asked, ix.unpaged(paged))
+
+
+def _saved(spark, sf_dir, p):
+    """The saved and loaded index, keys and dictionary of the documents."""
+    made, path = build.build_index(_sequences(spark, sf_dir), p), store.shared_path(spark)
+    made.save(path)
+    return store.load(spark, path)
+
+
+def saved_best_match(spark, sf_dir):
+    """Nearest flanks looked up in an index that was saved and loaded, with the references' names from its dictionary."""
+    index, _, refs, p = _saved(spark, sf_dir, WHOLE_SAMPLED)
+    found = match.best_flex_match(store.written(_queries(spark, sf_dir, p)), index)
+    return match.with_names(found, refs).select("query_id", "qpos", "key", "name", "ref_id", "rpos", "dist", "ties")
+
+
+def saved_matches(spark, sf_dir):
+    index, _, _, p = _saved(spark, sf_dir, SAMPLED)
+    return match.all_matches(store.written(_queries(spark, sf_dir, p)), index)
+
+
+def saved_keys(spark, sf_dir):
+    return _saved(spark, sf_dir, SAMPLED)[1]
+
+
+def saved_refs(spark, sf_dir):
+    return _saved(spark, sf_dir, SAMPLED)[2]
+
+
 def _records(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.lit("documents").alias("file"), F.col("doc_id").alias("ordinal"), F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("source", F.lit(""))).alias("head"), store.derived_dna(F.col("text")).alias("seq"))
@@ -203,9 +249,7 @@ def hash_layout_truncation(spark, sf_dir):
 
 
 def index_roundtrip(spark, sf_dir, p=SAMPLED):
-    made, path = build.build_index(_sequences(spark, sf_dir), p), store.shared_path(spark)
-    made.save(path)
-    return store.load(spark, path)[0]
+    return _saved(spark, sf_dir, p)[0]
 
 
 def _fasta_folder(spark, sf_dir, seq=None) -> str:
@@ -226,7 +270,33 @@ def fasta_source(spark, sf_dir):
 
 def fasta_index(spark, sf_dir):
     """From FASTA files to capped keys."""
-    return build.build_index(fasta.read_files(spark, _fasta_folder(spark, sf_dir)), SAMPLED).keys
+    return build.build_files(spark, _fasta_folder(spark, sf_dir), SAMPLED).keys
+
+
+#: Documents that make one long record, bytes of a split, and bases of a chunk, in the queries over long records.
+CHAPTER, SPLIT, GRID, SHARED = 1000, 1 << 20, 4096, 26
+
+
+def _long_records(spark, sf_dir) -> str:
+    """FASTA files whose records are the sequences of 1,000 documents in a row each, of lines of 60 bases and less."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / CHAPTER).alias("chapter"), "doc_id", store.derived_dna(F.col("text")).alias("seq"))
+    rows = docs.select("chapter", "doc_id", F.regexp_replace(F.coalesce("seq", F.lit("")), "(.{60})", "$1\n").alias("line"))
+    heads = docs.select("chapter", F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit(">chapter"), F.col("chapter").cast("string"), F.lit(" of documents")).alias("line")).distinct()
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), store.shared_path(spark)
+    heads.unionByName(rows).repartition(n, "chapter").sortWithinPartitions("chapter", "doc_id").select("line").write.text(path)
+    return path
+
+
+def fasta_chunks(spark, sf_dir):
+    """Long records, split inside by the reader, as chunks that share 26 bases: by name, start, length and hash."""
+    parts = fasta.pieces(spark, _long_records(spark, sf_dir), SPLIT)
+    cut = fasta.chunks(parts.withColumn("whole", F.lit(False)), SHARED + 1, GRID)
+    return cut.join(fasta.names(parts), "ref_id").select("name", "start", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("hash"))
+
+
+def fasta_long_keys(spark, sf_dir):
+    """Counts of an index over long records; windows reach over documents, lines and splits."""
+    return build.build_files(spark, _long_records(spark, sf_dir), SAMPLED, split_bytes=SPLIT).keys
 
 
 def fasta_validated(spark, sf_dir):
@@ -299,6 +369,7 @@ def stream_matches(spark, sf_dir):
 
 _ALL = [
     fasta_text, fasta_source, fasta_index, fasta_validated, literal_index, table_sizes, names_both_ways, hash_finaliser, hash_ranges, hash_lookup_join, hash_matches, bucketed_matches, nested_nearest, stream_matches,
+    fasta_chunks, fasta_long_keys, paged_matches, saved_best_match, saved_matches, saved_keys, saved_refs, whole_index_nested, whole_range_format,
     kmer_encode, kmer_revcomp, kmer_spectrum, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, sampling_rate, key_counts_capped, skipped_keys, structural_cap, index_stats, vrange_layout, index_long, index_slots,
     index_nested, reference_dictionary, pack_positions, unpack_positions, flank_hamming, point_lookup, all_matches, lookup_join, best_flex_match, lookup_misses, rarest_first, match_names, range_format, hash_layout_truncation, index_roundtrip,
 ]
@@ -306,8 +377,8 @@ _ALL = [
 
 #: Queries that stand on the index: each is also registered over one without a cap, as whole_<name>.
 _INDEXED = {
-    vrange_layout: WHOLE_SAMPLED, index_long: WHOLE_SAMPLED, index_slots: WHOLE_SAMPLED, index_nested: WHOLE_SAMPLED, flank_hamming: WHOLE_SAMPLED, point_lookup: WHOLE, all_matches: WHOLE, lookup_join: WHOLE_SAMPLED, best_flex_match: WHOLE,
-    lookup_misses: WHOLE_SAMPLED, rarest_first: WHOLE_SAMPLED, match_names: WHOLE_SAMPLED, range_format: WHOLE_SAMPLED, index_roundtrip: WHOLE_SAMPLED,
+    vrange_layout: WHOLE_SAMPLED, index_long: WHOLE_SAMPLED, index_slots: WHOLE_SAMPLED, flank_hamming: WHOLE_SAMPLED, point_lookup: WHOLE, all_matches: WHOLE, lookup_join: WHOLE_SAMPLED, best_flex_match: WHOLE,
+    lookup_misses: WHOLE_SAMPLED, rarest_first: WHOLE_SAMPLED, match_names: WHOLE_SAMPLED, index_roundtrip: WHOLE_SAMPLED,
 }
 
 
@@ -400,7 +471,18 @@ def _sql(every: IndexParams, sampled: IndexParams, asked_of: tuple[str, str] = (
     step = lambda x, factor: f"(({x}) * {factor}::uhugeint) % 18446744073709551616::uhugeint"
     shifted = lambda x: f"xor({x}, {x} // 8589934592::uhugeint)"
     more = {"fasta_text": f"select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name, coalesce({DNA}, '') as seq from documents"}
+    chapters = f"(select chapter as id, string_agg(coalesce({DNA}, ''), '' order by doc_id) as text from (select doc_id // {CHAPTER} as chapter, * from documents) group by chapter)"
+    open_ix, line, page = _ix(WHOLE_SAMPLED), "ref_id || ':' || pos || ':' || coalesce(cast(flank as varchar), '')", f"cast((row_number() over (partition by key order by ref_id, pos) - 1) // {ix.PAGE} as bigint) as page"
     more |= {
+        "fasta_chunks": f"with c as {chapters}, g as (select id, text, unnest(range(0, length(text), {GRID})) as start from c) select 'chapter' || id as name, start, length(substr(text, start + 1, {GRID + SHARED})) as n, md5(substr(text, start + 1, {GRID + SHARED})) as hash from g",
+        "fasta_long_keys": f"with c as {chapters}, g as (select id, substr(text, start + 1, {GRID + SAMPLED.k - 1}) as text from (select id, text, unnest(range(0, length(text), {GRID})) as start from c)), {_occ('d', 'g', 'id', SAMPLED, True)} select key, count(*) as n from d group by key having count(*) <= {SAMPLED.cap}",
+        "paged_matches": f"with {open_ix}, {_q(WHOLE_SAMPLED)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "saved_best_match": f"with {open_ix}, {_q(WHOLE_SAMPLED)}, {_BEST} select query_id, qpos, key, cast(ref_id as varchar) as name, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
+        "saved_matches": f"with {some}, {_q(sampled)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "saved_keys": f"with {some} select key, n from keys",
+        "saved_refs": "select doc_id as ref_id, cast(doc_id as varchar) as name from documents",
+        "whole_index_nested": f"with {open_ix}, p as (select *, {page} from ix) select key, n, page, string_agg({line}, ',' order by ref_id, pos) as listed from p group by key, n, page",
+        "whole_range_format": f"with {open_ix}, p as (select *, {page} from ix) select key, page, string_agg(case when flank is null then '.. ' else {flank16} || ': ' end || {packed}, chr(10) order by ref_id, pos) as text, string_agg(case when flank is null then '.............. ' else {flank16} end || ': ' || ref_id || ' ' || pos, chr(10) order by ref_id, pos) as detail from p group by key, page",
         "fasta_source": more["fasta_text"],
         "fasta_index": f"with {some} select key, n from keys",
         "fasta_validated": "with r as (select doc_id as ref_id, 'doc' || doc_id as name, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTNX') as seq from documents) select * from r where seq not like '%X%'",
