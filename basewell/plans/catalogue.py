@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.params import IndexParams
-from ..operators import display, match, windows
+from ..operators import display, match, sketch, windows
 from ..operators import index as ix
-from ..sources import fasta, store
+from ..sources import fasta, fastq, store
 from ..streaming import lookups
 from . import build
 
@@ -159,6 +159,29 @@ def paged_matches(spark, sf_dir):
     return match.all_matches(asked, ix.unpaged(paged))
 
 
+def bloom_matches(spark, sf_dir):
+    """Lookups whose index is made of the occurrences that pass a Bloom filter of the asked keys: nothing else is moved, however many keys are asked."""
+    asked = store.written(_queries(spark, sf_dir, WHOLE_SAMPLED))
+    passed = sketch.pruned(windows.occurrences(_sequences(spark, sf_dir), WHOLE_SAMPLED), store.written(sketch.bloom(asked)))
+    return match.all_matches(asked, ix.long_index(store.written(passed), WHOLE_SAMPLED))
+
+
+#: Quality characters for letters a to z, among them those that begin a record's lines.
+QUALITIES, LEAST_QUALITY = "!+@#5I9?+@<>ABCDEFGH;:/.-J", 20
+
+
+def fastq_reads(spark, sf_dir):
+    """Documents as FASTQ records, written, read in splits and trimmed."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(store.derived_dna(F.col("text")), F.lit("")).alias("seq"), F.coalesce(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", QUALITIES), F.lit("")).alias("qual"))
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), store.shared_path(spark)
+    record = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" read\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
+    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(record).write.text(path)
+    reads = fastq.read(spark, path, split_bytes=SPLIT)
+    cut = fastq.trimmed(reads.withColumn("n", F.length("seq").cast("long")), LEAST_QUALITY)
+    return cut.select("ref_id", "name", "n", F.length("seq").cast("long").alias("n_kept"), F.md5("seq").alias("seq_hash"), F.md5("qual").alias("qual_hash"))
+
+
 def _saved(spark, sf_dir, p):
     """The saved and loaded index, keys and dictionary of the documents."""
     made, path = build.build_index(_sequences(spark, sf_dir), p), store.shared_path(spark)
@@ -369,7 +392,7 @@ def stream_matches(spark, sf_dir):
 
 _ALL = [
     fasta_text, fasta_source, fasta_index, fasta_validated, literal_index, table_sizes, names_both_ways, hash_finaliser, hash_ranges, hash_lookup_join, hash_matches, bucketed_matches, nested_nearest, stream_matches,
-    fasta_chunks, fasta_long_keys, paged_matches, saved_best_match, saved_matches, saved_keys, saved_refs, whole_index_nested, whole_range_format,
+    bloom_matches, fastq_reads, fasta_chunks, fasta_long_keys, paged_matches, saved_best_match, saved_matches, saved_keys, saved_refs, whole_index_nested, whole_range_format,
     kmer_encode, kmer_revcomp, kmer_spectrum, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, sampling_rate, key_counts_capped, skipped_keys, structural_cap, index_stats, vrange_layout, index_long, index_slots,
     index_nested, reference_dictionary, pack_positions, unpack_positions, flank_hamming, point_lookup, all_matches, lookup_join, best_flex_match, lookup_misses, rarest_first, match_names, range_format, hash_layout_truncation, index_roundtrip,
 ]
@@ -479,6 +502,8 @@ def _sql(every: IndexParams, sampled: IndexParams, asked_of: tuple[str, str] = (
         "paged_matches": f"with {open_ix}, {_q(WHOLE_SAMPLED)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
         "saved_best_match": f"with {open_ix}, {_q(WHOLE_SAMPLED)}, {_BEST} select query_id, qpos, key, cast(ref_id as varchar) as name, ref_id, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
         "saved_matches": f"with {some}, {_q(sampled)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "bloom_matches": f"with {open_ix}, {_q(WHOLE_SAMPLED)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
+        "fastq_reads": f"with r as (select doc_id, coalesce({DNA}, '') as seq, coalesce(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{QUALITIES}'), '') as qual from documents), t as (select *, regexp_replace(qual, '[\\x21-\\x{32 + LEAST_QUALITY:x}]+$', '') as kept from r) select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name, length(seq) as n, length(kept) as n_kept, md5(substr(seq, 1, length(kept))) as seq_hash, md5(kept) as qual_hash from t",
         "saved_keys": f"with {some} select key, n from keys",
         "saved_refs": "select doc_id as ref_id, cast(doc_id as varchar) as name from documents",
         "whole_index_nested": f"with {open_ix}, p as (select *, {page} from ix) select key, n, page, string_agg({line}, ',' order by ref_id, pos) as listed from p group by key, n, page",

@@ -15,7 +15,7 @@ FORMAT_VERSION = 3
 
 
 #: Folders of key ranges of a saved index.
-PART_BITS = 8
+PART_BITS = 6
 
 
 def shared_path(spark: SparkSession) -> str:
