@@ -40,50 +40,141 @@ END_ID = 2
 WINDOWS = 64
 SLACK = 8
 SHARDS_PER_GROUP = 64
-#: Words whose ids a worker remembers, and the most bytes of one.
-WORDS, WORD_BYTES = 200_000, 64
+#: Words whose ids a worker remembers.
+WORDS = 600_000
+#: Marks that are a piece of their own after letters, whatever the letters.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-_tokenizers: dict[str, tuple] = {}
 
+class _Numbers(dict):
+    """Words by number; a new word gets the next one and is listed."""
 
-def tokenizer(vocabulary: str = VOCABULARY):
-    """The tokenizer of a file of the tokenizers library (a path, or a name in the installed public_tokenizers module), and the ids of words seen so far. One per process."""
-    if vocabulary not in _tokenizers:
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Encoder:
+    """A tokenizer of the tokenizers library, and the ids of the words that it has met.
+
+    Where the tokenizer lower-cases, drops white space and never joins what that parts, a text is the row of its words, and each different word
+    is tokenised once. New words of Latin letters, one piece each, are tokenised together and told apart by the ids that end a piece; marks after letters
+    are a piece of their own; other words are tokenised alone. When there are too many, the half of them that was used least is forgotten. Other tokenizers take whole texts."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        whole, parts = self._encode(["Ab  c'x...\t\u00c4D"]), self._encode(["ab", "c'x", "...", "\u00e4d"])
+        self.by_word = whole[0] == [x for ids in parts for x in ids]
+        self.known = _Numbers()
+        self.flat, self.edges, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words by their numbers, one word after the other, and where each ends."""
+        starts, sizes = self.edges[at], self.edges[at + 1] - self.edges[at]
+        stops = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)], stops
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that was used most."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: WORDS // 2])
+        names = list(self.known)
+        self.known = _Numbers((names[k], i) for i, k in enumerate(kept.tolist()))
+        self.flat, stops = self._gathered(kept)
+        self.edges, self.used = np.concatenate([[0], stops]), self.used[kept] // 2
+
+    def _each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of some words."""
+        ids = self._encode([w.decode("utf-8", "surrogatepass") for w in words])
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _letters(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same of words of letters, in portions."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self._encode([b" ".join(part).decode()])[0], np.int64)
+            stops = 1 + np.flatnonzero(self.ends[ids])
+            yield (ids, np.diff(stops, prepend=0)) if len(stops) == len(part) and stops[-1] == len(ids) else self._each(part)
+
+    def _learn(self) -> None:
+        """Finds the ids of the listed words; stems and marks of some of them are listed on the way."""
+        words, first = self.known.new, len(self.edges) - 1
+        letters, odd, marked = [], [], []
+        for i, w in enumerate(words, first):
+            if w.isalpha():
+                letters.append(i)
+                continue
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha():
+                marked.append((i, self.known[stem], self.known[w[len(stem) :]]))
+                continue
+            low = w.decode("utf-8", "surrogatepass").lower()
+            (letters if low.isalpha() and max(low) < "\u0250" else odd).append(i)
+        found = [*self._letters([words[i - first] for i in letters]), self._each([words[i - first] for i in odd])]
+        ids, sizes = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        at = np.array([*letters, *odd], np.int64) - first
+        # what is known so far, in the order in which it was found, then all new words in the order of their numbers
+        where, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        where[at], size[at] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        starts, known = np.concatenate([self.edges[:-1], where]), np.concatenate([np.diff(self.edges), size])
+        parts = np.zeros((len(words), 2), np.int64)
+        parts[:, 0] = np.arange(first, first + len(words))
+        parts[:, 1] = -1
+        for i, stem, mark in marked:
+            parts[i - first] = stem, mark
+        parts = parts.reshape(-1)
+        begin, n = np.where(parts < 0, 0, starts[parts]), np.where(parts < 0, 0, known[parts])
+        stops = np.cumsum(n)
+        self.flat = np.concatenate([self.flat, flat[np.repeat(begin - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + stops[1::2]])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.known.new = []
+
+    def _rows(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of some texts' words."""
+        if len(self.known) > WORDS:
+            self._forget()
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self._learn()
+        np.add.at(self.used, at, 1)
+        ids, stops = self._gathered(at)
+        edges = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]
+        return [ids[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Every text's ids."""
+        if not self.by_word:
+            return [np.array(ids, np.uint32) for ids in self._encode([t or "" for t in texts])]
+        short = iter(self._rows([common.words(t, common.SPACED) for t in texts if len(t or "") <= common.CHUNK_BYTES]))
+        return [next(short) if len(t or "") <= common.CHUNK_BYTES else np.concatenate([self._rows([words])[0] for words in _portions(t)]) for t in texts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """The encoder of a tokenizer file: a path, or a name in the installed public_tokenizers module. One per process."""
+    if vocabulary not in _encoders:
+        path = vocabulary
         if "/" not in vocabulary:
             import public_tokenizers
 
-            vocabulary_path = public_tokenizers.path(vocabulary)
-        else:
-            vocabulary_path = vocabulary
-        _tokenizers[vocabulary] = Tokenizer.from_file(str(vocabulary_path)), {}
-    return _tokenizers[vocabulary]
-
-
-def encoded(texts: list[str | None], vocabulary: str = VOCABULARY) -> list[np.ndarray]:
-    """Every text's ids. The tokenizer drops white space and never joins what it parts, so texts are cut there and each different word is tokenised once."""
-    tok, known = tokenizer(vocabulary)
-
-    def of(split: list[list[bytes]]) -> list[np.ndarray]:
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        own = known if len(new) <= WORDS else {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                own[w] = tuple(e.ids)
-        out = [np.fromiter(chain.from_iterable(map(own.__getitem__, words)), np.uint32) for words in split]
-        for w in new:
-            if len(w) > WORD_BYTES:
-                own.pop(w, None)
-        return out
-
-    short = iter(of([common.words(t, common.SPACED) for t in texts if len(t or "") <= common.CHUNK_BYTES]))
-    return [next(short) if len(t or "") <= common.CHUNK_BYTES else np.concatenate([of([words])[0] for words in _portions(t)]) for t in texts]
+            path = str(public_tokenizers.path(vocabulary))
+        _encoders[vocabulary] = Encoder(path)
+    return _encoders[vocabulary]
 
 
 def _portions(text: str) -> Iterator[list[bytes]]:
@@ -176,11 +267,11 @@ def pack(
     id_kind = slim.schema["doc_id"].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        enc, base, made = encoder(vocabulary), TaskContext.get().partitionId() << 32, 0
         space, ready, id_type = Windows(length, windows, slack), [], pa.null()
         for batch in common.slices(batches):
             id_type = batch.schema.field("doc_id").type
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text").to_pylist(), vocabulary), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encoded(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 total = len(ids)
                 for at in range(0, total, length):

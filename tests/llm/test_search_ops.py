@@ -136,7 +136,7 @@ def test_search_ties(spark):
 
 @pytest.mark.parametrize(("length", "windows", "shards_per_group"), [(LENGTH, 4, 2), (4096, 64, 64)])
 def test_online_packing(docs, rows, clashing, no_docs, length, windows, shards_per_group):
-    tok = online_packing.tokenizer()[0]
+    tok = online_packing.encoder().tokenizer
     given = {"length": length, "windows": windows, "shards_per_group": shards_per_group}
     packed = online_packing.pack(clashing, **given)
     sequences = packed.collect()
@@ -198,5 +198,22 @@ def test_long_texts(spark, monkeypatch):
     """Texts beyond a buffer give the plain tokenizer's ids."""
     monkeypatch.setattr(online_packing.common, "CHUNK_BYTES", 1000)
     texts = ["word and more\t" * 500, "x" * 5000, " " * 5000, "é　ñ " * 700, "a" * 999 + " b" * 600]
-    plain = [online_packing.tokenizer()[0].encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in online_packing.encoded(texts)] == plain
+    assert_plain(texts)
+
+
+def assert_plain(texts):
+    for vocabulary in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = online_packing.encoder(vocabulary)
+        assert enc.by_word == vocabulary.startswith("word")
+        plain = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in enc.encoded(texts)] == plain
+
+
+def test_words(monkeypatch):
+    """Word by word gives the plain tokenizer's ids, remembered or not, for capitals, marks, contractions, digits, special tokens and other scripts."""
+    letters = ["a", "b", "s", "t", "S", "é", "É", "ß", "İ", "ﬁ", "日", "e\u0301", "\u0301", "'", "’", ".", ",", "!", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "²", " ", " ", " ", "\n", "\x1c", "\u2003", "don't", "it's", "—", "ª", "ǅ", "Ω"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    assert_plain(texts)
+    monkeypatch.setattr(online_packing, "WORDS", 50)
+    assert_plain(texts[:200])
