@@ -39,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WINDOWS = 64
 SLACK = 8
-SHARDS_PER_GROUP = 64
+SHARDS_PER_GROUP = 8
 #: Words whose ids a worker remembers.
 WORDS = 600_000
 #: Marks that are a piece of their own after letters, whatever the letters.
