@@ -173,9 +173,9 @@ QUALITIES, LEAST_QUALITY = "!+@#5I9?+@<>ABCDEFGH;:/.-J", 20
 def fastq_reads(spark, sf_dir):
     """Documents as FASTQ records, written, read in splits and trimmed."""
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(store.derived_dna(F.col("text")), F.lit("")).alias("seq"), F.coalesce(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", QUALITIES), F.lit("")).alias("qual"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(letters, F.lit("")).alias("text"))
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), store.shared_path(spark)
-    record = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" read\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
+    record = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" read\n"), store.derived_dna(F.col("text")), F.lit("\n+\n"), F.translate("text", "abcdefghijklmnopqrstuvwxyz", QUALITIES))
     docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(record).write.text(path)
     reads = fastq.read(spark, path, split_bytes=SPLIT)
     cut = fastq.trimmed(reads.withColumn("n", F.length("seq").cast("long")), LEAST_QUALITY)

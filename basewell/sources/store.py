@@ -29,7 +29,7 @@ def shared_path(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage."""
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +48,7 @@ def save(path: str, index: DataFrame, keys: DataFrame, refs: DataFrame, p: Index
     filter skips most row groups."""
     n, part = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), part_of("key", part_shift(p))
     for name, table, order in (("index", index, ["key", "ref_id", "pos"]), ("keys", keys, ["key"])):
-        table.repartitionByRange(n, *order).withColumn("part", part).sortWithinPartitions("part", *order).write.mode(mode).partitionBy("part").parquet(f"{path}/{name}")
+        table.repartitionByRange(n, *order).withColumn("part", part).sortWithinPartitions("part", *order).write.mode(mode).option("compression", "zstd").partitionBy("part").parquet(f"{path}/{name}")
     refs.write.mode(mode).parquet(f"{path}/refs")
     meta = index.sparkSession.createDataFrame([(FORMAT_VERSION, json.dumps(p.as_dict()))], "format_version int, params string")
     meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
