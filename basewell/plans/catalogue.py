@@ -247,7 +247,8 @@ def lookup_join(spark, sf_dir, p=SAMPLED):
 
 
 def best_flex_match(spark, sf_dir, p=FULL):
-    return match.best_flex_match(*_both(spark, sf_dir, p))
+    asked, made = _both(spark, sf_dir, p)
+    return match.best_flex_match(asked, store.written(made))  # which reads the index three times
 
 
 def lookup_misses(spark, sf_dir, p=SAMPLED):
@@ -260,7 +261,7 @@ def rarest_first(spark, sf_dir, p=SAMPLED):
 
 def match_names(spark, sf_dir, p=SAMPLED):
     refs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
-    return match.with_names(match.best_flex_match(*_both(spark, sf_dir, p)), refs).select("query_id", "qpos", "name", "rpos", "dist")
+    return match.with_names(best_flex_match(spark, sf_dir, p), refs).select("query_id", "qpos", "name", "rpos", "dist")
 
 
 def range_format(spark, sf_dir, p=SAMPLED):
