@@ -5,7 +5,9 @@ neighbour whose path shares the longer prefix (the one before it if equal). The
 subsequence, and lines that both share are deleted: that is what a site repeats on its pages. Where the articles of a page, or else its
 main element with them, have at least half of the characters that aren't deleted, they are known to be its text: their lines stay, shared
 or not, and lines outside go; but lines in parts of them whose class words (DOUBTFUL) may mark a box of the site's stay only if they aren't shared. Elsewhere (teasers as articles beside a text in a div) the alignment decides on every line. Menus, headers, footers, asides,
-adverts, notices, forms, comments and code are never lines, by their elements, roles and class words.
+hidden parts and code are never lines, by their elements and roles. Forms and boxes by class name (adverts, notices, comments, sidebars) are none unless they hold a main
+element or, adverts, consents and comments apart, over half of the text (see _opened): a form may be around a whole page. A name whose marking word isn't its end
+(`share-price`) makes no box; in articles it makes its lines doubtful.
 
 Copies (pages of a host with the same lines) are one page in this, at the least of their URLs, and all get its result. Of a page that shares
 over `copy_share` of its lines with its neighbour, only lines that the next neighbour shares too go, as the neighbour may be a near
@@ -13,7 +15,8 @@ copy; if the host has no third page, all shared lines go, unless none would be l
 
 Pairing sorts only URLs and line hashes, by range, so a host of any size is spread; the lines travel once, compressed.
 
-Defined results: null or empty html gives an empty text. A null or odd url belongs to the host "". Equal rows get equal results. Broken markup is read as far as it goes; an unclosed comment or script runs to the end. Extra columns are ignored. An empty table
+Defined results: null or empty html gives an empty text. A null or odd url belongs to the host "". Equal rows get equal results. Broken markup is read as far as it goes; an unclosed comment or script runs to the end. Pages of any length and depth are read whole, in linear time.
+Extra columns are ignored, also those named as columns of this module. Of two neighbours with paths equally near, the one before is taken; of equal rows all get one result. An empty table
 gives an empty table. Blocks are joined by \\n; white space inside a block, and <br>, become one space.
 """
 
@@ -36,7 +39,7 @@ from . import common
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-SKIP = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "svg", "canvas", "object", "audio", "video", "template", "dialog", "search", "map", "math"}
+SKIP = {"nav", "footer", "aside", "head", "menu", "button", "select", "svg", "canvas", "object", "audio", "video", "template", "dialog", "search", "map", "math"}
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "note"}
 SKIP_WORDS = {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -44,14 +47,22 @@ HOLDERS = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "d
 
 #: Class words that inside an article may mark the article's own text: there, lines go only if the paired page shares them.
 DOUBTFUL = {"alert", "notification", "recommended", "related", "search", "widget", "widgets"}
-#: Elements that may be open at once, as browsers limit them too; deeper ones aren't nested further.
-DEEPEST = 256
+#: Words that mark adverts, at any place in a class name; and words of boxes that aren't text even where they are most of a page.
+AD_WORDS = {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "promoted", "sponsor", "sponsored"}
+STRICT = AD_WORDS | {"comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "replies", "respond"}
+#: Before a word: a state, not a box (`no-comments`); a part of the text (`post-header`). After it: the box (`share-buttons`).
+STATES = {"has", "have", "hide", "hides", "no", "non", "not", "with", "without"}
+TEXT_NOUNS = {"article", "content", "entry", "post", "story"}
+BOX_NOUNS = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "icons", "inner", "item", "items", "left", "links", "list", "outer", "panel", "right", "section", "slot", "thread", "top", "unit", "wrap", "wrapper", "zone"}
 
 _CLOSES = {tag: [t for t, by in CLOSED_BY.items() if tag in by] for tag in set().union(*CLOSED_BY.values())}
 # a quote opens a value only straight after "="; nothing is matched twice
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))|(?!\s*+=))|=)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?+")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+# one white space, attribute or "=" of _TAG
+_STEP = re.compile(r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))|(?!\s*+=))|=")
+_MAIN = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody")
 _WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _COMMENT_END = re.compile(r"--!?>")
 
@@ -60,45 +71,111 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _unwanted(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element, inside an article or main or not, holds anything but the page's text; and whether that is doubtful."""
+def _marked(names: str) -> tuple[set[str], bool]:
+    """Words of SKIP_WORDS that class names and ids are, or end in (alone or before words of BOX_NOUNS); and whether others of the names have one.
+
+    So `user-comments` and `share-buttons` are boxes, `share-price` may be one, and `no-comments` is none."""
+    firm: set[str] = set()
+    soft = False
+    for name in names.split():
+        parts = [w.lower() for w in _WORDS.findall(name)]
+        for i, w in enumerate(parts):
+            before = parts[i - 1] if i else ""
+            if w not in SKIP_WORDS or before in STATES or (w in ("header", "byline") and before in TEXT_NOUNS):
+                continue
+            if all(x in SKIP_WORDS or x in BOX_NOUNS or x.isdigit() for x in parts[i + 1 :]) or (w in AD_WORDS and parts[i + 1] != "free"):
+                firm.add(w)
+            else:
+                soft = True
+    return firm, soft
+
+
+def _unwanted(tag: str, raw: str, inside: bool) -> tuple[str, bool]:
+    """What an element, inside an article or main or not, is: "" text, "skip" never text, "box" if it isn't most of the text, "strict" a box in any case; and whether
+    its class names make it doubtful."""
     if tag in SKIP or (tag == "header" and not inside):
-        return True, False
+        return "skip", False
     if tag in ("html", "body", "main"):
-        return False, False
+        return "", False
+    kind = "box" if tag == "form" else ""
     a = _attributes(raw)
     if not a:
-        return False, False
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in SKIP_ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True, False
-    found = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")} & SKIP_WORDS
-    if not inside:
-        return bool(found), False
-    return bool(found - DOUBTFUL - {"header", "byline"}), bool(found & DOUBTFUL)
+        return kind, False
+    role = a.get("role", "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or (role in SKIP_ROLES and role != "form") or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return "skip", False
+    firm, soft = _marked(f"{a.get('class', '')} {a.get('id', '')}")
+    if inside:
+        soft = soft or bool(firm & DOUBTFUL)
+        firm -= DOUBTFUL | {"header", "byline"}
+    if firm & STRICT:
+        return "strict", False
+    if firm or role == "form":
+        kind = "box"
+    return kind, inside and soft and not kind
+
+
+def _opened(out: list[tuple[str, int, int]], boxes: list[tuple[int, bool, bool]], mains: set[int]) -> list[bool]:
+    """Which boxes (parent, strict, in an article or main) are text after all: those that hold a main element, or over half of the text of the articles and main that
+    they are in, or of the page, where articles and main outside of boxes have under a tenth of it."""
+    size = [0] * len(boxes)
+    total = held = clean = 0
+    for text, kind, box in out:
+        total += len(text)
+        held += len(text) if kind & 3 else 0
+        if box >= 0:
+            size[box] += len(text)
+        elif kind & 3:
+            clean += len(text)
+    for i in range(len(boxes) - 1, -1, -1):  # parents come first
+        if boxes[i][0] >= 0:
+            size[boxes[i][0]] += size[i]
+    found: list[bool] = []
+    for i, (parent, strict, inside) in enumerate(boxes):
+        most = not strict and (2 * size[i] > held if inside else 10 * clean < total and 2 * size[i] > total)
+        found.append((parent < 0 or found[parent]) and (i in mains or most))
+    return found
+
+
+def _long(html: str, at: int, dead: set[int]) -> int:
+    """End of the tag at `at`, or -1 if the page ends in it. `dead` has places between attributes from which the page ends in the tag: a tag that comes to one of them
+    isn't read further, so all tags together are read in linear time."""
+    name = _NAME.match(html, at)
+    here, passed = name.end() if name else -1, []
+    while 0 <= here < len(html) and html[here] != ">" and here not in dead:
+        passed.append(here)
+        here = m.end() if (m := _STEP.match(html, here)) else -1
+    if 0 <= here < len(html) and html[here] == ">":
+        return here + 1
+    dead.update(passed)
+    return -1
 
 
 def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, slash, name, attributes) of every tag, comment (name "!--") and declaration (name "!"), in time linear in the page.
+    """(start, end, slash, name, attributes) of every tag, comment (name "!--"), declaration and raw element such as a script (name "!"), in time linear in the page.
 
-    A tag whose quote or end is missing ends at the next ">". Most tags are short: only a few times the page's length is spent on long ones."""
-    at, most = html.find("<"), 4 * len(html) + 65536
+    A tag whose quote or end is missing ends at the next ">"."""
+    at, dead, ends = html.find("<"), set(), {}
     while at >= 0:
-        m = _TAG.match(html, at, at + 4096)
-        if m is None and html[at + 1 : at + 3].lstrip("/")[:1].isalpha():
-            close = html.find(">", at)
+        m = _TAG.match(html, at, at + 512)
+        tag = (m.end(), m[1], m[2], m[3]) if m else None
+        if m is None and html[at + 1 : at + 3].lstrip("/")[:1].isalpha() and (name := _NAME.match(html, at)):
+            close = html.find(">", name.end())
             if close < 0:
                 yield at, len(html), "", "!", ""
                 return
-            if most > 0:
-                m = _TAG.match(html, at)
-                most -= (m.end() if m else len(html)) - at
-            if m is None and (name := _NAME.match(html, at, close)):
-                yield at, close + 1, name[1], name[2], html[name.end() : close]
-                at = html.find("<", close + 1)
-                continue
-        if m:
-            end = m.end()
-            yield at, end, m[1], m[2], m[3]
+            end = _long(html, at, dead)
+            end = end if end > 0 else close + 1
+            tag = end, name[1], name[2], html[name.end() : end - 1]
+        if tag:
+            end, slash, name, raw = tag
+            if not slash and name.lower() in RAW:
+                kind = name.lower()
+                m = ends.setdefault(kind, re.compile(rf"</{kind}(?=[\s/>])[^>]*>?", re.I)).search(html, end)
+                end = m.end() if m else len(html)
+                yield at, end, "", "!", ""
+            else:
+                yield at, end, slash, name, raw
         elif html.startswith("<!--", at):
             end = at + 5 if html.startswith("<!-->", at) else at + 6 if html.startswith("<!--->", at) else (close.end() if (close := _COMMENT_END.search(html, at + 4)) else len(html))
             yield at, end, "", "!--", ""
@@ -112,13 +189,16 @@ def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
 
 def lines(html: str | None) -> list[tuple[str, int]]:
     """The text blocks of a page, without what isn't text: (text, kind): 1 inside an article, 2 inside main, else 0; 4 more where a class word makes it doubtful."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []  # text, kind, innermost box
     if not html:
-        return out
-    stack: list[tuple[str, bool, int]] = []  # tag, skipped, kind
+        return []
+    stack: list[tuple[str, bool, int, int]] = []  # tag, skipped, kind, innermost box
+    closable: list[int] = []  # depths of holders and of elements that others close
     opened: dict[str, int] = {}
+    boxes: list[tuple[int, bool, bool]] = []
+    mains: set[int] = set()  # boxes that hold a main element
     parts: list[str] = []
-    skipped, kind, at = False, 0, 0
+    skipped, kind, box, at = False, 0, -1, 0
 
     def add(text: str) -> None:
         parts.append(unescape(text) if "&" in text else text)
@@ -127,21 +207,21 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, kind))
+                out.append((text, kind, box))
             parts.clear()
 
     def close_to(depth: int) -> None:
-        nonlocal skipped, kind
+        nonlocal skipped, kind, box
         if any(tag in BLOCK for tag, *_ in stack[depth:]):
             end_block()
         for tag, *_ in stack[depth:]:
             opened[tag] -= 1
         del stack[depth:]
-        skipped, kind = stack[-1][1:] if stack else (False, 0)
+        while closable and closable[-1] >= depth:
+            closable.pop()
+        skipped, kind, box = stack[-1][1:] if stack else (False, 0, -1)
 
     for start, end, slash, name, raw in _tags(html):
-        if start < at:  # inside raw text that has been passed over
-            continue
         if not skipped and start > at:
             add(html[at:start])
         at = end
@@ -152,17 +232,13 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             if opened.get(tag):
                 close_to(next(d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag))
             continue
-        if tag in RAW:
-            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = m.end() if m else len(html)
-            continue
         if tag in VOID:
             if tag == "hr":
                 end_block()
             elif tag == "br" and not skipped:
                 parts.append(" ")
             continue
-        for depth in range(len(stack) - 1, -1, -1) if any(opened.get(t) for t in _CLOSES.get(tag, ())) else ():
+        for depth in reversed(closable) if any(opened.get(t) for t in _CLOSES.get(tag, ())) else ():
             if tag in CLOSED_BY.get(stack[depth][0], ()):
                 close_to(depth)
                 break
@@ -170,22 +246,33 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                 break
         if tag in BLOCK:
             end_block()
-        if raw.endswith("/") and tag not in BLOCK or len(stack) >= DEEPEST:
+        if raw.endswith("/") and tag not in BLOCK:
             continue
-        skip, doubtful = (True, False) if skipped else _unwanted(tag, raw, kind & 3 > 0)
-        own = kind
+        what, doubtful = ("skip", False) if skipped else _unwanted(tag, raw, kind & 3 > 0)
+        skip, own, inner = what == "skip", kind, box
+        if what in ("box", "strict"):
+            inner = len(boxes)
+            boxes.append((box, what == "strict", kind & 3 > 0))
         if not skip:
-            held = 1 if tag == "article" else kind & 3 or (2 if tag == "main" or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", raw) else 0)
+            main = tag == "main" or bool(_MAIN.search(raw))
+            held = 1 if tag == "article" else kind & 3 or (2 if main else 0)
             own = held | (4 if doubtful or kind & 4 else 0)
-        if (skip and not skipped) or own != kind:
+            up = inner if main else -1
+            while up >= 0 and up not in mains:
+                mains.add(up)
+                up = boxes[up][0]
+        if (skip and not skipped) or own != kind or inner != box:
             end_block()
-        stack.append((tag, skip, own))
+        if tag in HOLDERS or tag in CLOSED_BY:
+            closable.append(len(stack))
+        stack.append((tag, skip, own, inner))
         opened[tag] = opened.get(tag, 0) + 1
-        skipped, kind = skip, own
+        skipped, kind, box = skip, own, inner
     if not skipped and at < len(html):
         add(html[at:])
     end_block()
-    return out
+    text = _opened(out, boxes, mains)
+    return [(t, k) for t, k, b in out if b < 0 or text[b]]
 
 
 def _rows(own: list[int], places: dict[int, int], width: int) -> Iterator[int]:

@@ -34,6 +34,25 @@ CASES = [
     ("<p>1 </ p>2</>3<?x y>4<!doctype html>5<!-->6<!--->7", "1 234567"),
     ('<article><p>t</p><div class="related-work"><p>work</p></div><div class="ad">x</div></article>', "t\nwork"),
     ("<p>end <b", "end"),
+    ("<div class='layout with-sidebar'><article><p>text</p></article><div class='sidebar'>s</div></div>", "text"),
+    ("<div class='page nav-open'><main><p>text</p></main></div>", "text"),
+    ("<div id='content' class='has-header'><article><p>text</p></article></div>", "text"),
+    ("<article class='no-comments'><p>text</p></article>", "text"),
+    ("<article class='post ad-free'><p>text</p></article>", "text"),
+    ("<div id='comments-in-law'><p>main text</p></div>", "main text"),
+    ("<article><p>t</p><div class='share-price'>up</div><div class='social-history'>old</div><p class='newsletter-study'>read</p></article>", "t\nup\nold\nread"),
+    ("<div class='post-header'><h1>Title</h1></div><p>text</p>", "Title\ntext"),
+    ("<form id='aspnetForm'><input><nav>menu</nav><article><p>the article's text</p><form><p>Your name</p></form></article><select><option>o</select></form>", "the article's text"),
+    ("<form><nav>menu</nav><p>a page in a form</p></form><footer>f</footer>", "a page in a form"),
+    ("<div class='sidebar'><main><p>text</p></main></div><p>out</p>", "text"),
+    ("<main><div class='widget-box'><p>the whole text of it</p></div><p>end</p></main>", "the whole text of it\nend"),
+    ("<div class='menu'><article><p>the long text</p></article></div><p>out</p>", "the long text"),
+    ("<article>short</article><div id='comments'><article>a reader's long comment</article></div><div class='comment-list'>more of that</div>", "short"),
+    ("<div class='ad-300x250'>an advert</div><p>t</p><div class='cookieConsent'>accept all of them</div>", "t"),
+    ("<div>" * 300 + "<nav>menu</nav><div class='ad'>advert</div><article><p>text</p></article>", "text"),
+    ("<b>" * 5000 + "<nav>menu</nav>" + "</b>" * 5000 + "<p>text", "text"),
+    (("<p title='" + "a>b" * 9000 + "'>x</p>") * 9, "\n".join("x" * 9)),
+    ("<script>if(a<b)x='</script><p>it's text</p>", "it's text"),
 ]
 
 
@@ -64,10 +83,14 @@ def test_hostile_pages():
     import time
 
     n = 1 << 20
-    for piece in ("<a ", '<a b="', "<a b='>", "<b>", "<p>", "</i>", "<b><p>", "<!--", "<!-- -->", "<p a=\"'\" b='\"'", "&amp;", "< ", "<div class='x y'>", "<li>x", "</p", "<a b=' \" >"):
+    for piece in ("<a ", '<a b="', "<a b='>", "<b>", "<p>", "</i>", "<b><p>", "<!--", "<!-- -->", "<p a=\"'\" b='\"'", "&amp;", "< ", "<div class='x y'>", "<li>x", "</p", "<a b=' \" >", "<a b='>'", "<a b='>\"", '<a b=">" c', "<li><dt></dt><div><b>", "<div class='sidebar'>", "<p a='" + ">" * 600 + "'>"):
         began = time.time()
         html.lines(piece * (n // len(piece)))
         assert time.time() - began < 12, piece  # about a second on a machine of its own
+    for page in ("<li><dt><div>" + "<b>" * (n // 8) + "<dt></dt>" * (n // 16), "<a b='>'" * (n // 16) + "d" * (n // 2), "<div class='sidebar'>" * (n // 40) + "<main>" * (n // 8)):
+        began = time.time()
+        html.lines(page)
+        assert time.time() - began < 12, page[:40]
     for a, b in (([7] * 4000, [7] * 3000), (list(range(6000)), list(range(6000))[::-1]), ([i % 5 for i in range(20_000)], [i % 7 for i in range(20_000)])):
         began = time.time()
         html.shared(a, b)
