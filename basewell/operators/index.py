@@ -23,12 +23,12 @@ def skipped_keys(all_counts: DataFrame, p: IndexParams) -> DataFrame:
     return all_counts.filter(F.lit(False) if p.cap is None else F.col("n") > p.cap)
 
 
-def long_index(occurrences: DataFrame, p: IndexParams) -> DataFrame:
-    """key, n, ref_id, pos, flank (null where the key has no flanks). Occurrences of dropped keys are absent.
+def long_index(occurrences: DataFrame, p: IndexParams, every: DataFrame | None = None) -> DataFrame:
+    """key, n, ref_id, pos, flank (null where the key has no flanks). Occurrences of dropped keys are absent. `every` has the counts of all keys, if they are known.
 
     The count is aggregated before the shuffle and joined back. Keys over the cap, the most frequent ones, go before their occurrences are shuffled; without
     a cap Spark splits the join's skewed partitions."""
-    every = counts(occurrences)
+    every = counts(occurrences) if every is None else every
     keys = kept_keys(every, p)
     if p.cap is not None:
         occurrences = occurrences.join(skipped_keys(every, p).select("key"), "key", "left_anti")

@@ -10,12 +10,12 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, sql
 from ..functions.params import IndexParams
 from ..operators import display, match, sketch, windows
 from ..operators import index as ix
 from ..sources import fasta, fastq, store
-from ..streaming import lookups
+from ..streaming import builds, lookups
 from . import build
 
 #: Every window; sampled by closed syncmers; a hash layout.
@@ -391,8 +391,37 @@ def stream_matches(spark, sf_dir):
     return spark.read.parquet(f"{made}/found")
 
 
+def stream_index(spark, sf_dir):
+    """The index of FASTA files that come as a stream, three to a micro-batch, by names."""
+    path = store.shared_path(spark)
+    builds.start(spark, _fasta_folder(spark, sf_dir), path, SAMPLED, files_per_trigger=3).awaitTermination()
+    made = builds.index_of(spark, path, SAMPLED)
+    return match.with_names(made.index, made.refs).select("key", "n", "name", "pos", "flank")
+
+
+def sql_functions(spark, sf_dir):
+    """Every window of the benchmark through the session's SQL functions."""
+    sql.register(spark, SAMPLED)
+    _sequences(spark, sf_dir, "benchmark", "item_id").createOrReplaceTempView("asked_sequences")
+    return spark.sql("""
+        with w as (select ref_id, pos, substring(seq, cast(pos as int) + 1, 27) as kmer from (select ref_id, seq, explode(sequence(0L, length(seq) - 27L)) as pos from asked_sequences where length(seq) >= 27))
+        select ref_id, pos, dna_revcomp(kmer) as rc, dna_core(kmer, 11) as core, dna_flanks(kmer, 11) as flank, dna_decode(dna_encode(dna_canonical(dna_core(kmer, 11))), 11) as canonical,
+               dna_hamming(dna_encode(dna_flanks(kmer, 11)), dna_encode(dna_revcomp(dna_flanks(kmer, 11)))) as dist, pack_position(ref_id, pos) as packed, unpack_position(pack_position(ref_id, pos)).pos as unpacked
+        from w""")
+
+
+def sql_best_match(spark, sf_dir):
+    """Nearest flanks in SQL alone: the asked windows, the matches and their names."""
+    asked, made = _both(spark, sf_dir, WHOLE_SAMPLED)
+    refs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    sql.attach(store.written(made), WHOLE_SAMPLED, refs)
+    _sequences(spark, sf_dir, "benchmark", "item_id").createOrReplaceTempView("asked_sequences")
+    spark.sql("create or replace temporary view kmer_queries as select ref_id as query_id, w.pos as qpos, w.key, w.flank from (select ref_id, explode(found) as w from (select ref_id, kmer_occurrences(seq) as found from asked_sequences))")
+    return spark.sql("select query_id, qpos, key, name, rpos, dist, ties from best_flex_match() join kmer_refs using (ref_id)")
+
+
 _ALL = [
-    fasta_text, fasta_source, fasta_index, fasta_validated, literal_index, table_sizes, names_both_ways, hash_finaliser, hash_ranges, hash_lookup_join, hash_matches, bucketed_matches, nested_nearest, stream_matches,
+    stream_index, sql_functions, sql_best_match, fasta_text, fasta_source, fasta_index, fasta_validated, literal_index, table_sizes, names_both_ways, hash_finaliser, hash_ranges, hash_lookup_join, hash_matches, bucketed_matches, nested_nearest, stream_matches,
     bloom_matches, fastq_reads, fasta_chunks, fasta_long_keys, paged_matches, saved_best_match, saved_matches, saved_keys, saved_refs, whole_index_nested, whole_range_format,
     kmer_encode, kmer_revcomp, kmer_spectrum, core_flank_split, canonical_core, canonical_kmer_core, closed_syncmer_filter, sampling_rate, key_counts_capped, skipped_keys, structural_cap, index_stats, vrange_layout, index_long, index_slots,
     index_nested, reference_dictionary, pack_positions, unpack_positions, flank_hamming, point_lookup, all_matches, lookup_join, best_flex_match, lookup_misses, rarest_first, match_names, range_format, hash_layout_truncation, index_roundtrip,
@@ -505,6 +534,10 @@ def _sql(every: IndexParams, sampled: IndexParams, asked_of: tuple[str, str] = (
         "saved_matches": f"with {some}, {_q(sampled)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
         "bloom_matches": f"with {open_ix}, {_q(WHOLE_SAMPLED)} select query_id, qpos, key, ref_id, pos as rpos from q join ix using (key)",
         "fastq_reads": f"with r as (select doc_id, coalesce({DNA}, '') as seq, coalesce(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{QUALITIES}'), '') as qual from documents), t as (select *, regexp_replace(qual, '[\\x21-\\x{32 + LEAST_QUALITY:x}]+$', '') as kept from r) select row_number() over (order by doc_id) as ref_id, 'doc' || doc_id as name, length(seq) as n, length(kept) as n_kept, md5(substr(seq, 1, length(kept))) as seq_hash, md5(kept) as qual_hash from t",
+        "stream_index": f"with {some} select key, n, 'doc' || ref_id as name, pos, flank from ix",
+        "sql_functions": f"with {_windows('w', 'benchmark', 'item_id', 27)}, c as (select *, substr(kmer, 9, 11) as core, substr(kmer, 1, 8) || substr(kmer, 20, 8) as flank from w), d as (select *, {_code('flank', 16)} as qflank, {_code(_rc('flank'), 16)} as rflank from c) "
+        f"select ref_id, pos, {_rc('kmer')} as rc, core, flank, least(core, {_rc('core')}) as canonical, {_DIST.replace('xor(qflank, flank)', 'xor(qflank, rflank)')} as dist, {packed} as packed, pos as unpacked from d",
+        "sql_best_match": f"with {open_ix}, {_q(WHOLE_SAMPLED)}, {_BEST} select query_id, qpos, key, 'doc' || ref_id as name, rpos, dist, case when dist is not null then count(*) over (partition by query_id, qpos) end as ties from best",
         "saved_keys": f"with {some} select key, n from keys",
         "saved_refs": "select doc_id as ref_id, cast(doc_id as varchar) as name from documents",
         "whole_index_nested": f"with {open_ix}, p as (select *, {page} from ix) select key, n, page, string_agg({line}, ',' order by ref_id, pos) as listed from p group by key, n, page",

@@ -127,14 +127,28 @@ def pieces(spark: SparkSession, path: str, split_bytes: int | None = None) -> Da
     folder; records are numbered from 1 in the order of files' names, and their bases placed, by prefix sums over the ranges."""
     key = "spark.sql.files.maxPartitionBytes"
     was = spark.conf.get(key)
-    file, header = F.col("_metadata.file_path"), F.startswith("value", F.lit(">"))
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.xxhash64(file).alias("f"), F.col("_metadata.file_block_start").alias("block"), F.when(header, file).alias("file"), "value")
     try:
         if split_bytes:
             spark.conf.set(key, str(split_bytes))
-        raw = store.written(lines.mapInArrow(_cut, "f long, block long, at long, head long, file string, name string, off long, under long, whole boolean, seq string"))
+        return pieces_of(_lines(spark.read.option("recursiveFileLookup", "true").text(path)))
     finally:
         spark.conf.set(key, was)
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    file, header = F.col("_metadata.file_path"), F.startswith("value", F.lit(">"))
+    return text.select(F.xxhash64(file).alias("f"), F.col("_metadata.file_block_start").alias("block"), F.when(header, file).alias("file"), "value")
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The lines of the FASTA files of a folder as a stream: a file belongs to one micro-batch, whose pieces `pieces_of` makes."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    return _lines((reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).text(path))
+
+
+def pieces_of(lines: DataFrame) -> DataFrame:
+    """`pieces` of files' lines (f, block, file of a header line, value), as Spark's text reader gives them."""
+    raw = store.written(lines.mapInArrow(_cut, "f long, block long, at long, head long, file string, name string, off long, under long, whole boolean, seq string"))
     blocks = raw.groupBy("f", "block").agg(F.max("head").alias("heads"), F.sum(F.length("seq")).alias("bases"), F.max("under").alias("last"), F.max("file").alias("file"))
     files = blocks.groupBy("f").agg(F.max("file").alias("file"), F.min(F.when(F.col("heads") > 0, F.col("block"))).alias("first"))
     known = blocks.drop("file").join(files.filter("file is not null"), "f").filter("block >= first")  # what stands before a file's first header is no record
