@@ -17,7 +17,8 @@ Everything is seeded by `seed`, source and epoch: reruns agree. Offsets are pref
 per source, then the documents of a bucket), so a source with a third of all rows is spread.
 
 Defined results: null or empty texts have size 0 and are never taken; an empty source's target is 0;
-a null source is a source of its own, after the others. Equal rows are laid out one after the other. Very long texts
+a null source is a source of its own, after the others. Equal rows are laid out one after the other, those that differ in other columns
+in the order of these. Very long texts
 are cut at blocks like others. Extra columns are ignored by `taken` and kept by `mixed`. An empty table gives an empty table.
 """
 
@@ -217,7 +218,9 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int
     )
     h, c, p, shard, order = (common.fresh(docs, x) for x in ("_h", "_copy", "_pieces", "shard", "_order"))
     text = docs.withColumn(h, F.xxhash64(common.text_or_empty()))
-    text = text.withColumn(c, F.row_number().over(Window.partitionBy("doc_id", h, F.col("source").cast("string")).orderBy(F.lit(0))))
+    others = [x for x in docs.columns if x.lower() not in ("doc_id", "text", "source")]
+    same = Window.partitionBy("doc_id", h, F.col("source").cast("string")).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    text = text.withColumn(c, F.row_number().over(same))
     d1, h1, s1, c1 = (common.fresh(docs, x) for x in ("_d1", "_h1", "_s1", "_c1"))
     right = pieces.select(F.col("doc_id").alias(d1), F.col("_h").alias(h1), F.col("source").alias(s1), F.col("_copy").alias(c1), F.col("_pieces").alias(p))
     both = text.join(right, F.col("doc_id").eqNullSafe(F.col(d1)) & (F.col(h) == F.col(h1)) & F.col("source").cast("string").eqNullSafe(F.col(s1)) & (F.col(c) == F.col(c1))).select(*docs.columns, p, h)

@@ -444,3 +444,11 @@ def test_components(spark):
                 top[a] = top[b] = min(top[a], top[b])
         got = {r["v"]: r["c"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {v: top[v] for e in edges if e[0] != e[1] for v in e}
+
+
+def test_mixed_repeats(spark):
+    """Rows of one id, text and source that differ elsewhere are mixed alike however they are dealt to tasks."""
+    rows = [(i // 6, f"w{i // 6} of the text", "ab"[i // 6 % 2], f"n{i * 7 % 11}", {"k": i}) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string, more map<string,int>")
+    one, two = (sorted((tuple(map(str, r)) for r in mixing.mixed(d, block_words=3, slots_per_shard=5).collect())) for d in (docs.repartition(1), docs.orderBy(docs.note.desc()).repartition(7)))
+    assert one == two and len(one) > 30
