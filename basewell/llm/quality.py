@@ -1,12 +1,15 @@
 """Operator 9: quality rules whose thresholds adapt to each language and source.
 
 All of it is DataFrame functions. Counts are taken from whole texts; the thresholds come from
-quantile summaries (Greenwald-Khanna, which partial aggregates merge) of every document's ratios,
-by (lang, source) and by lang; a document is held against its own group's fences.
+quantile summaries (Greenwald-Khanna, which partial aggregates merge) of the ratios of every document
+that the base rule passes, by (lang, source) and by lang; a document is held against its own group's
+fences. A fence lies beyond the group's 95th percentile, by a part of its distance from the median and a
+part of the median, so it has no constant in it: where a mark is usual much of it passes, where it is rare
+little does.
 
 Defined results: a null or empty text has no words and fails the base rule. Null languages or
-sources form groups of their own. Equal rows get equal rows. A group of fewer than `min_group`
-documents with words uses its language's fences. Very long texts are taken whole. Other columns, whatever their names, are kept by
+sources form groups of their own. Equal rows get equal rows, and a ratio that equals its fence passes. A
+group of fewer than `min_group` documents that pass the base rule uses its language's fences. Very long texts are taken whole. Other columns, whatever their names, are kept by
 `filtered` and left out by `assess`. An empty table gives an empty table.
 """
 
@@ -23,15 +26,18 @@ WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 
-#: Ratio -> (side, slack, count, least). A document fails above q3 + reach * (q3 - q1) + slack where the count behind the ratio is at least `least`,
-#: or below the mirror image. The counts let one repeated line of a short text pass.
+#: Ratio -> (side, count, least). A document fails above the high fence where the count behind the ratio is at least `least`, or below the low
+#: one. The counts let a few marks or one repeated line of a short text pass where a group has none.
 RULES = {
-    "symbol_ratio": ("high", 0.05, "n_symbols", 1),
-    "dup_line_ratio": ("high", 0.25, "n_dup_lines", 3),
-    "repeat_ratio": ("high", 0.10, "n_repeat_words", 40),
-    "mean_word": ("both", 3.0, "n_words", 1),
+    "symbol_ratio": ("high", "n_symbols", 20),
+    "dup_line_ratio": ("high", "n_dup_lines", 3),
+    "repeat_ratio": ("high", "n_repeat_words", 40),
+    "mean_word": ("both", "n_words", 1),
 }
-REACH = 3.0
+LOW, MIDDLE, HIGH = 0.05, 0.5, 0.95
+#: High fence: high + REACH * (high - middle) + MARGIN * middle, of the group's quantiles; the low one is its mirror image.
+REACH = 0.5
+MARGIN = 0.25
 MIN_GROUP = 30
 ACCURACY = 10000
 
@@ -85,17 +91,16 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def fences(measured: DataFrame, reach: float = REACH, accuracy: int = ACCURACY) -> DataFrame:
-    """By (lang, source) and, where `whole` is true, by lang: n and the low and high fence of each ratio."""
-    quartiles = [F.expr(f"approx_percentile({m}, array(0.25D, 0.75D), {accuracy})").alias(m) for m in RULES]
-    with_words = measured.filter("n_words > 0")
-    own = with_words.groupBy("lang", "source").agg(F.count("*").alias("n"), *quartiles).withColumn("whole", F.lit(False))
-    lang = with_words.groupBy("lang").agg(F.count("*").alias("n"), *quartiles).withColumns({"source": F.lit(None).cast("string"), "whole": F.lit(True)})
+    """By (lang, source) and, where `whole` is true, by lang: n, the documents that the base rule passes, and the low and high fence of each ratio among them."""
+    quantiles = [F.expr(f"approx_percentile({m}, array({LOW}D, {MIDDLE}D, {HIGH}D), {accuracy})").alias(m) for m in RULES]
+    passing = measured.filter(~F.col("base_failed"))
+    own = passing.groupBy("lang", "source").agg(F.count("*").alias("n"), *quantiles).withColumn("whole", F.lit(False))
+    lang = passing.groupBy("lang").agg(F.count("*").alias("n"), *quantiles).withColumns({"source": F.lit(None).cast("string"), "whole": F.lit(True)})
     both = own.unionByName(lang)
     out = ["lang", "source", "whole", "n"]
-    for m, (side, slack, _, _) in RULES.items():
-        q1, q3 = F.col(m)[0], F.col(m)[1]
-        width = reach * (q3 - q1) + slack
-        out += [(q3 + width).alias(f"{m}_high"), ((q1 - width) if side == "both" else F.lit(float("-inf"))).alias(f"{m}_low")]
+    for m, (side, _, _) in RULES.items():
+        low, middle, high = (F.col(m)[i] for i in range(3))
+        out += [(high + reach * (high - middle) + MARGIN * middle).alias(f"{m}_high"), ((low - reach * (middle - low) - MARGIN * middle) if side == "both" else F.lit(float("-inf"))).alias(f"{m}_low")]
     return both.select(*out)
 
 
@@ -108,7 +113,7 @@ def _judged(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, a
     as_lang = table.filter("whole").select(F.col("lang").alias("_ll"), *[F.col(x).alias(f"l_{x}") for x in limits])
     joined = measured.join(as_own, F.col("lang").eqNullSafe(F.col("_ol")) & F.col("source").eqNullSafe(F.col("_os")), "left").join(as_lang, F.col("lang").eqNullSafe(F.col("_ll")), "left")
     limit = lambda x: F.when(F.col("_own"), F.col(f"o_{x}")).otherwise(F.col(f"l_{x}"))
-    broken = F.array_compact(F.array(*[F.when(((F.col(m) > limit(f"{m}_high")) & (F.col(n) >= least)) | (F.col(m) < limit(f"{m}_low")), F.lit(m)) for m, (_, _, n, least) in RULES.items()]))
+    broken = F.array_compact(F.array(*[F.when(((F.col(m) > limit(f"{m}_high")) & (F.col(n) >= least)) | (F.col(m) < limit(f"{m}_low")), F.lit(m)) for m, (_, n, least) in RULES.items()]))
     return joined.withColumn("broken", broken).select(
         "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), F.array_join("broken", ",").alias("broken")
     )
@@ -129,15 +134,16 @@ def filtered(docs: DataFrame, **params) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The query in SQL with exact quartiles, which the summaries give too in groups of up to ACCURACY / 2 documents."""
-    names = list(RULES)
-    quartile = lambda m, q, by: f"max(case when r_{m} = greatest(1, cast(ceil({q} * n) as bigint)) then {m} end)"
+    """The query in SQL with exact quantiles, which the summaries give too in groups of up to ACCURACY / 2 documents."""
+    names, levels = list(RULES), {"low": LOW, "mid": MIDDLE, "high": HIGH}
+    quantile = lambda m, q: f"max(case when r_{m} = greatest(1, cast(ceil({q}::double * n) as bigint)) then {m} end)"
     ranks = lambda by: ", ".join(f"row_number() over (partition by {by} order by {m}) as r_{m}" for m in names)
-    quartiles = ", ".join(f"{quartile(m, q, '')} as {m}_{k}" for m in names for k, q in (("q1", 0.25), ("q3", 0.75)))
-    pick = ", ".join(f"case when own.n >= {MIN_GROUP} then own.{m}_{k} else whole.{m}_{k} end as {m}_{k}" for m in names for k in ("q1", "q3"))
-    width = lambda m: f"({REACH} * ({m}_q3 - {m}_q1) + {RULES[m][1]})"
-    broken = ", ".join(f"case when ({m} > {m}_q3 + {width(m)} and {RULES[m][2]} >= {RULES[m][3]})" + (f" or {m} < {m}_q1 - {width(m)}" if RULES[m][0] == "both" else "") + f" then '{m}' end" for m in names)
-    group = lambda name, by: f"{name}_r as (select *, count(*) over (partition by {by}) as n, {ranks(by)} from m where n_words > 0), {name} as (select {by}, max(n) as n, {quartiles} from {name}_r group by {by})"
+    quantiles = ", ".join(f"{quantile(m, q)} as {m}_{k}" for m in names for k, q in levels.items())
+    pick = ", ".join(f"case when own.n >= {MIN_GROUP} then own.{m}_{k} else whole.{m}_{k} end as {m}_{k}" for m in names for k in levels)
+    high = lambda m: f"{m}_high + {REACH}::double * ({m}_high - {m}_mid) + {MARGIN}::double * {m}_mid"
+    low = lambda m: f"{m}_low - {REACH}::double * ({m}_mid - {m}_low) - {MARGIN}::double * {m}_mid"
+    broken = ", ".join(f"case when ({m} > {high(m)} and {n} >= {least})" + (f" or {m} < {low(m)}" if side == "both" else "") + f" then '{m}' end" for m, (side, n, least) in RULES.items())
+    group = lambda name, by: f"{name}_r as (select *, count(*) over (partition by {by}) as n, {ranks(by)} from m where not base_failed), {name} as (select {by}, max(n) as n, {quantiles} from {name}_r group by {by})"
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),

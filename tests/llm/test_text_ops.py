@@ -68,6 +68,27 @@ def test_quality_fences(spark):
     assert not kept.pop(200) and all(kept.values())
 
 
+def test_quality_fences_move(spark):
+    """Each rule's fence moves with its group: the same document passes in the group where its ratio is usual and fails in the other."""
+    text = lambda i, n=60, size=0: " ".join(f"word{i}x{j}".ljust(size, "y") for j in range(n))
+    line = " ".join(f"again{j}" for j in range(22))
+    usual = {
+        "symbol_ratio": lambda i: text(i, 50) + " ###" * 9,
+        "dup_line_ratio": lambda i: "\n".join([*(text(f"{i}z{k}", 20) for k in range(4)), *["end here"] * 4]),
+        "repeat_ratio": lambda i: f"{line} {text(i, 250)} {line}",
+        "mean_word": lambda i: text(i, 60, 30),
+    }
+    table = [(i, text(i), "en", "plain") for i in range(60)]
+    for k, (rule, marked) in enumerate(usual.items()):
+        table += [(1000 * (k + 1) + i, marked(i), "en", rule) for i in range(40)]
+        table.append((100 + k, marked(500), "en", "plain"))
+    own = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["broken"] for r in quality.assess(own).collect()}
+    assert {i: b for i, b in found.items() if b} == {100 + k: rule for k, rule in enumerate(usual)}
+    high = {r["source"]: r for r in quality.fences(quality.measure(own)).filter("not whole").collect()}
+    assert all(high[rule][f"{rule}_high"] > 1.5 * high["plain"][f"{rule}_high"] for rule in usual)
+
+
 def test_quality_rules_act(spark):
     """Each rule alone rejects a document that the base rule passes."""
     text = lambda i, n=60: " ".join(f"word{i}x{j}" for j in range(n))
