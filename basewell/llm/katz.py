@@ -15,8 +15,9 @@ meet alpha by context. The tables (counts, by kind; backoff weights) are written
 contexts and words, and `Model.score` evaluates a model on other documents by joins with them.
 
 Defined results: a null or empty text is its end token alone. A null doc_id is learned from. Without
-training rows every token is unknown, with probability 1. Repeated rows are scored each. Extra columns are ignored. An empty
-table gives an empty table.
+training rows every token is unknown, with probability 1. Repeated rows are learned from and scored each. Texts of any length are taken whole:
+a batch ends with the text that takes it to BATCH_TOKENS. Counts decide nothing by rank, so ties need no order. Extra columns, whatever their names, are
+ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations

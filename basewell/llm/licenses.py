@@ -5,15 +5,17 @@ template if it holds at least `threshold` of the template's distinct words. The
 filtered: words are ordered by their frequency in the whole corpus, rarest first; a block must
 share a word of the template's prefix (else too few words are left to reach the threshold), hold
 enough words (length), and at the first shared word enough words must still follow on both sides
-(position); what passes is verified on the whole sets. Templates are a parameter of bounded size, so
-they are broadcast; the corpus is scanned twice, for frequencies and for the join, and shuffles only
+(position); what passes is verified on the whole sets. Templates are a parameter of at most
+MOST_TEMPLATE_BYTES, else `scan` raises, so they are broadcast; the corpus is scanned twice, for frequencies and for the join, and shuffles only
 the counts of template words.
 
 Beside that, base phrases are found wherever their words stand consecutively.
 
 Defined results: null and empty texts have no words and no labels; scores are 1 where a base phrase stands,
-else the best containment among the pairs that meet the threshold, else 0. Repeated rows get equal
-rows. A null doc_id stays null. Extra columns are ignored. An empty table gives an empty table.
+else the best containment among the pairs that meet the threshold, else 0. A block that meets several
+templates equally gets all of them; words of equal frequency are ordered by their bytes. Repeated rows get equal
+rows. Texts of any length are scanned whole. A null doc_id stays null. Extra columns, whatever their names, are
+ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ TEMPLATES = [
 ]
 
 
+#: Templates beyond this aren't broadcast.
+MOST_TEMPLATE_BYTES = 16 << 20
+
+
 class Templates:
     """Templates over ranked words. counts: corpus counts of words; a lower rank is rarer."""
 
@@ -134,6 +140,8 @@ def _places(own: list[bytes], phrases: dict[bytes, list[tuple[tuple[bytes, ...],
 def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD, phrases: dict[str, str] | None = None) -> DataFrame:
     """Per document: the contract's columns, and blocks: array<struct<label, template, first_line, stop_line, containment>>."""
     templates = TEMPLATES if templates is None else templates
+    if (size := sum(len(t.encode("utf-8", "surrogatepass")) for _, t in templates)) > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes are too large to broadcast: at most {MOST_TEMPLATE_BYTES}")
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     vocabulary = frozenset(w for _, t in templates for w in common.words(t, common.LOWER_ALNUM))
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold, _counts(slim, vocabulary)))

@@ -53,7 +53,7 @@ def encoder(vocabulary: str = VOCABULARY):
 
 
 #: White space as the tokenizer's pattern sees it (White_Space of Unicode), in runs of at least so many characters.
-RUN = 10_000
+RUN = 500
 _SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _RUNS = re.compile(f"{_SPACE}{{{RUN},}}")
 

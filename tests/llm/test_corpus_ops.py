@@ -393,6 +393,30 @@ def test_pipeline(spark, rows, tmp_path):
     assert __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).agg({"n_used": "sum"}).head()[0] == docs.agg({"n_used": "sum"}).head()[0]
 
 
+def test_pipeline_edges(spark, clashing, tmp_path):
+    """Null and repeated ids, equal rows and clashing columns pass every stage; a second run gives the same documents; empty tables give none."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = []
+    for turn, (own, empty) in enumerate(((clashing, False), (clashing.repartition(2), False), (clashing.filter("false"), True))):
+        docs, kept = own, {}
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{turn}_{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{turn}_{name}"))
+            if name != "token_rows":
+                assert sorted(docs.columns) == sorted(own.columns)
+                kept[name] = bag(docs, "doc_id", "text", "_h", "key")
+        if empty:
+            assert docs.count() == 0 and not any(kept.values())
+            continue
+        assert any(r[0] is None for r in kept["quality_rules"]) and kept["decontamination"] == kept["near_duplicates"]
+        assert set(kept["near_duplicates"]) <= set(kept["quality_rules"]) and all(h == "?" for _, _, h, _ in kept["source_mix"])
+        assert len({t for _, t, *_ in kept["near_duplicates"]}) == len(kept["near_duplicates"]) and {d for d, *_ in kept["source_mix"]} <= {d for d, *_ in kept["near_duplicates"]}
+        seen.append(kept)
+    assert seen[0] == seen[1]
+
+
 def test_ngram_rings(spark):
     """Large groups: close sets are counted by sums, others compared, and the rows that leave stay in proportion to the group."""
     rng = np.random.default_rng(8)

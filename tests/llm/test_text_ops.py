@@ -114,6 +114,8 @@ def test_licenses(docs, rows, spark, no_docs, clashing):
     assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"], got[4]["base_labels"], got[4]["score"]) == (5, 0, 8, "apache,gpl,mit", 1.0)
     assert got[0]["score"] == 1.0 and 0.8 <= got[2]["score"] < 1 and got[1]["score"] == 0 and got[6]["n_words"] == 0 and got[6]["first_word"] is None
     assert got[0]["blocks"][0]["first_line"] == 1
+    with pytest.raises(ValueError, match="too large to broadcast"):
+        licenses.scan(own, [("x", "w " * (licenses.MOST_TEMPLATE_BYTES // 2 + 1))])
     # the filtered join finds what comparing every block with every template finds
     sets = [set(ALNUM.findall(lower(t))) for _, t in licenses.TEMPLATES]
     for t in [*texts, *(x for _, x, *_ in rows)]:
