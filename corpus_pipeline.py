@@ -1,6 +1,12 @@
 """A corpus from documents to packed token ids: five stages, each on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+
+Defined results: null and empty texts, and those of fewer than ten words, go in the first stage, with whatever else its
+rules reject. Of rows with equal texts, or near ones, one stays, that of the least doc_id; null ids come last, and equal
+rows are one class. Rows with a null doc_id pass all stages. Texts of any length are taken whole; the mix cuts documents
+into blocks of 2,048 words and the token rows cut them at row ends, both without loss. Extra columns of documents,
+whatever their names, are carried to the mix. Without a benchmark nothing is cut; empty documents give no rows.
 """
 
 from __future__ import annotations
