@@ -1,6 +1,7 @@
 """Windows, strands and keys against plain Python."""
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -66,3 +67,23 @@ def test_kmers_and_spectrum(sequences):
     assert sorted(map(tuple, windows.spectrum(sequences, 31).collect())) == least
     with pytest.raises(ValueError):
         windows.spectrum(sequences, 32)
+
+
+@pytest.mark.parametrize("k", [5, 31])
+def test_spectrum_counts(spark, k, monkeypatch):
+    """References of several rows, of none, and longer sequences than are held; all by one shuffle of sums but for those."""
+    monkeypatch.setattr(windows, "LONG", 1000)
+    monkeypatch.setattr(windows, "COUNTED", 300)
+    given = [*_made(), *[(r, s) for r, s in _made() if r in (5, 11, 90)], (None, "ACGT" * 20), (None, "ACGTA" * 20)]
+    sequences = spark.createDataFrame(given, "ref_id long, seq string")
+    n, refs = Counter(), defaultdict(set)
+    for r, s in given:
+        for i in range(len(s or "") - k + 1):
+            if set(s[i : i + k]) <= set("ACGT"):
+                key = _number(min(s[i : i + k], _turned(s[i : i + k])))
+                n[key] += 1
+                refs[key] |= {r} - {None}
+    found = windows.spectrum_counts(sequences, k).collect()
+    assert {r["key"]: (r["n"], r["n_refs"]) for r in found} == {x: (n[x], len(refs[x])) for x in n} and len(found) == len(n)
+    once = windows.spectrum_counts(sequences.filter("ref_id < 5"), k)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
