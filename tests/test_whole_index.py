@@ -42,3 +42,16 @@ def test_build_steps_over_documents(spark, tmp_path):
         assert sorted(map(tuple, found.select("ref_id", "pos").collect())) == expected
     sampled = catalogue.queries()["indexed_closed_syncmer_filter"](spark, str(tmp_path)).select("ref_id").distinct()
     assert {r["ref_id"] for r in sampled.collect()} == {1, 4, 5}
+
+
+def test_point_lookup_moves_one_key(spark, tmp_path, monkeypatch):
+    """Occurrences of other keys go where they are read: no join or shuffle has them."""
+    docs = [(1, "the quick brown fox jumps over a lazy dog " * 30), (2, "acgtaccacac" * 9)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plans = []
+    monkeypatch.setattr(catalogue.store, "written", lambda df, f=catalogue.store.written: plans.append(df.coalesce(1)._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    monkeypatch.setattr(catalogue.store, "spread", lambda df: df)
+    found = catalogue.queries()["whole_point_lookup"](spark, str(tmp_path))
+    core = min(catalogue.LITERAL_CORE, catalogue.LITERAL_CORE[::-1].translate(TURN))
+    assert sorted(map(tuple, found.select("ref_id", "pos").collect())) == [(i, at) for i, t in docs for at, c in cores(t) if c == core]
+    assert plans and not any("Join" in x or "Aggregate" in x for x in plans)
