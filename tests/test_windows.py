@@ -7,6 +7,7 @@ import pytest
 
 from basewell.functions.params import IndexParams
 from basewell.operators import windows
+from basewell.plans import catalogue
 
 SIZES = [0, 1, 26, 27, 28, 31, 32, 33, 43, 48, 60, 200, 528, 1100, 17000]
 PARAMS = [
@@ -61,6 +62,24 @@ def test_occurrences(sequences, p):
     assert sorted(map(tuple, windows.occurrences(sequences, p).collect())) == sorted(_expected(p))
 
 
+def test_encoded_and_turned(sequences):
+    """Words are made in Arrow batches, not by string functions a row each."""
+    for k in (1, 27, 31):
+        found = windows.encoded(sequences, k)
+        assert sorted(map(tuple, found.collect())) == [(r, i, x, _number(x), x) for r, i, x in _words(k)]
+        turned = windows.turned(sequences, k + 5)
+        assert sorted(map(tuple, turned.collect())) == [(r, i, x, _turned(x)) for r, i, x in _words(k + 5)]
+    with pytest.raises(ValueError):
+        windows.encoded(sequences, 32)
+
+
+@pytest.mark.parametrize("name", ["kmer_revcomp"])
+def test_words_of_a_table(spark, name):
+    found = catalogue.queries()[f"indexed_{name}"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan.split("MapInArrow")[0] for x in ("conv(", "translate(", "reverse("))
+
+
 def test_kmers_and_spectrum(sequences):
     assert sorted(map(tuple, windows.kmers(sequences, 40).collect())) == _words(40)
     least = sorted((r, _number(min(x, _turned(x)))) for r, _, x in _words(31))
