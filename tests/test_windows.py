@@ -73,7 +73,7 @@ def test_encoded_and_turned(sequences):
         windows.encoded(sequences, 32)
 
 
-@pytest.mark.parametrize("name", ["kmer_revcomp"])
+@pytest.mark.parametrize("name", ["kmer_encode", "kmer_revcomp"])
 def test_words_of_a_table(spark, name):
     found = catalogue.queries()[f"indexed_{name}"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
