@@ -116,6 +116,17 @@ def test_occurrences_are_not_written_to_save_them(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, store.load(spark, str(tmp_path / "ix"))[0].select("key", "n", "ref_id", "pos").collect())) == sorted(map(tuple, made.index.select("key", "n", "ref_id", "pos").collect()))
 
 
+@pytest.mark.parametrize("name", ["hash_layout_truncation"])
+def test_no_table_of_occurrences(spark, tmp_path, monkeypatch, name):
+    """Queries over an index of all documents write counts, queries and packed ranges, not all its occurrences."""
+    spark.createDataFrame([(i, "the quick brown fox jumps over a lazy dog " * 9) for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "a quick brown fox jumps over")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = []
+    monkeypatch.setattr(store, "written", lambda df, f=store.written: held.append(f(df)) or held[-1])
+    assert catalogue.queries()[name](spark, str(tmp_path)).columns and held
+    assert all("pos" not in df.columns for df in held)
+
+
 def test_saved_flanks_are_those_of_asked_keys(spark, tmp_path):
     p = IndexParams(c=5, f=4, s=2)
     build_index(fasta.literal(spark, *["ACGGTCATTGACCAGGTCA" * 9] * 5).withColumn("name", F.col("ref_id").cast("string")), p).save(str(tmp_path / "ix"))
