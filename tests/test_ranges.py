@@ -116,7 +116,7 @@ def test_occurrences_are_not_written_to_save_them(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, store.load(spark, str(tmp_path / "ix"))[0].select("key", "n", "ref_id", "pos").collect())) == sorted(map(tuple, made.index.select("key", "n", "ref_id", "pos").collect()))
 
 
-@pytest.mark.parametrize("name", ["saved_refs", "hash_layout_truncation"])
+@pytest.mark.parametrize("name", ["saved_refs", "saved_matches", "hash_layout_truncation"])
 def test_no_table_of_occurrences(spark, tmp_path, monkeypatch, name):
     """Queries over an index of all documents write counts, queries and packed ranges, not all its occurrences."""
     spark.createDataFrame([(i, "the quick brown fox jumps over a lazy dog " * 9) for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
